@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from framelens.plans import scalar_queries  # noqa: F401
+    from framelens.plans import identity_queries, provenance_queries, scalar_queries, sequence_queries, telemetry_queries  # noqa: F401
 
 
 def registered():

@@ -138,10 +138,10 @@ BEST_FACE = (
 )
 
 
-@query("scl10_best_face_score", f"SELECT det_id, {q6(BEST_FACE)} AS score FROM v_box d")
+@query("scl10_best_face_score", f"SELECT det_id, {q6(f'{BEST_FACE} / 43200')} AS frame_share FROM v_box d")
 def scl10(spark, sf_dir):
     score = fl.best_face_score(Box.of(), F.col("det_score"), W, H)
-    return view(spark, sf_dir, "v_box").select("det_id", r6(score).alias("score"))
+    return view(spark, sf_dir, "v_box").select("det_id", r6(score / (W * H)).alias("frame_share"))
 
 
 @query("scl11_pose_from_kps", f"SELECT det_id, {q6('yaw')} AS yaw, {q6('pitch')} AS pitch FROM v_posed")
@@ -350,8 +350,8 @@ def scl24(spark, sf_dir):
     det = view(spark, sf_dir, "v_det")
     rest = [c for c in det.columns if c not in ("video_id", "frame_index", "embedding")]
     largest = det.groupBy("video_id", "frame_index").agg(
-        F.max_by(F.struct(*rest), F.struct(fl.bbox_area(Box.of()), -F.col("det_id"))).alias("d")
-    ).select("video_id", "frame_index", "d.*")
+        F.max_by(F.struct(*rest), F.struct(fl.bbox_area(Box.of()), -F.col("det_id"))).alias("_largest")
+    ).select("video_id", "frame_index", "_largest.*")
     inside = lambda variant: fl.ellipse_contains(
         F.col("px"), F.col("py"), Box.of(), variant=variant, left_eye=(F.col("kx0"), F.col("ky0")),
         right_eye=(F.col("kx1"), F.col("ky1")),
