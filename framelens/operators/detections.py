@@ -88,11 +88,8 @@ def nms(
     return few.unionByName(crowded_nms(df.join(hot, list(keys), "left_semi"), iou=iou, keys=keys))
 
 
-def _folded_nms(df: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
-    payload = [c for c in df.columns if c not in keys]
-    ranked = with_rank_key(df)
-    item = F.struct(F.col("_key"), *(F.col(c) for c in payload))
-    grouped = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("_all"))
+def suppress(ranked: Column, iou: float) -> Column:
+    """Greedy suppression over an array of boxes, best first."""
 
     def keep(kept: Column, candidate: Column) -> Column:
         box = Box.in_struct(candidate)
@@ -100,9 +97,16 @@ def _folded_nms(df: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(candidate)))
 
     # Without neighbours there is nothing to suppress.
-    survivors = F.when(F.size("_all") == 1, F.col("_all")).otherwise(
-        F.aggregate("_all", F.slice("_all", 1, 0), keep)
-    )
+    return F.when(F.size(ranked) <= 1, ranked).otherwise(F.aggregate(ranked, F.slice(ranked, 1, 0), keep))
+
+
+def _folded_nms(df: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
+    payload = [c for c in df.columns if c not in keys]
+    ranked = with_rank_key(df)
+    item = F.struct(F.col("_key"), *(F.col(c) for c in payload))
+    grouped = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("_all"))
+
+    survivors = suppress(F.col("_all"), iou)
     return grouped.select(*keys, F.explode(survivors).alias("_kept")).select(
         *keys, *(F.col("_kept")[c].alias(c) for c in payload)
     ).select(*df.columns)

@@ -6,8 +6,10 @@ width x height of them and a row or column of a frame at most width or height.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from framelens.session import cut_lineage
 FOREGROUND = 24
 MIN_COMPONENT_OVERLAP, MIN_INSTANCE_OVERLAP = 0.05, 0.08
 _ROW_STRIDE = 2**31
+# Cells of one frame that one task may hold; an 8K frame has twice as many.
+TASK_CELLS = 16_000_000
 
 
 def union_masks(cells: DataFrame, *, keys: Sequence[str] = ("frame_id",), value: str = "v") -> DataFrame:
@@ -59,13 +63,91 @@ def pixel_stats(
     )
 
 
-def component_cells(cells: DataFrame, *, key: str = "frame_id", value: str = "v", threshold: int = FOREGROUND):
+def component_cells(
+    cells: DataFrame, *, key: str = "frame_id", value: str = "v", threshold: int = FOREGROUND,
+    max_cells: int | None = None,
+) -> DataFrame:
     """Foreground cells with ``component``: the smallest cell number (cy * 2^31 + cx) of their 8-connected part.
 
+    A frame's cells are distinct positions, so frames up to ``TASK_CELLS`` cells are labelled whole, one frame
+    at a time. ``max_cells`` (width x height) states the bound when it is known; otherwise frames are counted,
+    and larger ones are labelled across tasks.
+    """
+    front = cells.filter(F.col(value) >= threshold)
+    if max_cells is not None and max_cells <= TASK_CELLS:
+        return _label_frames(front, key)
+    large = front.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TASK_CELLS).drop("_n")
+    if large.isEmpty():
+        return _label_frames(front, key)
+    large = cut_lineage(large)
+    return _label_frames(front.join(large, key, "left_anti"), key).unionByName(
+        spread_labels(front.join(large, key, "left_semi"), key=key)
+    )
+
+
+def _label_frames(front: DataFrame, key: str) -> DataFrame:
+    """Label whole frames as they stream by in (frame, row, column) order; a task holds one frame and a batch."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in front.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            frames = rows[key].to_numpy()
+            if frames[0] == frames[-1]:
+                held = rows
+                continue
+            # The last frame may go on in the next batch.
+            split = int(np.flatnonzero(frames != frames[-1])[-1]) + 1
+            held = rows.iloc[split:]
+            done = rows.iloc[:split]
+            yield done.assign(component=_components(done[key].to_numpy(), done["cy"].to_numpy(), done["cx"].to_numpy()))
+        if held is not None and len(held):
+            yield held.assign(component=_components(held[key].to_numpy(), held["cy"].to_numpy(), held["cx"].to_numpy()))
+
+    arranged = front.repartition(key).sortWithinPartitions(key, "cy", "cx")
+    return arranged.mapInPandas(run, f"{ddl}, component long")
+
+
+def _components(frames: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Smallest cell number of each cell's part: join horizontal runs that touch the row above."""
+    breaks = np.flatnonzero((frames[1:] != frames[:-1]) | (np.diff(ys) != 0) | (np.diff(xs) != 1)) + 1
+    first = np.concatenate(([0], breaks))
+    last = np.concatenate((breaks, [len(xs)])) - 1
+    order = np.concatenate(([0], np.cumsum(frames[1:] != frames[:-1])))[first].tolist()
+    row, left, right = ys[first].tolist(), xs[first].tolist(), xs[last].tolist()
+    parent = list(range(len(first)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = 0
+    for i in range(len(first)):
+        line = (order[i], row[i] - 1)
+        while above < i and ((order[above], row[above]) < line or (
+            (order[above], row[above]) == line and right[above] < left[i] - 1
+        )):
+            above += 1
+        j = above
+        while j < i and (order[j], row[j]) == line and left[j] <= right[i] + 1:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+            j += 1
+    # Runs are in cell order, so the smallest run of a part starts with its smallest cell.
+    roots = np.array([root(i) for i in range(len(first))])
+    names = ys[first].astype(np.int64) * _ROW_STRIDE + xs[first]
+    return np.repeat(names[roots], last - first + 1)
+
+
+def spread_labels(front: DataFrame, *, key: str = "frame_id") -> DataFrame:
+    """The same labels for frames too large for one task.
+
     Cells are first joined to horizontal runs; labels then spread over touching runs, with path halving, until
     nothing changes. Each round is checkpointed.
     """
-    front = cells.filter(F.col(value) >= threshold)
     line = Window.partitionBy(key, "cy").orderBy("cx")
     grouped = front.withColumn("_g", F.col("cx") - F.row_number().over(line))
     start = F.min("cx").over(Window.partitionBy(key, "cy", "_g"))
@@ -103,10 +185,11 @@ def component_cells(cells: DataFrame, *, key: str = "frame_id", value: str = "v"
 
 
 def component_label(
-    cells: DataFrame, min_area: int = 12, *, key: str = "frame_id", value: str = "v", threshold: int = FOREGROUND
+    cells: DataFrame, min_area: int = 12, *, key: str = "frame_id", value: str = "v", threshold: int = FOREGROUND,
+    max_cells: int | None = None,
 ) -> DataFrame:
     """Cells of components with at least ``min_area`` cells, with ``component`` and ``area``."""
-    labelled = component_cells(cells, key=key, value=value, threshold=threshold)
+    labelled = component_cells(cells, key=key, value=value, threshold=threshold, max_cells=max_cells)
     sizes = labelled.groupBy(key, "component").agg(F.count(F.lit(1)).alias("area")).filter(F.col("area") >= min_area)
     return labelled.join(sizes, [key, "component"])
 
@@ -176,7 +259,7 @@ def refine_regions(
     """
     least = max(12, int(width * height * 0.00002)) if min_area is None else min_area
     wanted = cells.join(instances.select(key).distinct(), key, "left_semi")
-    components = cut_lineage(component_label(wanted, least, key=key))
+    components = cut_lineage(component_label(wanted, least, key=key, max_cells=width * height))
     ellipses = cut_lineage(instance_cells(instances, width, height, key=key, expand=expand))
     matches = cut_lineage(box_instance_overlap(components, ellipses, key=key))
     kept_ids = matches.select(key, "component").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import as_doubles, l2_norm, l2_normalize
-from framelens.session import fits
+from framelens.session import cut_lineage
 
 # Yaw ranges (degrees) a bank tries to cover: left, frontal, right.
 YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
@@ -92,8 +92,9 @@ def match_identity(
     the detections are never shuffled and no pair is ever emitted. A larger bank is cut into blocks of that
     size; each detection meets every block and keeps ``k`` matches per block before the blocks are merged.
     """
-    small = fits(references, bank_rows)
-    if small:
+    head = cut_lineage(references.select("ref_id", vector).limit(bank_rows + 1))
+    if head.count() <= bank_rows:
+        references = head
         packed = F.broadcast(pack_references(references, F.lit(0), vector=vector))
         arranged = detections.withColumn("_block", F.lit(0))
         blocks = 1

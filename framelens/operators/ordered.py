@@ -60,11 +60,11 @@ def ordered_index(
 ) -> DataFrame:
     """Zero-based position of each row in its key. ``bucket`` must not decrease along ``order``."""
     carried = with_carry(
-        df, keys, bucket, {"_rows": F.count(F.lit(1))},
-        lambda w: {"_base": F.coalesce(F.sum("_rows").over(w), F.lit(0))},
+        df, keys, bucket, {"_bucket_rows": F.count(F.lit(1))},
+        lambda w: {"_rows_before": F.coalesce(F.sum("_bucket_rows").over(w), F.lit(0))},
     )
-    position = F.row_number().over(in_bucket(keys, order)) - 1 + F.col("_base")
-    return carried.withColumn(name, position.cast("long")).drop(BUCKET, "_base")
+    position = F.row_number().over(in_bucket(keys, order)) - 1 + F.col("_rows_before")
+    return carried.withColumn(name, position.cast("long")).drop(BUCKET, "_rows_before")
 
 
 def ordered_running_sum(
@@ -74,11 +74,11 @@ def ordered_running_sum(
     """Running sum; give an integer ``value`` for an exact result."""
     carried = with_carry(
         df.withColumn("_value", value), keys, bucket, {"_total": F.sum("_value")},
-        lambda w: {"_base": F.coalesce(F.sum("_total").over(w), F.lit(0))},
+        lambda w: {"_sum_before": F.coalesce(F.sum("_total").over(w), F.lit(0))},
     )
     frame = in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    running = F.coalesce(F.sum("_value").over(frame), F.lit(0)) + F.col("_base")
-    return carried.withColumn(name, running).drop(BUCKET, "_base", "_value")
+    running = F.coalesce(F.sum("_value").over(frame), F.lit(0)) + F.col("_sum_before")
+    return carried.withColumn(name, running).drop(BUCKET, "_sum_before", "_value")
 
 
 def ordered_lag(

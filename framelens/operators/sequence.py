@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from framelens.functions import bhattacharyya, mean_abs_difference
 from framelens.operators import ordered
 from framelens.operators.ordered import frame_bucket
 from framelens.operators.quantiles import exact_percentile
+from framelens.session import cut_lineage
 
 MAX_SMOOTHING = 0.98
 JUMP_HISTORY = 20
@@ -107,20 +107,23 @@ def ema(
         summary, key_names, [ordered.BUCKET], [ordered.BUCKET, "gain", "offset"], begin, advance,
         f"{key_ddl}, {ordered.BUCKET} long, _entering double",
     )
-    joined = cut.join(entering, [*keys, ordered.BUCKET])
-    out_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields) + f"`{name}` double"
-
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(index)
-        x, r = group[value].astype(float).tolist(), group[restart].tolist()
-        state, out = float(group["_entering"].iloc[0]), []
-        for current, again in zip(x, r):
-            state = current if again else alpha * state + (1.0 - alpha) * current
-            out.append(state)
-        group[name] = out
-        return group.drop(columns=[ordered.BUCKET, "_entering"])
+    joined = cut.join(entering, [*keys, ordered.BUCKET]).withColumns({f"_key_{k}": F.col(k) for k in keys})
+    names = df.columns
+    at_value, at_restart = names.index(value), names.index(restart)
+
+    def smooth(state, row):
+        *values, start = row
+        before = state[0] if state else start
+        x = float(values[at_value])
+        now = x if values[at_restart] else alpha * before + (1.0 - alpha) * x
+        state[:] = [now]
+        return [(*values, now)]
 
-    return joined.groupBy(*keys, ordered.BUCKET).applyInPandas(smooth, out_schema)
+    out_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields) + f"`{name}` double"
+    return ordered.fold_sorted(
+        joined, [*(f"_key_{k}" for k in keys), ordered.BUCKET], [index], [*names, "_entering"], lambda key: [], smooth,
+        out_schema,
+    )
 
 
 def temporal_delta(
@@ -173,24 +176,28 @@ def timeline_sample(frames: DataFrame, samples: int, *, key: str = "video_id", i
 
 
 def metric_summary(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
-    """count, mean, population deviation and interpolated p95 per metric, at six decimals; one row per key."""
+    """count, mean, population deviation and interpolated p95 per metric, at six decimals; one row per key.
+
+    The metrics are turned into rows, so all of them share the same passes over the data.
+    """
     keys = list(keys)
-    aggregates = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        aggregates += [
-            F.count(v).alias(f"{c}_count"), F.round(F.avg(v), 6).alias(f"{c}_mean"),
-            F.round(F.stddev_pop(v), 6).alias(f"{c}_std"),
-        ]
-    summary = (df.groupBy(*keys) if keys else df.groupBy()).agg(*aggregates)
-    for c in columns:
-        p95 = exact_percentile(df, keys, c, 0.95, f"{c}_p95").withColumn(f"{c}_p95", F.round(f"{c}_p95", 6))
-        if keys:
-            summary = summary.join(p95, keys, "left")
-        else:
-            one = F.lit(1).alias("_one")
-            summary = summary.select("*", one).join(p95.select("*", one), "_one", "left").drop("_one")
-    return summary
+    long = df.select(
+        *keys,
+        F.explode(
+            F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))
+        ).alias("_m"),
+    ).select(*keys, "_m.metric", "_m.value")
+    parts = ("count", "mean", "std")
+    stats = long.groupBy(*keys, "metric").agg(
+        F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.stddev_pop("value"), 6).alias("std"),
+    )
+    p95 = exact_percentile(long, [*keys, "metric"], "value", 0.95, "p95").withColumn("p95", F.round("p95", 6))
+    joined = stats.join(p95, [*keys, "metric"], "left")
+    of = lambda metric, part: F.max(F.when(F.col("metric") == metric, F.col(part)))
+    return joined.groupBy(*keys).agg(
+        *(of(c, part).alias(f"{c}_{part}") for c in columns for part in (*parts, "p95"))
+    )
 
 
 QUALITY_METRICS = (
@@ -201,7 +208,8 @@ QUALITY_METRICS = (
 
 def quality_report(frames: DataFrame, *, key: str = "video_id") -> DataFrame:
     """One row per video with a {count, mean, std, p95} struct per quality metric."""
-    flat = metric_summary(frames, QUALITY_METRICS, keys=[key])
+    narrow = cut_lineage(frames.select(key, *QUALITY_METRICS))
+    flat = metric_summary(narrow, QUALITY_METRICS, keys=[key])
     metric = lambda m: F.struct(*(F.col(f"{m}_{part}").alias(part) for part in ("count", "mean", "std", "p95")))
     return flat.select(key, *(metric(m).alias(m) for m in QUALITY_METRICS))
 

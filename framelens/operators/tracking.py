@@ -21,11 +21,13 @@ from framelens.functions.boxes import (
 from framelens.operators import detections as det
 from framelens.operators import filters, ordered, sequence
 from framelens.operators.ordered import frame_bucket
+from framelens.session import cut_lineage
 
 POINT = "struct<x:double,y:double>"
 CANDIDATE = (
     f"struct<similarity:double,det_id:bigint,x1:double,y1:double,x2:double,y2:double,kps:array<{POINT}>>"
 )
+CANDIDATE_FIELDS = ("similarity", "det_id", "x1", "y1", "x2", "y2", "kps")
 INSTANCE = (
     f"struct<track_id:bigint,det_id:bigint,x1:double,y1:double,x2:double,y2:double,kps:array<{POINT}>,"
     "similarity:double>"
@@ -232,23 +234,49 @@ def frame_candidates(detections: DataFrame, config: TrackConfig, *, crowded: int
     """Per frame, what the tracker needs: suppressed candidates, best first, and the ambiguity verdict.
 
     Similarity filter, ranking and suppression do not depend on tracker state, so they run as ordinary
-    Spark operators; the fold only sees the few survivors.
+    Spark operators and the fold only sees the few survivors. One aggregation serves all of it: two
+    similarities can only be ambiguous if both pass the threshold, so the candidate list holds them.
+    Frames with more rows than ``crowded`` take a route that never lists them.
     """
+    keys = list(det.FRAME)
+    if crowded is not None:
+        hot = detections.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).drop("_n")
+        if not hot.isEmpty():
+            hot = cut_lineage(hot)
+            usual = frame_candidates(detections.join(hot, keys, "left_anti"), config, crowded=None)
+            return usual.unionByName(_crowded_candidates(detections.join(hot, keys, "left_semi"), config))
+    ranked = det.with_rank_key(detections.filter(F.col("similarity").isNotNull()))
+    item = F.struct("_key", *CANDIDATE_FIELDS)
+    near = F.when(F.col("similarity") >= config.min_similarity, item)
+    listed = ranked.groupBy(*keys).agg(
+        F.max("similarity").alias("top_similarity"), F.sort_array(F.collect_list(near), asc=False).alias("_all")
+    )
+    second = F.get("_all", F.lit(1))["similarity"]
+    close = F.col("top_similarity") - second < config.ambiguity_margin
+    verdict = F.coalesce(close, F.lit(False)) if config.max_faces == 1 else F.lit(False)
+    plain = F.transform(
+        det.suppress(F.col("_all"), config.duplicate_iou),
+        lambda i: F.struct(*(i[c].alias(c) for c in CANDIDATE_FIELDS)),
+    )
+    return listed.select(*keys, "top_similarity", verdict.alias("ambiguous"), plain.alias("candidates"))
+
+
+def _crowded_candidates(detections: DataFrame, config: TrackConfig) -> DataFrame:
     keys = list(det.FRAME)
     known = detections.filter(F.col("similarity").isNotNull())
     verdict = det.ambiguity(
         known, margin=config.ambiguity_margin, min_sim=config.min_similarity, max_target_faces=config.max_faces
     )
-    fields = [*keys, "det_id", "x1", "y1", "x2", "y2", "kps", "det_score", "similarity"]
-    near = known.filter(F.col("similarity") >= config.min_similarity).select(*fields)
-    kept = det.with_rank_key(det.nms(near, iou=config.duplicate_iou, crowded=crowded))
-    item = F.struct(
-        "_key", F.struct("similarity", "det_id", "x1", "y1", "x2", "y2", "kps").alias("c")
-    )
+    near = known.filter(F.col("similarity") >= config.min_similarity).select(*keys, *CANDIDATE_FIELDS, "det_score")
+    kept = det.with_rank_key(det.crowded_nms(near, iou=config.duplicate_iou))
+    # Survivors overlap less than the threshold, so only so many fit into a frame.
     listed = kept.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(item), asc=False), lambda i: i["c"]).alias("candidates")
+        F.sort_array(F.collect_list(F.struct("_key", *CANDIDATE_FIELDS)), asc=False).alias("_all")
+    )
+    plain = F.transform("_all", lambda i: F.struct(*(i[c].alias(c) for c in CANDIDATE_FIELDS)))
+    return verdict.join(listed, keys, "left").select(
+        *keys, "top_similarity", "ambiguous", F.coalesce(plain, F.array().cast(f"array<{CANDIDATE}>")).alias("candidates")
     )
-    return verdict.join(listed, keys, "left")
 
 
 def tracking_input(
@@ -257,9 +285,8 @@ def tracking_input(
 ) -> DataFrame:
     """One row per frame: cut, scene, verdict, candidates and accepted motion. Empty frames stay."""
     keys = list(det.FRAME)
-    scenes = sequence.scene_id(sequence.scene_cuts(frames, config.cut_threshold)).select(
-        *keys, "scene_cut", "scene_id"
-    )
+    cuts = cut_lineage(sequence.scene_cuts(frames, config.cut_threshold).select(*keys, "scene_cut"))
+    scenes = sequence.scene_id(cuts)
     rows = scenes.join(frame_candidates(detections, config, crowded=crowded), keys, "left")
     if motion is None:
         rows = rows.withColumn("motion", F.lit(None).cast("array<double>"))
@@ -278,24 +305,26 @@ def tracking_input(
     )
 
 
-def segment_id(rows: DataFrame, config: TrackConfig, *, keys=("video_id",), name: str = "segment") -> DataFrame:
-    """Number the stretches that can be tracked on their own.
+def segment_starts(rows: DataFrame, config: TrackConfig) -> DataFrame:
+    """(video_id, frame_index, segment): the stretches that can be tracked on their own.
 
     A cut drops all tracks. So does a run of ``max_missing + 1`` frames with neither a candidate nor
     acceptable motion, since each of them ages every track by at least one; the frame after it starts empty.
+    Works on narrow marks, not on the candidates.
     """
+    keys = ["video_id"]
     dead = (F.size("candidates") == 0) & F.col("motion").isNull()
-    keys = list(keys)
-    numbered = ordered.ordered_index(rows, keys, "frame_index", frame_bucket("frame_index"), "_row")
-    alive_at = F.when(~dead, F.col("_row"))
+    marks = cut_lineage(rows.select("video_id", "frame_index", "scene_cut", dead.alias("dead")))
+    numbered = ordered.ordered_index(marks, keys, "frame_index", frame_bucket("frame_index"), "_row")
     seen = ordered.ordered_last_value(
-        numbered, keys, "_row", frame_bucket("_row"), alive_at, "_alive", inclusive=False
+        numbered, keys, "_row", frame_bucket("_row"), F.when(~F.col("dead"), F.col("_row")), "_alive", inclusive=False
     )
     idle = F.col("_row") - 1 - F.coalesce(F.col("_alive"), F.lit(-1))
     fresh = F.col("scene_cut") | (idle == config.max_missing + 1)
+    flagged = cut_lineage(seen.select("video_id", "frame_index", fresh.cast("long").alias("_fresh")))
     return ordered.ordered_running_sum(
-        seen, keys, "_row", frame_bucket("_row"), fresh.cast("long"), name
-    ).drop("_row", "_alive")
+        flagged, keys, "frame_index", frame_bucket("frame_index"), F.col("_fresh"), "segment"
+    ).drop("_fresh")
 
 
 def track(
@@ -304,11 +333,15 @@ def track(
 ) -> DataFrame:
     """Track instances through every video; one row per frame with its instances.
 
-    Videos are folded per segment (see ``segment_id``), so long videos spread over the cluster; a fold holds
+    Videos are folded per segment (see ``segment_starts``), so long videos spread over the cluster; a fold holds
     one Arrow batch and a few tracks. Track ids count from 0 in each segment.
     """
     rows = tracking_input(frames, detections, motion, config, crowded=crowded)
-    rows = segment_id(rows, config) if split else rows.withColumn("segment", F.lit(0).cast("long"))
+    if split:
+        rows = cut_lineage(rows)
+        rows = rows.join(segment_starts(rows, config), ["video_id", "frame_index"])
+    else:
+        rows = rows.withColumn("segment", F.lit(0).cast("long"))
     key_type = rows.schema["video_id"].dataType.simpleString()
     taken = ["frame_index", "scene_id", "scene_cut", "ambiguous", "top_similarity", "candidates", "motion"]
 

@@ -138,10 +138,10 @@ BEST_FACE = (
 )
 
 
-@query("scl10_best_face_score", f"SELECT det_id, {q6(f'{BEST_FACE} / 43200')} AS frame_share FROM v_box d")
+@query("scl10_best_face_score", f"SELECT det_id, {q6(f'sqrt({BEST_FACE})')} AS score_root FROM v_box d")
 def scl10(spark, sf_dir):
     score = fl.best_face_score(Box.of(), F.col("det_score"), W, H)
-    return view(spark, sf_dir, "v_box").select("det_id", r6(score / (W * H)).alias("frame_share"))
+    return view(spark, sf_dir, "v_box").select("det_id", r6(F.sqrt(score)).alias("score_root"))
 
 
 @query("scl11_pose_from_kps", f"SELECT det_id, {q6('yaw')} AS yaw, {q6('pitch')} AS pitch FROM v_posed")

@@ -353,7 +353,7 @@ def agg16(spark, sf_dir):
 
 @query("agg17_component_label", f"WITH {COMPONENTS} SELECT frame_id, cx, cy, component, area FROM parts")
 def agg17(spark, sf_dir):
-    return grid.component_label(view(spark, sf_dir, "v_cells"), 4, threshold=REGION).select("frame_id", "cx", "cy", "component", "area")
+    return grid.component_label(view(spark, sf_dir, "v_cells"), 4, threshold=REGION, max_cells=64).select("frame_id", "cx", "cy", "component", "area")
 
 
 MATCHES = f"""
@@ -364,7 +364,7 @@ matches AS MATERIALIZED (SELECT frame_id, component, instance, overlap, overlap
 
 
 def _matches(spark, sf_dir):
-    parts = grid.component_label(view(spark, sf_dir, "v_cells"), 4, threshold=REGION)
+    parts = grid.component_label(view(spark, sf_dir, "v_cells"), 4, threshold=REGION, max_cells=64)
     return grid.box_instance_overlap(parts, _instances_of_cells(spark, sf_dir))
 
 
@@ -396,7 +396,7 @@ SELECT count(*) AS frames_total, count(CASE WHEN n > 0 THEN 1 END) AS frames_wit
 """)
 def agg10(spark, sf_dir):
     cells = view(spark, sf_dir, "v_cells")
-    parts = grid.component_label(cells, 4, threshold=REGION)
+    parts = grid.component_label(cells, 4, threshold=REGION, max_cells=64)
     matches = grid.box_instance_overlap(parts, _instances_of_cells(spark, sf_dir))
     count = lambda df, name: df.groupBy("frame_id").agg(F.countDistinct("component").alias(name))
     n = F.greatest(F.lit(0).cast("long"), F.col("frame_id") % 4 - 1)

@@ -262,9 +262,9 @@ def _plain_times(df, *columns):
 
 
 @query("str1_stream_span_summary", f"""
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, run_id, name, count(*) AS count,
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, run_id, name, count(*) AS count,
        CAST(sum(duration_ns) AS BIGINT) AS total_duration_ns, min(duration_ns) AS min_duration_ns, max(duration_ns) AS max_duration_ns, CAST(sum(thread_cpu_ns) AS BIGINT) AS total_thread_cpu_ns
-FROM v_spans GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {WATERMARK}
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM v_spans) s WHERE w + INTERVAL 1 HOUR <= {WATERMARK} GROUP BY w, run_id, name
 """)
 def str1(spark, sf_dir):
     """Closed windows only: those the watermark has passed."""

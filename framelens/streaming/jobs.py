@@ -20,7 +20,8 @@ def stream_files(spark: SparkSession, path: str, *, max_files: int | None = None
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    # As a pattern the path may name one file or a folder of files.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def timed(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:

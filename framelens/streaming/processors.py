@@ -25,24 +25,31 @@ class _InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._next = handle.getValueState("next", "value long")
         self._early = handle.getMapState("early", "idx long", "row string")
+        self._held = handle.getValueState("held", "n long")
 
     def ready(self, rows: Iterator[pd.DataFrame]) -> Iterator[dict]:
         expected = self._next.get()[0] if self._next.exists() else 0
+        held = self._held.get()[0] if self._held.exists() else 0
+        held_before = held
         for batch in rows:
             records = batch.sort_values(self.index).to_dict("records")
             for record in records:
                 at = int(record[self.index])
                 if at > expected:
                     self._early.updateValue((at,), (json.dumps(record, default=_plain),))
+                    held += 1
                 elif at == expected:
                     yield record
                     expected += 1
-                while self._early.containsKey((expected,)):
+                while held and self._early.containsKey((expected,)):
                     stored = self._early.getValue((expected,))[0]
                     self._early.removeKey((expected,))
+                    held -= 1
                     yield json.loads(stored)
                     expected += 1
         self._next.update((expected,))
+        if held != held_before:
+            self._held.update((held,))
 
     def close(self) -> None:
         pass
@@ -88,7 +95,7 @@ class StalledRuns(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for at in sorted(set(int(t.timestamp() * 1000) for t in batch[self.ts].tolist())):
+            for at in sorted(set(t.value // 1_000_000 for t in batch[self.ts].tolist())):
                 self._waiting.updateValue((at,), (1,))
                 self._handle.registerTimer(at)
         yield pd.DataFrame([], columns=["key", "before_ms", "at_ms"])
