@@ -35,9 +35,10 @@ def _guard_zero(norm: Column, value: Column, on_zero: str) -> Column:
 
 def l2_normalize(vector, *, on_zero: str = "null") -> Column:
     """Unit vector; a near-zero one gives null or raises."""
-    norm = l2_norm(vector)
-    scaled = F.transform(as_doubles(vector), lambda x: x / norm)
-    return _guard_zero(norm, scaled, on_zero)
+    # A lambda body is evaluated per element, so the norm is bound once by an outer lambda.
+    values = as_doubles(vector)
+    scaled = F.transform(F.array(l2_norm(vector)), lambda norm: _guard_zero(norm, F.transform(values, lambda x: x / norm), on_zero))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a, b, *, on_zero: str = "null") -> Column:

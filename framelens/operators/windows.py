@@ -200,33 +200,47 @@ def nearest_cut(clips: DataFrame, cuts: DataFrame, window: int, *, key: str = "v
     return clips.join(best, [key, "clip_index"], "left")
 
 
-def stitch(clip_values: DataFrame, clips: DataFrame, *, key: str = "video_id") -> DataFrame:
+def stitch(
+    clip_values: DataFrame, clips: DataFrame, plan: WindowPlan = WindowPlan(), *, key: str = "video_id"
+) -> DataFrame:
     """One value per frame of the output.
 
     A soft boundary cross-fades with what is already there; after a hard cut the later window owns its
-    frames. The windows over one frame are folded in order; there are at most ``frame_num`` of them.
+    frames. Laying windows over each other in order is linear in their values, so each value gets its final
+    share from the windows that follow it and the frames are plain sums, combined before the shuffle.
     """
-    placed = clip_values.join(
-        clips.select(key, "clip_index", "start_frame", "valid_frames", "overlap_before", "hard_cut_before"),
-        [key, "clip_index"],
-    ).filter(F.col("offset") < F.col("valid_frames"))
-    layer = F.struct(
-        "clip_index", "offset", F.col("value").cast("double").alias("value"), "overlap_before", "hard_cut_before"
-    )
-    stack = placed.withColumn("frame_index", F.col("start_frame") + F.col("offset")).groupBy(
-        key, "frame_index"
-    ).agg(F.array_sort(F.collect_list(layer)).alias("_stack"))
-
-    def lay(below: Column, top: Column) -> Column:
-        weight = crossfade_weight(top["offset"], top["overlap_before"])
-        soft = ~top["hard_cut_before"] & (top["offset"] < top["overlap_before"])
-        return F.when(below.isNotNull() & soft, below * (1.0 - weight) + top["value"] * weight).otherwise(top["value"])
-
-    upper = F.element_at("_stack", -1)
-    boundary = (upper["clip_index"] > 0) & (upper["offset"] == 0) & (
-        upper["hard_cut_before"] | (upper["overlap_before"] > 0)
+    # A window reaches at most frame_num frames and starts at least stride - snap (or one) frames after the
+    # one before it, so only so many later windows can cover a frame of it.
+    step = max(1, plan.stride - (plan.snap if plan.scene_aware else 0))
+    reach = -(-plan.frame_num // step)
+    details = ("start_frame", "overlap_before", "hard_cut_before")
+    turned = clips.select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_ahead"), "clip_index", "valid_frames", *details
+    ).select(key, (F.col("clip_index") - F.col("_ahead")).alias("clip_index"), "_ahead", "valid_frames", *details)
+    at = lambda i, c: F.max(F.when(F.col("_ahead") == i, F.col(c))).alias(c if i == 0 else f"_{c}_{i}")
+    layered = turned.groupBy(key, "clip_index").agg(
+        at(0, "valid_frames"), *(at(i, c) for i in range(reach + 1) for c in details)
+    ).filter(F.col("start_frame").isNotNull())
+    placed = clip_values.join(layered, [key, "clip_index"]).filter(F.col("offset") < F.col("valid_frames"))
+    frame = F.col("frame_index")
+
+    def taken(start: Column, overlap: Column, hard: Column) -> Column:
+        """Share a window takes of a frame it covers, from whatever lies below."""
+        return F.when(hard | (frame - start >= overlap), F.lit(1.0)).otherwise(crossfade_weight(frame - start, overlap))
+
+    share = F.when(F.col("clip_index") == 0, F.lit(1.0)).otherwise(taken(*(F.col(c) for c in details)))
+    covered = F.lit(False)
+    for i in range(1, reach + 1):
+        later = [F.col(f"_{c}_{i}") for c in details]
+        above = F.coalesce(later[0] <= frame, F.lit(False))
+        covered = covered | above
+        share = share * F.when(above, F.lit(1.0) - taken(*later)).otherwise(F.lit(1.0))
+    opens = (F.col("clip_index") > 0) & (F.col("offset") == 0) & (
+        F.col("hard_cut_before") | (F.col("overlap_before") > 0)
     )
-    return stack.select(
-        key, "frame_index", F.aggregate("_stack", F.lit(None).cast("double"), lay).alias("value"),
-        F.size("_stack").alias("layers"), boundary.alias("boundary"),
+    return (
+        placed.withColumn("frame_index", F.col("start_frame") + F.col("offset"))
+        .select(key, "frame_index", (F.col("value") * share).alias("_part"), (opens & ~covered).alias("_opens"))
+        .groupBy(key, "frame_index")
+        .agg(F.sum("_part").alias("value"), F.count(F.lit(1)).alias("layers"), F.max("_opens").alias("boundary"))
     )

@@ -346,8 +346,8 @@ def str10(spark, sf_dir):
 
 
 @query("str6_stream_stalled_runs", """
-SELECT user_id AS key, before_ms, at_ms FROM (SELECT user_id, epoch_ms(ts) AS at_ms, lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_ms FROM events) t
-WHERE at_ms - before_ms > 86400000 AND at_ms <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)
+SELECT user_id AS key, before_ms, at_ms FROM (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_ms FROM events) t
+WHERE at_ms - before_ms > 86400000 AND at_ms <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)
 """)
 def str6_stream(spark, sf_dir):
     gaps = processors.stream_stalled_runs(_stream(spark, sf_dir), 43200, key="user_id")
