@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framelens.operators.tracking import INSTANCE, TrackConfig, TrackFold
@@ -155,17 +156,14 @@ class LiveTrack(_InOrder):
         fold, last, scene = TrackFold(self.config, saved.get("fold")), saved.get("hist"), saved.get("scene", 0)
         out = []
         for record in self.ready(rows):
-            hist = [float(v) for v in record["hist"]]
+            hist = json.loads(record["hist"])
             cut = last is not None and histogram_distance(last, hist) >= self.config.cut_threshold
             scene, last = scene + int(cut), hist
             top = record["top_similarity"]
             top = None if top is None or top != top else float(top)
-            motion = record["motion"]
-            candidates = list(record["candidates"]) if record["candidates"] is not None else []
-            step = fold.step(
-                int(record["frame_index"]), cut, bool(record["ambiguous"]), top, candidates,
-                None if motion is None else [float(v) for v in motion],
-            )
+            candidates = json.loads(record["candidates"] or "[]")
+            motion = json.loads(record["motion"] or "null")
+            step = fold.step(int(record["frame_index"]), cut, bool(record["ambiguous"]), top, candidates, motion)
             out.append((key[0], int(record["frame_index"]), scene, *step))
         self._tracker.update(
             (json.dumps({"fold": fold.snapshot(), "hist": last, "scene": scene}, default=_plain),)
@@ -178,9 +176,15 @@ class LiveTrack(_InOrder):
 
 
 def stream_track(stream: DataFrame, config: TrackConfig) -> DataFrame:
-    """Track as frames arrive. Rows as ``tracking.tracking_input`` makes them, with ``hist``."""
+    """Track as frames arrive. Rows as ``tracking.tracking_input`` makes them, with ``hist``.
+
+    Nested columns go to Python as JSON, the form in which early rows are kept as well.
+    """
     kind = stream.schema["video_id"].dataType.simpleString()
-    rows = stream.select("video_id", "frame_index", "hist", "ambiguous", "top_similarity", "candidates", "motion")
+    rows = stream.select(
+        "video_id", "frame_index", "ambiguous", "top_similarity",
+        *(F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in ("hist", "candidates", "motion")),
+    )
     return stateful(
         rows, ["video_id"], LiveTrack(config),
         f"video_id {kind}, frame_index long, scene_id long, scene_cut boolean, detection_due boolean, full_scan boolean, "
