@@ -104,7 +104,8 @@ def _folded_nms(df: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
     payload = [c for c in df.columns if c not in keys]
     ranked = with_rank_key(df)
     item = F.struct(F.col("_key"), *(F.col(c) for c in payload))
-    grouped = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("_all"))
+    # Lists do not shrink before a shuffle, so plain rows are shuffled and listed after it.
+    grouped = ranked.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("_all"))
 
     survivors = suppress(F.col("_all"), iou)
     return grouped.select(*keys, F.explode(survivors).alias("_kept")).select(

@@ -67,18 +67,25 @@ def ordered_index(
     return carried.withColumn(name, position.cast("long")).drop(BUCKET, "_rows_before")
 
 
-def ordered_running_sum(
-    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], bucket: Column, value: Column,
-    name: str, *, inclusive: bool = True,
+def ordered_running_sums(
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], bucket: Column, values: dict[str, Column],
 ) -> DataFrame:
-    """Running sum; give an integer ``value`` for an exact result."""
+    """Running sums, the row itself included, under new names; give integer values for exact results."""
+    total, before, own = "_total_{}".format, "_before_{}".format, "_own_{}".format
     carried = with_carry(
-        df.withColumn("_value", value), keys, bucket, {"_total": F.sum("_value")},
-        lambda w: {"_sum_before": F.coalesce(F.sum("_total").over(w), F.lit(0))},
+        df.withColumns({own(n): v for n, v in values.items()}), keys, bucket,
+        {total(n): F.sum(own(n)) for n in values},
+        lambda w: {before(n): F.coalesce(F.sum(total(n)).over(w), F.lit(0)) for n in values},
     )
-    frame = in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    running = F.coalesce(F.sum("_value").over(frame), F.lit(0)) + F.col("_sum_before")
-    return carried.withColumn(name, running).drop(BUCKET, "_sum_before", "_value")
+    frame = in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    running = {n: F.coalesce(F.sum(own(n)).over(frame), F.lit(0)) + F.col(before(n)) for n in values}
+    return carried.withColumns(running).drop(BUCKET, *(c(n) for n in values for c in (before, own)))
+
+
+def ordered_running_sum(
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], bucket: Column, value: Column, name: str
+) -> DataFrame:
+    return ordered_running_sums(df, keys, order, bucket, {name: value})
 
 
 def ordered_lag(

@@ -224,7 +224,7 @@ def pose_for_range(
     span = F.sequence(F.col("start_frame"), F.col("start_frame") + F.col("valid_frames") - 1)
     per_frame = clips.select(key, *clip_keys, F.explode(span).alias("frame_index"))
     usable = track.filter(F.col("located") & ~F.col("ambiguous")).select(key, "frame_index", "yaw", "pitch")
-    medians = per_frame.join(usable, [key, "frame_index"]).groupBy(key, *clip_keys).agg(
+    medians = per_frame.hint("merge").join(usable, [key, "frame_index"]).groupBy(key, *clip_keys).agg(
         F.percentile("yaw", F.lit(0.5)).alias("yaw"), F.percentile("pitch", F.lit(0.5)).alias("pitch")
     )
     zero = F.lit(0.0)

@@ -248,7 +248,8 @@ def frame_candidates(detections: DataFrame, config: TrackConfig, *, crowded: int
     ranked = det.with_rank_key(detections.filter(F.col("similarity").isNotNull()))
     item = F.struct("_key", *CANDIDATE_FIELDS)
     near = F.when(F.col("similarity") >= config.min_similarity, item)
-    listed = ranked.groupBy(*keys).agg(
+    # Lists do not shrink before a shuffle, so plain rows are shuffled and listed after it.
+    listed = ranked.repartition(*keys).groupBy(*keys).agg(
         F.max("similarity").alias("top_similarity"), F.sort_array(F.collect_list(near), asc=False).alias("_all")
     )
     second = F.get("_all", F.lit(1))["similarity"]
@@ -283,11 +284,10 @@ def tracking_input(
     frames: DataFrame, detections: DataFrame, motion: DataFrame | None, config: TrackConfig,
     *, crowded: int | None = det.CROWDED_FRAME,
 ) -> DataFrame:
-    """One row per frame: cut, scene, verdict, candidates and accepted motion. Empty frames stay."""
+    """One row per frame: cut, verdict, candidates and accepted motion. Empty frames stay."""
     keys = list(det.FRAME)
-    cuts = cut_lineage(sequence.scene_cuts(frames, config.cut_threshold).select(*keys, "scene_cut"))
-    scenes = sequence.scene_id(cuts)
-    rows = scenes.join(frame_candidates(detections, config, crowded=crowded), keys, "left")
+    cuts = sequence.scene_cuts(frames, config.cut_threshold).select(*keys, "scene_cut")
+    rows = cuts.join(frame_candidates(detections, config, crowded=crowded), keys, "left")
     if motion is None:
         rows = rows.withColumn("motion", F.lit(None).cast("array<double>"))
     else:
@@ -305,26 +305,29 @@ def tracking_input(
     )
 
 
-def segment_starts(rows: DataFrame, config: TrackConfig) -> DataFrame:
-    """(video_id, frame_index, segment): the stretches that can be tracked on their own.
+def segments(rows: DataFrame, config: TrackConfig) -> DataFrame:
+    """(video_id, frame_index, scene_id, segment): segments are the stretches that can be tracked alone.
 
     A cut drops all tracks. So does a run of ``max_missing + 1`` frames with neither a candidate nor
     acceptable motion, since each of them ages every track by at least one; the frame after it starts empty.
     Works on narrow marks, not on the candidates.
     """
-    keys = ["video_id"]
-    dead = (F.size("candidates") == 0) & F.col("motion").isNull()
-    marks = cut_lineage(rows.select("video_id", "frame_index", "scene_cut", dead.alias("dead")))
-    numbered = ordered.ordered_index(marks, keys, "frame_index", frame_bucket("frame_index"), "_row")
-    seen = ordered.ordered_last_value(
-        numbered, keys, "_row", frame_bucket("_row"), F.when(~F.col("dead"), F.col("_row")), "_alive", inclusive=False
+    keys, run = ["video_id"], max(0, config.max_missing) + 1
+    dead = ((F.size("candidates") == 0) & F.col("motion").isNull()).cast("double")
+    marks = rows.select("video_id", "frame_index", "scene_cut", dead.alias("_dead"))
+    recent = ordered.ordered_recent(marks, keys, "frame_index", F.col("_dead"), "_recent", count=run + 1)
+    tail = F.slice(F.reverse("_recent"), 1, run)
+    idle = (F.size(tail) == run) & ~F.exists(tail, lambda d: d == 0)
+    first_idle = idle & F.coalesce(F.get(F.reverse("_recent"), F.lit(run)) == 0, F.lit(True))
+    flagged = cut_lineage(
+        recent.select(
+            *keys, "frame_index", F.col("scene_cut").cast("long").alias("_cut"),
+            (F.col("scene_cut") | first_idle).cast("long").alias("_fresh"),
+        )
     )
-    idle = F.col("_row") - 1 - F.coalesce(F.col("_alive"), F.lit(-1))
-    fresh = F.col("scene_cut") | (idle == config.max_missing + 1)
-    flagged = cut_lineage(seen.select("video_id", "frame_index", fresh.cast("long").alias("_fresh")))
-    return ordered.ordered_running_sum(
-        flagged, keys, "frame_index", frame_bucket("frame_index"), F.col("_fresh"), "segment"
-    ).drop("_fresh")
+    return ordered.ordered_running_sums(
+        flagged, keys, "frame_index", frame_bucket("frame_index"), {"scene_id": F.col("_cut"), "segment": F.col("_fresh")}
+    ).drop("_cut", "_fresh")
 
 
 def track(
@@ -333,14 +336,12 @@ def track(
 ) -> DataFrame:
     """Track instances through every video; one row per frame with its instances.
 
-    Videos are folded per segment (see ``segment_starts``), so long videos spread over the cluster; a fold holds
+    Videos are folded per segment (see ``segments``), so long videos spread over the cluster; a fold holds
     one Arrow batch and a few tracks. Track ids count from 0 in each segment.
     """
-    rows = tracking_input(frames, detections, motion, config, crowded=crowded)
-    if split:
-        rows = cut_lineage(rows)
-        rows = rows.join(segment_starts(rows, config), ["video_id", "frame_index"])
-    else:
+    rows = cut_lineage(tracking_input(frames, detections, motion, config, crowded=crowded))
+    rows = rows.join(segments(rows, config), ["video_id", "frame_index"])
+    if not split:
         rows = rows.withColumn("segment", F.lit(0).cast("long"))
     key_type = rows.schema["video_id"].dataType.simpleString()
     taken = ["frame_index", "scene_id", "scene_cut", "ambiguous", "top_similarity", "candidates", "motion"]

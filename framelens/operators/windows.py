@@ -167,7 +167,7 @@ def clip_frame_index(clips: DataFrame) -> DataFrame:
 
 
 def clip_frames(clips: DataFrame, frames: DataFrame, *, key: str = "video_id") -> DataFrame:
-    return clip_frame_index(clips).join(frames, [key, "frame_index"])
+    return clip_frame_index(clips).hint("merge").join(frames, [key, "frame_index"])
 
 
 def pad_to_length(clip_values: DataFrame, n: int, *, keys=("video_id", "clip_index"), value: str = "value"):
@@ -193,7 +193,7 @@ def nearest_cut(clips: DataFrame, cuts: DataFrame, window: int, *, key: str = "v
     targets = cuts.select(key, F.col("cut").cast("long").alias("cut"), cell(F.col("cut")).alias("_cell"))
     gap = F.abs(F.col("cut") - F.col("start_frame"))
     best = (
-        probes.join(targets, [key, "_cell"]).filter(gap <= window)
+        probes.hint("merge").join(targets, [key, "_cell"]).filter(gap <= window)
         .groupBy(key, "clip_index")
         .agg(F.min_by("cut", F.struct(gap, F.col("cut"))).alias("nearest_cut"))
     )
@@ -221,7 +221,9 @@ def stitch(
     layered = turned.groupBy(key, "clip_index").agg(
         at(0, "valid_frames"), *(at(i, c) for i in range(reach + 1) for c in details)
     ).filter(F.col("start_frame").isNotNull())
-    placed = clip_values.join(layered, [key, "clip_index"]).filter(F.col("offset") < F.col("valid_frames"))
+    # Size estimates do not see through an explode upstream, so the join is not left to them: the windows
+    # are a small part of the values, and each task hashes its share of them.
+    placed = clip_values.join(layered.hint("shuffle_hash"), [key, "clip_index"]).filter(F.col("offset") < F.col("valid_frames"))
     frame = F.col("frame_index")
 
     def taken(start: Column, overlap: Column, hard: Column) -> Column:
