@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import Box, as_doubles, bbox_area, pose_from_kps
@@ -23,6 +24,8 @@ from framelens.operators import filters, ordered, sequence
 from framelens.operators.ordered import frame_bucket
 from framelens.session import cut_lineage
 
+# Frames one fold takes at most; longer segments are folded in pieces of this length.
+CHUNK_FRAMES = 16_384
 POINT = "struct<x:double,y:double>"
 CANDIDATE = (
     f"struct<similarity:double,det_id:bigint,x1:double,y1:double,x2:double,y2:double,kps:array<{POINT}>>"
@@ -120,13 +123,15 @@ class TrackFold:
         ]
         self.next_id = state["next_id"]
 
-    def snapshot(self) -> dict:
+    def snapshot(self, *, renumber: bool = False) -> dict:
+        """Plain state; ``renumber`` makes ids count from 0, which keeps their order and so every decision."""
+        tracks = sorted(self.tracks, key=lambda t: t.track_id) if renumber else self.tracks
         return {
             "tracks": [
-                [t.track_id, list(t.box), [list(p) for p in t.kps], t.similarity, t.det_id, t.missing]
-                for t in self.tracks
+                [i if renumber else t.track_id, list(t.box), [list(p) for p in t.kps], t.similarity, t.det_id, t.missing]
+                for i, t in enumerate(tracks)
             ],
-            "next_id": self.next_id,
+            "next_id": len(tracks) if renumber else self.next_id,
         }
 
     @property
@@ -330,36 +335,95 @@ def segments(rows: DataFrame, config: TrackConfig) -> DataFrame:
     ).drop("_cut", "_fresh")
 
 
+FOLD_COLUMNS = ("frame_index", "scene_id", "scene_cut", "ambiguous", "top_similarity", "candidates", "motion", "state_in")
+PIECE = ("video_id", "segment", "chunk")
+
+
+def _advance(fold: TrackFold, row: tuple) -> tuple:
+    index, scene, cut, ambiguous, top, candidates, motion, _ = row
+    top = None if top is None or top != top else top
+    moved = None if motion is None else [float(v) for v in motion]
+    return (index, scene, *fold.step(index, cut, ambiguous, top, list(candidates), moved))
+
+
+def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataFrame:
+    """Fold each piece from its ``state_in``: to its frames, or to the state it ends in."""
+    ddl = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in PIECE)
+
+    def begin(key):
+        return [key, None]
+
+    def step(state, row):
+        if state[1] is None:
+            start = row[-1]
+            state[1] = TrackFold(config, json.loads(start) if isinstance(start, str) else None)
+        out = _advance(state[1], row)
+        return () if states else [(*state[0], *out)]
+
+    def finish(state):
+        return [(*state[0], json.dumps(state[1].snapshot(renumber=True)))] if states else ()
+
+    schema = f"{ddl}, state_out string" if states else f"{ddl}, frame_index long, scene_id long, {TRACK_OUTPUT}"
+    return ordered.fold_sorted(rows, list(PIECE), ["frame_index"], list(FOLD_COLUMNS), begin, step, schema, finish=finish)
+
+
+def _entry_states(rows: DataFrame, config: TrackConfig) -> DataFrame:
+    """The state each piece of a long segment starts from: (video_id, segment, chunk, state_in).
+
+    All pieces are folded at once from an empty state, then again those whose predecessor turned out to end
+    in another state than assumed, until every assumption holds. A piece is right once the one before it is,
+    so this ends with the exact states; since a tracker forgets its start within a piece as a rule, it
+    takes about two rounds.
+    """
+    keys = list(PIECE)
+    in_segment = Window.partitionBy("video_id", "segment").orderBy("chunk")
+    none = F.lit(None).cast("string")
+    pieces = rows.select(*keys).distinct().withColumn("_before", F.lag("chunk").over(in_segment))
+    inputs = cut_lineage(pieces.withColumn("state_in", none))
+    todo, ended = inputs, None
+    while True:
+        ran = _fold_pieces(rows.join(todo.select(*keys, "state_in"), keys), config, states=True)
+        ended = cut_lineage(ran if ended is None else ended.join(todo, keys, "left_anti").unionByName(ran))
+        left = ended.select("video_id", "segment", F.col("chunk").alias("_before"), "state_out")
+        linked = cut_lineage(inputs.join(left, ["video_id", "segment", "_before"], "left"))
+        todo = linked.filter(~F.col("state_in").eqNullSafe(F.col("state_out"))).select(
+            *keys, "_before", F.col("state_out").alias("state_in")
+        )
+        inputs = linked.select(*keys, "_before", F.col("state_out").alias("state_in"))
+        if todo.isEmpty():
+            return inputs.drop("_before")
+
+
 def track(
     frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, config: TrackConfig = TrackConfig(),
-    *, crowded: int | None = det.CROWDED_FRAME, split: bool = True,
+    *, crowded: int | None = det.CROWDED_FRAME, split: bool = True, chunk_frames: int = CHUNK_FRAMES,
 ) -> DataFrame:
     """Track instances through every video; one row per frame with its instances.
 
-    Videos are folded per segment (see ``segments``), so long videos spread over the cluster; a fold holds
-    one Arrow batch and a few tracks. Track ids count from 0 in each segment.
+    Videos are folded per segment (see ``segments``), and segments longer than ``chunk_frames`` in pieces of
+    that length (see ``_entry_states``), so long videos spread over the cluster; a fold holds one Arrow batch
+    and a few tracks. Track ids count within (video_id, segment, chunk).
     """
     rows = cut_lineage(tracking_input(frames, detections, motion, config, crowded=crowded))
-    rows = rows.join(segments(rows, config), ["video_id", "frame_index"])
+    places = segments(rows, config)
     if not split:
-        rows = rows.withColumn("segment", F.lit(0).cast("long"))
-    key_type = rows.schema["video_id"].dataType.simpleString()
-    taken = ["frame_index", "scene_id", "scene_cut", "ambiguous", "top_similarity", "candidates", "motion"]
-
-    def begin(key):
-        return key, TrackFold(config)
-
-    def step(state, row):
-        key, fold = state
-        index, scene, cut, ambiguous, top, candidates, motion_row = row
-        top = None if top is None or top != top else top
-        moved = None if motion_row is None else [float(v) for v in motion_row]
-        return [(*key, index, scene, *fold.step(index, cut, ambiguous, top, list(candidates), moved))]
-
-    return ordered.fold_sorted(
-        rows, ["video_id", "segment"], ["frame_index"], taken, begin, step,
-        f"video_id {key_type}, segment long, frame_index long, scene_id long, {TRACK_OUTPUT}",
+        places = places.withColumn("segment", F.lit(0).cast("long"))
+    none = F.lit(None).cast("string")
+    whole = rows.join(places, list(det.FRAME)).withColumn("chunk", F.lit(0).cast("long"))
+    if not split:
+        return _fold_pieces(whole.withColumn("state_in", none), config, states=False)
+    long = places.groupBy("video_id", "segment").agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > chunk_frames
+    ).drop("_n")
+    if long.isEmpty():
+        return _fold_pieces(whole.withColumn("state_in", none), config, states=False)
+    long = cut_lineage(long)
+    cut = cut_lineage(
+        whole.join(long, ["video_id", "segment"], "left_semi").withColumn("chunk", frame_bucket("frame_index", chunk_frames))
     )
+    usual = whole.join(long, ["video_id", "segment"], "left_anti").withColumn("state_in", none)
+    pieces = cut.join(_entry_states(cut, config), list(PIECE))
+    return _fold_pieces(usual, config, states=False).unionByName(_fold_pieces(pieces, config, states=False))
 
 
 def instance_fields(instances: Column) -> Column:

@@ -96,16 +96,18 @@ def test_split_tracking_equals_whole_tracking(spark, profile, max_faces):
     detections = spark.createDataFrame(faces, DET)
     moves = spark.createDataFrame(motion, "video_id long, frame_index long, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double")
 
-    def result(split):
-        rows = tracking.track(frames, detections, moves, config, split=split).collect()
+    def result(split, **options):
+        rows = tracking.track(frames, detections, moves, config, split=split, **options).collect()
         plain = {
             r.frame_index: (r.scene_cut, r.detection_due, r.full_scan, r.ambiguous, round(r.similarity, 9), [(i.det_id, round(i.x1, 6), round(i.y2, 6)) for i in r.instances])
             for r in rows
         }
-        return plain, len({r.segment for r in rows})
+        return plain, len({(r.segment, r.chunk) for r in rows})
 
     (whole, one), (parts, several) = result(False), result(True)
     assert one == 1 and several > 3 and whole == parts
+    pieces, most = result(True, chunk_frames=5)
+    assert most > several and pieces == whole
     assert all(len({i[0] for i in row[5]}) == len(row[5]) for row in parts.values())
     assert any(row[5] for row in parts.values())
 
