@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import Box, ellipse_contains
-from framelens.session import cut_lineage
+from framelens.session import bounded, cut_lineage
 
 FOREGROUND = 24
 MIN_COMPONENT_OVERLAP, MIN_INSTANCE_OVERLAP = 0.05, 0.08
@@ -90,20 +90,25 @@ def _label_frames(front: DataFrame, key: str) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in front.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
+
+        def labelled(parts):
+            rows = pd.concat(parts, ignore_index=True)
+            return rows.assign(component=_components(*(rows[c].to_numpy() for c in (key, "cy", "cx"))))
+
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            frames = rows[key].to_numpy()
-            if frames[0] == frames[-1]:
-                held = rows
+            frames = batch[key].to_numpy()
+            if not len(frames):
                 continue
             # The last frame may go on in the next batch.
-            split = int(np.flatnonzero(frames != frames[-1])[-1]) + 1
-            held = rows.iloc[split:]
-            done = rows.iloc[:split]
-            yield done.assign(component=_components(done[key].to_numpy(), done["cy"].to_numpy(), done["cx"].to_numpy()))
-        if held is not None and len(held):
-            yield held.assign(component=_components(held[key].to_numpy(), held["cy"].to_numpy(), held["cx"].to_numpy()))
+            others = np.flatnonzero(frames != frames[-1])
+            split = int(others[-1]) + 1 if len(others) else 0
+            if split or (held and held[-1][key].iloc[-1] != frames[0]):
+                yield labelled([*held, batch.iloc[:split]])
+                held = []
+            held.append(batch.iloc[split:])
+        if held:
+            yield labelled(held)
 
     arranged = front.repartition(key).sortWithinPartitions(key, "cy", "cx")
     return arranged.mapInPandas(run, f"{ddl}, component long")
@@ -309,7 +314,7 @@ def _moments(df: DataFrame, value: str, group: str, target) -> DataFrame:
     of_target = stats.filter(F.col(group) == target).select(
         F.lit(1).alias("_one"), F.col("_n").alias("_tn"), F.col("_mean").alias("_tmean"), F.col("_std").alias("_tstd")
     )
-    return stats.withColumn("_one", F.lit(1)).join(of_target, "_one").drop("_one")
+    return bounded(stats.withColumn("_one", F.lit(1)).join(of_target, "_one").drop("_one"))
 
 
 def moment_match(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import as_doubles, l2_norm, l2_normalize
-from framelens.session import cut_lineage
+from framelens.session import bounded, cut_lineage
 
 # Yaw ranges (degrees) a bank tries to cover: left, frontal, right.
 YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
@@ -147,7 +147,7 @@ def pick_reference(clips: DataFrame, bank: DataFrame, *, key: str = "identity_id
     entry = F.struct(
         F.col("bank_order"), F.col("ref_id"), *(F.col(c).cast("double").alias(c) for c in ("yaw", "pitch", "quality"))
     )
-    packed = bank.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_bank"))
+    packed = bounded(bank.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_bank")))
     costs = F.transform(
         "_bank",
         lambda e: F.struct(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelens.session import bounded
+
 
 def exact_percentile(
     df: DataFrame, keys: Sequence[str], value: str, share: float, name: str, *, accuracy: int = 10_000
@@ -35,6 +37,8 @@ def exact_percentile(
         F.floor(position).alias("_r0"), F.ceil(position).alias("_r1"),
         (position - F.floor(position)).alias("_fraction"),
     )
+    # A broadcast bracket leaves the rows where they are: they are counted in place and only counts move.
+    bracket = bounded(bracket)
     if keys:
         tagged = rows.join(bracket, list(keys))
     else:

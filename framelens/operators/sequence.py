@@ -126,6 +126,13 @@ def ema(
     )
 
 
+def frame_pair_join(
+    original: DataFrame, output: DataFrame, *, keys: Sequence[str] = ("video_id", "frame_index")
+) -> DataFrame:
+    """Frames present on both sides, side by side."""
+    return original.join(output, list(keys))
+
+
 def temporal_delta(
     frames: DataFrame, *, keys: Sequence[str] = ("video_id",), index: str = "frame_index", values: str = "values",
     present: Column | None = None, name: str = "delta",

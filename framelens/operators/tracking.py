@@ -22,7 +22,7 @@ from framelens.functions.boxes import (
 from framelens.operators import detections as det
 from framelens.operators import filters, ordered, sequence
 from framelens.operators.ordered import frame_bucket
-from framelens.session import cut_lineage
+from framelens.session import bounded, cut_lineage
 
 # Frames one fold takes at most; longer segments are folded in pieces of this length.
 CHUNK_FRAMES = 16_384
@@ -361,7 +361,11 @@ def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataF
         return () if states else [(*state[0], *out)]
 
     def finish(state):
-        return [(*state[0], json.dumps(state[1].snapshot(renumber=True)))] if states else ()
+        if not states:
+            return ()
+        # No tracks left is the same as not having started.
+        left = json.dumps(state[1].snapshot(renumber=True)) if state[1].tracks else None
+        return [(*state[0], left)]
 
     schema = f"{ddl}, state_out string" if states else f"{ddl}, frame_index long, scene_id long, {TRACK_OUTPUT}"
     return ordered.fold_sorted(rows, list(PIECE), ["frame_index"], list(FOLD_COLUMNS), begin, step, schema, finish=finish)
@@ -554,10 +558,13 @@ def motion_step(state: DataFrame, motion: DataFrame, config: TrackConfig) -> Dat
 
 
 def similarity_to_target(detections: DataFrame, targets: DataFrame, *, key: str = "video_id") -> DataFrame:
-    """Join each video's target embedding (``target``) and add ``similarity``."""
+    """Join each video's target embedding (``target``) and add ``similarity``.
+
+    Up to a checked number of targets the detections are not shuffled for it.
+    """
     from framelens.functions import cosine
 
-    return detections.join(targets.select(key, as_doubles("target").alias("target")), key).withColumn(
+    return detections.join(bounded(targets.select(key, as_doubles("target").alias("target"))), key).withColumn(
         "similarity", cosine("embedding", "target")
     ).drop("target")
 

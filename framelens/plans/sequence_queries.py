@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelens.functions import masked_mae
+from framelens.functions import masked_mae, mean_abs_difference
 from framelens.operators import filters, grid, sequence, tracking, windows
 from framelens.plans.catalog import q6, query, r6
 from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION
@@ -272,12 +272,14 @@ def set6(spark, sf_dir):
 
 
 @query("jn3_frame_pair_join", f"""
-SELECT a.vec_id, {q6("list_avg(list_transform(list_zip(a.original, a.output), lambda p: abs(p[1] - p[2])))")} AS change FROM v_pairs a
+SELECT a.vec_id, {q6("list_avg(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))")} AS change
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 """)
 def jn3(spark, sf_dir):
-    from framelens.functions import mean_abs_difference
-
-    return view(spark, sf_dir, "v_pairs").select("vec_id", r6(mean_abs_difference("original", "output")).alias("change"))
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    shifted = frames.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("output"))
+    pairs = sequence.frame_pair_join(frames, shifted, keys=["vec_id"])
+    return pairs.select("vec_id", r6(mean_abs_difference("embedding", "output")).alias("change"))
 
 
 @query("jn13_motion_propagate", f"""

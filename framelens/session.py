@@ -41,11 +41,11 @@ def cut_lineage(df: DataFrame, *, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no further than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """Materialise a table that should be small, and mark it for broadcast if it has at most ``max_rows`` rows.
 
-
-def zero_safe(column):
-    """Turn -0.0 into 0.0."""
-    return column + F.lit(0.0)
+    A larger one is left to an ordinary shuffled join. Estimates are no help here, since they take an
+    aggregate for as large as its input.
+    """
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() <= max_rows else held
