@@ -113,99 +113,75 @@ def _folded_nms(df: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
     ).select(*df.columns)
 
 
-def crowded_nms(
-    df: DataFrame, *, iou: float = DUPLICATE_IOU, keys: Sequence[str] = FRAME, rounds: int = 10_000
-) -> DataFrame:
+def crowded_nms(df: DataFrame, *, iou: float = DUPLICATE_IOU, keys: Sequence[str] = FRAME) -> DataFrame:
     """The same result as the greedy fold, for frames too large for one task.
 
-    Boxes fall into cells so fine that two boxes of one cell always suppress each other; each cell then has
-    one leader, its best open box, and pairs are formed between leaders only. A leader that beats every
-    leader its box could clash with is kept, and open boxes it covers are dropped. Repeats until none is open.
+    Boxes are filed in tiles by their side lengths and upper left corner, such that two boxes can only clash
+    if their tiles are near. In each round the best open box of a tile is kept if no tile near it holds a
+    better one, and the open boxes it clashes with are dropped; no pairs of open boxes are formed, only
+    maxima per tile. Ends when no box is open.
     """
     keys = list(keys)
-    ranked = with_rank_key(df)
+    tile = [*keys, "_tw", "_th", "_tx", "_ty"]
     payload = [c for c in df.columns if c not in keys]
-    # Side lengths in steps of 1.05 and corners in steps of 2 % of the side keep the IoU inside a cell
-    # above 0.88, so the cell argument holds for every threshold used (0.25 … 0.88).
-    if iou > 0.88:
-        raise ValueError("iou must be at most 0.88")
-    growth, share = 1.05, 0.02
-    w, h = F.greatest(F.col("x2") - F.col("x1"), F.lit(1e-9)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1e-9))
-    level = lambda side: F.floor(F.log(side) / F.log(F.lit(growth)))
-    unit = lambda lv: F.pow(F.lit(growth), lv) * share
-    open_rows = ranked.withColumns({"_lw": level(w), "_lh": level(h)}).withColumns(
-        {"_cx": F.floor(F.col("x1") / unit(F.col("_lw"))), "_cy": F.floor(F.col("y1") / unit(F.col("_lh")))}
-    )
+    filed = _filed(with_rank_key(df), iou)
     # Empty boxes never clash with anything.
     empty = bbox_area(Box.of()) <= 0
-    kept = [open_rows.filter(empty).select(*df.columns)]
-    cell = [*keys, "_lw", "_lh", "_cx", "_cy"]
-    # Boxes that can clash share a coarse tile: sides differ by at most 1/iou and centres by less than a side.
-    reach = 1.0 / iou
-    tile_level = lambda side: F.floor(F.log(side) / F.log(F.lit(reach)))
-    tile = lambda at, lv: F.floor(at / F.pow(F.lit(reach), lv + 1))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    open_rows = cut_lineage(
-        open_rows.filter(~empty).withColumns({"_tw": tile_level(w), "_th": tile_level(h)})
-        .withColumns({"_tx": tile(F.col("x1"), F.col("_tw")), "_ty": tile(F.col("y1"), F.col("_th"))})
-    )
-    for _ in range(rounds):
-        if open_rows.isEmpty():
-            break
-        best = F.struct(F.col("_key"), *(F.col(c) for c in payload))
-        leaders = open_rows.groupBy(*cell).agg(F.max_by(best, F.col("_key")).alias("_lead")).select(
-            *keys, F.col("_lead._key").alias("_key"), *(F.col("_lead")[c].alias(c) for c in payload)
-        )
-        tiled = _tiles(leaders, keys, tile_level, tile)
-        homes = tiled.select(*keys, "_tw", "_th", "_tx", "_ty", "_key", *payload)
-        visits = _visits(leaders, keys, tile_level, tile, near)
-        a = visits.select(
-            *keys, "_tw", "_th", "_tx", "_ty", F.col("_key").alias("_rival_key"),
-            *(F.col(c).alias(f"_r_{c}") for c in ("x1", "y1", "x2", "y2")),
-        )
-        beaten = (
-            homes.join(a, [*keys, "_tw", "_th", "_tx", "_ty"])
-            .filter(F.col("_rival_key") > F.col("_key")).select(*keys, "det_id").distinct()
+    kept = [filed.filter(empty).select(*df.columns)]
+    left = cut_lineage(filed.filter(~empty))
+    while not left.isEmpty():
+        best = F.max_by(F.struct("_key", *payload), F.col("_key")).alias("_best")
+        tops = left.groupBy(*tile).agg(best).select(
+            *tile, F.col("_best._key").alias("_key"), *(F.col("_best")[c].alias(c) for c in payload)
         )
-        winners = cut_lineage(leaders.join(beaten, [*keys, "det_id"], "left_anti"))
+        rivals = _tiles_near(tops.select(*tile, "_key"), iou).groupBy(*tile).agg(F.max("_key").alias("_rival"))
+        winners = cut_lineage(tops.join(rivals, tile).filter(F.col("_rival") <= F.col("_key")).drop("_rival"))
         kept.append(winners.select(*df.columns))
-        cover = _visits(winners, keys, tile_level, tile, near).select(
-            *keys, "_tw", "_th", "_tx", "_ty", F.struct("x1", "y1", "x2", "y2").alias("_by")
-        )
+        cover = _tiles_near(winners.select(*tile, F.struct("x1", "y1", "x2", "y2").alias("_by")), iou)
         clash = bbox_iou(Box.of(), Box.in_struct(F.col("_by"))) >= iou
         dropped = (
-            open_rows.select(*keys, "_tw", "_th", "_tx", "_ty", "det_id", "x1", "y1", "x2", "y2")
-            .join(cover, [*keys, "_tw", "_th", "_tx", "_ty"]).filter(clash).select(*keys, "det_id").distinct()
+            left.select(*tile, "det_id", "x1", "y1", "x2", "y2").join(cover, tile).filter(clash)
+            .select(*keys, "det_id").distinct()
         )
-        open_rows = cut_lineage(open_rows.join(dropped, [*keys, "det_id"], "left_anti"))
+        left = cut_lineage(left.join(dropped, [*keys, "det_id"], "left_anti"))
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _tiles(df: DataFrame, keys, tile_level, tile) -> DataFrame:
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return df.withColumns({"_tw": tile_level(w), "_th": tile_level(h)}).withColumns(
-        {"_tx": tile(F.col("x1"), F.col("_tw")), "_ty": tile(F.col("y1"), F.col("_th"))}
-    )
+def _tile_size(level: Column, iou: float) -> Column:
+    """Two boxes with that IoU have sides within a factor 1/iou, so levels differ by at most one, and their
+    corners lie at most (1 - iou) / iou of the smaller side apart, which is at most one tile."""
+    return F.pow(F.lit(1.0 / iou), level + 1) * ((1.0 - iou) / iou)
 
 
-def _visits(df: DataFrame, keys, tile_level, tile, near: Column) -> DataFrame:
-    """A box in every tile where a box it could clash with may live."""
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    wide = df.withColumns({"_dw": F.explode(near)}).withColumns({"_dh": F.explode(near)}).withColumns(
-        {"_tw": tile_level(w) + F.col("_dw"), "_th": tile_level(h) + F.col("_dh")}
+def _filed(df: DataFrame, iou: float) -> DataFrame:
+    side = lambda low, high: F.greatest(F.col(high) - F.col(low), F.lit(1e-9))
+    level = lambda length: F.floor(F.log(length) / F.log(F.lit(1.0 / iou)))
+    place = lambda at, lv: F.floor(F.col(at) / _tile_size(F.col(lv), iou))
+    return df.withColumns({"_tw": level(side("x1", "x2")), "_th": level(side("y1", "y2"))}).withColumns(
+        {"_tx": place("x1", "_tw"), "_ty": place("y1", "_th")}
     )
+
+
+def _tiles_near(df: DataFrame, iou: float) -> DataFrame:
+    """Repeat each row for every tile that may hold a box clashing with one of its own tile."""
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    wide = df.withColumns({"_lw": F.explode(steps)}).withColumns({"_lh": F.explode(steps)})
+
+    def span(level: str, at: str, step: str) -> Column:
+        size, other = _tile_size(F.col(level), iou), _tile_size(F.col(level) + F.col(step), iou)
+        # Corners are compared across tile sizes, so one more tile on either side absorbs rounding.
+        first, last = F.floor(F.col(at) * size / other) - 1, F.floor((F.col(at) + 1) * size / other) + 1
+        return F.explode(F.sequence(first, last))
+
     return (
-        wide.withColumns({"_dx": F.explode(near)}).withColumns({"_dy": F.explode(near)})
+        wide.withColumns({"_nx": span("_tw", "_tx", "_lw")}).withColumns({"_ny": span("_th", "_ty", "_lh")})
         .withColumns(
-            {
-                "_tx": tile(F.col("x1"), F.col("_tw")) + F.col("_dx"),
-                "_ty": tile(F.col("y1"), F.col("_th")) + F.col("_dy"),
-            }
+            {"_tw": F.col("_tw") + F.col("_lw"), "_th": F.col("_th") + F.col("_lh"), "_tx": F.col("_nx"), "_ty": F.col("_ny")}
         )
-        .drop("_dw", "_dh", "_dx", "_dy")
+        .drop("_lw", "_lh", "_nx", "_ny")
     )
 
 

@@ -13,7 +13,9 @@ YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
 BANK_BROADCAST_ROWS = 4096
 
 
-def identity_centroid(references: DataFrame, *, key: str = "identity_id") -> DataFrame:
+def identity_centroid(
+    references: DataFrame, *, key: str = "identity_id", with_best: bool = True
+) -> DataFrame:
     """Weight-averaged unit embedding per identity, with the reference of largest weight.
 
     Averaging runs per array position with partial aggregation; only one value per dimension is collected.
@@ -28,6 +30,8 @@ def identity_centroid(references: DataFrame, *, key: str = "identity_id") -> Dat
         F.array_sort(F.collect_list(F.struct("_pos", "_mean"))), lambda item: item["_mean"]
     )
     centroids = per_dimension.groupBy(key).agg(l2_normalize(ordered).alias("centroid"))
+    if not with_best:
+        return centroids
     best = references.groupBy(key).agg(
         F.max_by("ref_id", F.struct(F.col("weight"), -F.col("ref_id"))).alias("best_ref"),
         F.count(F.lit(1)).alias("n_refs"),

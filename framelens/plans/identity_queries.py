@@ -23,7 +23,7 @@ SELECT identity_id, list(x ORDER BY pos) AS mean FROM (
 
 def centroids(spark, sf_dir):
     """Identity centroids as a bank: one row per identity."""
-    made = identity.identity_centroid(view(spark, sf_dir, "v_bank"))
+    made = identity.identity_centroid(view(spark, sf_dir, "v_bank"), with_best=False)
     return made.select(F.col("identity_id").alias("ref_id"), F.col("centroid").alias("embedding"))
 
 
