@@ -283,14 +283,14 @@ def jn3(spark, sf_dir):
 
 
 @query("jn13_motion_propagate", f"""
-WITH o AS (SELECT video_id, frame_index, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, {{'a': w * h, 'd': -det_id}}) AS box FROM v_det WHERE frame_index % 4 = 0 AND embedding IS NOT NULL GROUP BY video_id, frame_index),
+WITH o AS (SELECT video_id, frame_index, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, {{'a': w * h, 'd': -det_id}}) AS box FROM v_det WHERE det_score >= 0.9 AND embedding IS NOT NULL GROUP BY video_id, frame_index),
 j AS (SELECT m.*, last_value(o.box IGNORE NULLS) OVER (PARTITION BY m.video_id ORDER BY m.frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v_motion m LEFT JOIN o USING (video_id, frame_index)),
 k AS (SELECT *, least(b.x1 * m00, b.x2 * m00) + m02 AS mx1, least(b.y1 * m11, b.y2 * m11) + m12 AS my1, greatest(b.x1 * m00, b.x2 * m00) + m02 AS mx2, greatest(b.y1 * m11, b.y2 * m11) + m12 AS my2 FROM j WHERE b IS NOT NULL)
 SELECT video_id, frame_index, {q6("mx1")} AS moved_x1, {q6("my1")} AS moved_y1, {q6("mx2")} AS moved_x2, {q6("my2")} AS moved_y2,
        {VALID_MOTION} AND mx2 > 0 AND my2 > 0 AND mx1 < 240 AND my1 < 180 AS accepted FROM k
 """)
 def jn13(spark, sf_dir):
-    det = view(spark, sf_dir, "v_det").filter((F.col("frame_index") % 4 == 0) & F.col("embedding").isNotNull())
+    det = view(spark, sf_dir, "v_det").filter((F.col("det_score") >= 0.9) & F.col("embedding").isNotNull())
     largest = det.groupBy("video_id", "frame_index").agg(
         F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct(F.col("w") * F.col("h"), -F.col("det_id"))).alias("_box")
     ).select("video_id", "frame_index", "_box.*")
