@@ -136,3 +136,15 @@ def test_motion_moves_a_track(spark):
     tracked = tracking.track(frames_of(spark, 2), spark.createDataFrame([face(0, 0, 10)], DET), moves, config)
     second = tracked.filter(F.col("frame_index") == 1).collect()[0]
     assert second.used_motion and (second.instances[0].x1, second.instances[0].y1) == (14.0, 14.0)
+
+
+def test_association_of_single_frames(spark):
+    config = TrackConfig(min_similarity=0.5, max_faces=2, width=140, height=80)
+    candidates = tracking.frame_candidates(spark.createDataFrame([face(1, 2, 89), face(1, 3, 13), face(1, 4, 50, 0.6)], DET), config)
+    box = "struct<track_id:bigint,x1:double,y1:double,x2:double,y2:double>"
+    running = spark.createDataFrame(
+        [(1, 1, [(0, 10.0, 12.0, 40.0, 52.0), (7, 92.0, 12.0, 122.0, 52.0)])], f"video_id long, frame_index long, tracks array<{box}>"
+    )
+    pairs = lambda limit: {(r.track_id, r.det_id, r.opened) for r in tracking.associate(running, candidates, max_faces=limit, smoothing=0.5).collect()}
+    assert pairs(2) == {(0, 3, False), (7, 2, False)}
+    assert pairs(3) == {(0, 3, False), (7, 2, False), (8, 4, True)}
