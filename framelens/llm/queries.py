@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import line_dedup
+from framelens.llm import line_dedup, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -10,3 +10,8 @@ from framelens.llm.common import read
 @query("op9_line_dedup", line_dedup.SQL)
 def op9(spark, sf_dir):
     return line_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op3_warc", warc.SQL)
+def op3(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
