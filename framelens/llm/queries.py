@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import line_dedup, warc
+from framelens.llm import line_dedup, mixing, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -15,3 +15,8 @@ def op9(spark, sf_dir):
 @query("op3_warc", warc.SQL)
 def op3(spark, sf_dir):
     return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op8_source_mix")
+def op8(spark, sf_dir):
+    return mixing.report(read(spark, sf_dir, "documents"))
