@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import line_dedup, mixing, warc
+from framelens.llm import language_id, line_dedup, mixing, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -20,3 +20,8 @@ def op3(spark, sf_dir):
 @query("op8_source_mix")
 def op8(spark, sf_dir):
     return mixing.report(read(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    return language_id.report(read(spark, sf_dir, "documents"))
