@@ -4,8 +4,8 @@ Explode normalised lines, hash, count distinct documents per hash, drop the line
 the rest by position. A line's key is the line without white space at its ends and with A-Z lower-cased.
 
 Scale: one row per distinct long line and document leaves the scan (two 64-bit hashes and the id, no text); counts are
-combined before the shuffle, so a line that a third of all documents hold is one row per task. Texts move only for
-documents that may lose a line.
+combined before the shuffle, so a line that a third of all documents hold is one row per task, and the join with the
+shared lines is one whose large partitions Spark splits. Texts move once, to meet the lines they lose.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import SPACES, IdFilter, one_row_per_id, outer_id, save
+from framelens.llm.common import SPACES, one_row_per_id, outer_id, save
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -85,16 +85,10 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_documen
     """
     docs = one_row_per_id(documents, "doc_id", "text")
     keys = save(_line_keys(docs, min_chars), "line-keys")
-    shared = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("keep")).where(F.col("n") >= min_documents)
-    drops = save(
-        keys.join(shared, ["h1", "h2"]).where("_id <> keep").groupBy("_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop")), "line-drops"
-    )
-    may = IdFilter(drops, "_id")
-    text = F.coalesce("value", F.lit(""))
-    whole = may.keep(docs, "_id", absent=True).select(
-        "_id", text.alias("text"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")
-    )
-    return whole.unionByName(_rewrite(may.keep(docs, "_id").join(drops, "_id", "left").select("_id", "value", "drop"), min_chars))
+    counted = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("keep"))
+    shared = save(counted.where(F.col("n") >= min_documents).select("h1", "h2", "keep"), "line-shared")
+    drops = keys.join(shared, ["h1", "h2"]).where("_id <> keep").groupBy("_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    return _rewrite(docs.join(drops.hint("shuffle_hash"), "_id", "left").select("_id", "value", "drop"), min_chars)
 
 
 def digest(documents: DataFrame) -> DataFrame:
