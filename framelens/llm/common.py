@@ -192,6 +192,27 @@ class IdFilter:
         return df.withColumn(hashed, F.pmod(F.xxhash64(column), F.lit(size))).mapInArrow(task, df.schema)
 
 
+# --- sorted rows ----------------------------------------------------------------------------------------------------
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with equal keys (numbers, not null), one batch each, from a sorted partition."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        changed = np.zeros(whole.num_rows - 1, bool)
+        for key in keys:
+            values = whole.column(whole.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            changed |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield whole.slice(a, b - a)
+        held = [whole.slice(cuts[-1])]
+    yield from held
+
+
 # --- connected components -------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import language_id, line_dedup, mixing, warc
+from framelens.llm import language_id, line_dedup, mixing, ngram_join, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -25,3 +25,8 @@ def op8(spark, sf_dir):
 @query("op10_language_id")
 def op10(spark, sf_dir):
     return language_id.report(read(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_join", ngram_join.SQL)
+def op1(spark, sf_dir):
+    return ngram_join.report(read(spark, sf_dir, "documents"))
