@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import language_id, line_dedup, mixing, ngram_join, warc
+from framelens.llm import language_id, line_dedup, mixing, ngram_join, suffix_dedup, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -30,3 +30,8 @@ def op10(spark, sf_dir):
 @query("op1_ngram_join", ngram_join.SQL)
 def op1(spark, sf_dir):
     return ngram_join.report(read(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup", suffix_dedup.SQL)
+def op4(spark, sf_dir):
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
