@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import language_id, line_dedup, mixing, ngram_join, suffix_dedup, warc
+from framelens.llm import language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -35,3 +35,8 @@ def op1(spark, sf_dir):
 @query("op4_suffix_dedup", suffix_dedup.SQL)
 def op4(spark, sf_dir):
     return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
+@query("op6_packing")
+def op6(spark, sf_dir):
+    return packing.sequences(read(spark, sf_dir, "documents"))
