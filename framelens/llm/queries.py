@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, warc
+from framelens.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -40,3 +40,8 @@ def op4(spark, sf_dir):
 @query("op6_packing")
 def op6(spark, sf_dir):
     return packing.sequences(read(spark, sf_dir, "documents"))
+
+
+@query("op2_embedding_dedup", embedding_dedup.SQL)
+def op2(spark, sf_dir):
+    return embedding_dedup.report(read(spark, sf_dir, "embeddings"))
