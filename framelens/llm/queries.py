@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, topk_search, warc
+from framelens.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, suffix_dedup, topk_search, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -50,3 +50,8 @@ def op2(spark, sf_dir):
 @query("op5_topk_search", topk_search.SQL)
 def op5(spark, sf_dir):
     return topk_search.search(read(spark, sf_dir, "embeddings"))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
