@@ -28,7 +28,7 @@ from framelens.llm.common import flat_text, runs_of_documents
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 TRAIN_DOCUMENTS, TRAIN_WINDOWS, STEPS, BATCH = 20_000, 4096, 240, 32
-SPAN_MARGIN = 2.0
+SPAN_MARGIN = 0.0
 
 # --- base patterns --------------------------------------------------------------------------------------------------
 
