@@ -42,18 +42,18 @@ def forget(*tables: DataFrame) -> None:
 # --- documents ------------------------------------------------------------------------------------------------------
 
 
-def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Columns ``_id`` (long, never null) and ``value``, one row per id.
+def one_row_per_id(df: DataFrame, key: str, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``_id`` (long, never null), ``value`` and those to ``keep``, one row per id.
 
     A null id counts as one more id. Of rows that share an id, the one with the greatest value stays (null is the
-    least). Where no id repeats, no value is shuffled: only the ids are counted.
+    least; then the columns kept decide). Where no id repeats, no value is shuffled: only the ids are counted.
     """
     ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias(_MASK_ID)
-    narrow = df.select(ids, F.col(value).alias("value"))
+    rows = df.select(ids, F.col(value).alias("value"), *keep)
     repeated = df.select(ids).groupBy(_MASK_ID).count().where("count > 1").limit(1)
     if repeated.isEmpty():
-        return narrow
-    return narrow.groupBy(_MASK_ID).agg(F.max("value").alias("value"))
+        return rows
+    return rows.groupBy(_MASK_ID).agg(F.max(F.struct("value", *keep)).alias("row")).select(_MASK_ID, "row.*")
 
 
 def outer_id(column: str = _MASK_ID) -> Column:

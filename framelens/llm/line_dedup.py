@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelens.llm.common import SPACES, one_row_per_id, outer_id, save
 
@@ -57,38 +58,40 @@ def _line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _rewrite(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs: ``_id, value, drop`` (hashes of the keys to drop, or null)."""
+    """docs: columns, ``value, drop`` (hashes of the keys to drop, or null); out: those columns, ``text, n_lines, n_dropped``."""
+    kept = docs.drop("value", "drop")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for text, drop in zip(batch.column("value"), batch.column("drop").to_pylist()):
+            for text, drop in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
                 own = (text.as_py() or "").encode().split(b"\n")
                 gone = {(x["h1"], x["h2"]) for x in drop or ()}
-                kept = [x for x in own if not gone or _key(x, min_chars) not in gone]
-                texts.append(b"\n".join(kept).decode()), lines.append(len(own)), dropped.append(len(own) - len(kept))
+                left = [x for x in own if not gone or _key(x, min_chars) not in gone]
+                texts.append(b"\n".join(left).decode()), lines.append(len(own)), dropped.append(len(own) - len(left))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                names=["_id", "text", "n_lines", "n_dropped"],
+                [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
+                names=[*batch.schema.names[:-2], "text", "n_lines", "n_dropped"],
             )
 
-    return docs.mapInArrow(task, "_id long, text string, n_lines long, n_dropped long")
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL("text string, n_lines long, n_dropped long").fields])
+    return docs.select(*kept.columns, "value", "drop").mapInArrow(task, schema)
 
 
-def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``_id, text, n_lines, n_dropped`` of every document; ``text`` without the dropped lines.
+def dedup_lines(documents: DataFrame, *, keep: tuple[str, ...] = (), min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``_id``, the columns to ``keep``, ``text, n_lines, n_dropped`` of every document; ``text`` without the dropped lines.
 
     Lines are split at ``\\n``. A null or empty text is one empty line. A key of at least ``min_chars`` code points in
     at least ``min_documents`` documents loses all its lines except in the largest id that holds it (there all its
     lines stay). Rows that share an id count as one document, see ``one_row_per_id``; a null id is the smallest.
     A document whose lines all go has an empty text. Other columns are not read. An empty table gives no rows.
     """
-    docs = one_row_per_id(documents, "doc_id", "text")
-    keys = save(_line_keys(docs, min_chars), "line-keys")
+    docs = one_row_per_id(documents, "doc_id", "text", keep)
+    keys = save(_line_keys(docs.select("_id", "value"), min_chars), "line-keys")
     counted = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("keep"))
     shared = save(counted.where(F.col("n") >= min_documents).select("h1", "h2", "keep"), "line-shared")
     drops = keys.join(shared, ["h1", "h2"]).where("_id <> keep").groupBy("_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
-    return _rewrite(docs.join(drops.hint("shuffle_hash"), "_id", "left").select("_id", "value", "drop"), min_chars)
+    return _rewrite(docs.join(drops.hint("shuffle_hash"), "_id", "left"), min_chars)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -135,5 +135,25 @@ def mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS) -> DataFr
     ).drop("bucket")
 
 
+def repeat(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``documents``, each as often as the mix copies it (0 to 3 times).
+
+    Rows equal in id, source and size share their copies; which of them gets the odd one is decided by text.
+    """
+    keys = ["doc_id", "source", "size"]
+    copies = save(mix(documents, weights=weights).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
+    sized = documents.withColumn("_words", word_count(F.col("text")))
+    named = copies.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k if k != "size" else "_words").eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = sized.join(named, same).drop(*(f"_{k}" for k in keys))
+    share = F.col("_copies")
+    if not copies.where("_rows > 1").limit(1).isEmpty():
+        rank = F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text")) - 1
+        joined = joined.withColumn("_rank", rank)
+        share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_rank") < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    often = joined.withColumn("_share", share).where("_share > 0")
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share").cast("long")))).select(*documents.columns)
+
+
 def report(documents: DataFrame) -> DataFrame:
     return mix(documents).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
