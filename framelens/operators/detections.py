@@ -14,6 +14,8 @@ from framelens.session import cut_lineage
 FRAME = ("video_id", "frame_index")
 DUPLICATE_IOU = 0.72
 # Frames with more candidates than this are not collected into one row.
+# The thresholds a tracker accepts.
+IOU_RANGE = (0.25, 0.95)
 CROWDED_FRAME = 2048
 
 
@@ -70,6 +72,10 @@ def with_rank_key(df: DataFrame) -> DataFrame:
     )
 
 
+def held_iou(iou: float) -> float:
+    return min(IOU_RANGE[1], max(IOU_RANGE[0], float(iou)))
+
+
 def nms(
     df: DataFrame, *, iou: float = DUPLICATE_IOU, keys: Sequence[str] = FRAME, crowded: int | None = CROWDED_FRAME,
 ) -> DataFrame:
@@ -77,7 +83,9 @@ def nms(
 
     A frame's candidates are folded in one row by Catalyst. Frames above ``crowded`` candidates take the
     distributed route of ``crowded_nms``; pass ``crowded=None`` when the detector caps its output.
+    ``iou`` is held in ``IOU_RANGE`` on either route.
     """
+    iou = held_iou(iou)
     if crowded is None:
         return _folded_nms(df, iou, keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).drop("_n")
@@ -121,6 +129,7 @@ def crowded_nms(df: DataFrame, *, iou: float = DUPLICATE_IOU, keys: Sequence[str
     better one, and the open boxes it clashes with are dropped; no pairs of open boxes are formed, only
     maxima per tile. Ends when no box is open.
     """
+    iou = held_iou(iou)
     keys = list(keys)
     tile = [*keys, "_tw", "_th", "_tx", "_ty"]
     payload = [c for c in df.columns if c not in keys]

@@ -44,14 +44,17 @@ def pixel_stats(
 ) -> DataFrame:
     """Mean, variance of the four-neighbour Laplacian (border mirrored without its edge), clipped share.
 
-    Both directions reuse one shuffle by frame.
+    Both directions reuse one shuffle by frame. A neighbour is the cell one step away; where it is missing, as
+    at the border or in a hole, the one opposite stands for it.
     """
     v = F.col(value).cast("double")
     placed = cells.select(key, "cx", "cy", v.alias("_v")).repartition(key)
     along = lambda line, at: Window.partitionBy(key, line).orderBy(at)
 
     def second_difference(line: str, at: str) -> Column:
-        before, after = F.lag("_v").over(along(line, at)), F.lead("_v").over(along(line, at))
+        w = along(line, at)
+        before = F.when(F.lag(at).over(w) == F.col(at) - 1, F.lag("_v").over(w))
+        after = F.when(F.lead(at).over(w) == F.col(at) + 1, F.lead("_v").over(w))
         inner = F.coalesce(before, after, F.col("_v")) + F.coalesce(after, before, F.col("_v"))
         return inner - 2.0 * F.col("_v")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import as_doubles, l2_norm, l2_normalize
+from framelens.operators.detections import FRAME
 from framelens.session import bounded, cut_lineage
 
 # Yaw ranges (degrees) a bank tries to cover: left, frontal, right.
@@ -88,14 +91,18 @@ def pack_references(references: DataFrame, block: Column, *, vector: str = "embe
 
 def match_identity(
     detections: DataFrame, references: DataFrame, *, min_sim: float, k: int = 1, id_col: str = "det_id",
-    vector: str = "embedding", bank_rows: int = BANK_BROADCAST_ROWS,
+    keys: Sequence[str] | None = None, vector: str = "embedding", bank_rows: int = BANK_BROADCAST_ROWS,
 ) -> DataFrame:
     """Top ``k`` references per detection with cosine at least ``min_sim``; adds ref_id, similarity, rank.
 
     A bank of at most ``bank_rows`` rows is packed into one array and scored inside each detection row, so
     the detections are never shuffled and no pair is ever emitted. A larger bank is cut into blocks of that
     size; each detection meets every block and keeps ``k`` matches per block before the blocks are merged.
+
+    ``keys`` names a detection; by default those of video_id, frame_index and ``id_col`` that are there, since
+    ids start over in each frame.
     """
+    keys = list(keys or [c for c in (*FRAME, id_col) if c in detections.columns])
     head = cut_lineage(references.select("ref_id", vector).limit(bank_rows + 1))
     if head.count() <= bank_rows:
         references = head
@@ -128,10 +135,11 @@ def match_identity(
     )
     kept = [c for c in detections.columns if c != vector]
     if blocks > 1:
-        best = scored.filter(F.size("_hits") > 0).groupBy(id_col).agg(
+        # at most k hits a block and as many blocks as the bank has; keys may be null
+        best = scored.filter(F.size("_hits") > 0).groupBy(*(F.col(c).alias(f"_of_{c}") for c in keys)).agg(
             F.slice(F.array_sort(F.flatten(F.collect_list("_hits"))), 1, k).alias("_hits")
         )
-        scored = detections.join(best, id_col)
+        scored = detections.join(best, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
     return scored.select(*kept, F.posexplode("_hits").alias("_pos", "_hit")).select(
         *kept, F.col("_hit.ref_id").alias("ref_id"), (-F.col("_hit._distance")).alias("similarity"),
         (F.col("_pos") + 1).alias("rank"),

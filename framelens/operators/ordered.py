@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 FRAMES_PER_BUCKET = 4096
 BUCKET = "_bucket"
+NO_ORDER = -(2**62)
 
 
 def frame_bucket(index: Column | str, size: int = FRAMES_PER_BUCKET) -> Column:
@@ -44,15 +45,22 @@ def with_carry(
 ) -> DataFrame:
     """Add ``_bucket`` and one column per carry, computed from the summaries of earlier buckets.
 
-    ``carries`` receives the window over a key's earlier buckets, in order, the current one excluded.
+    ``carries`` receives the window over a key's earlier buckets, in order, the current one excluded. Null keys
+    are a key like others; rows without an order value have a bucket of their own, before all others.
     """
-    cut = df.withColumn(BUCKET, bucket)
+    cut = df.withColumn(BUCKET, F.coalesce(bucket, F.lit(NO_ORDER)))
     per_bucket = cut.groupBy(*keys, BUCKET).agg(*(agg.alias(name) for name, agg in summaries.items()))
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select(
-        *keys, BUCKET, *(value.alias(name) for name, value in carries(earlier).items())
+        *(F.col(c).alias(f"_of_{c}") for c in (*keys, BUCKET)), *(value.alias(name) for name, value in carries(earlier).items())
     )
-    return cut.join(carried, [*keys, BUCKET])
+    return join_null_safe(cut, carried, [*keys, BUCKET])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, which ``right`` has under the names ``_of_<key>``; null equals null."""
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return left.join(right, same, how).drop(*(f"_of_{c}" for c in keys))
 
 
 def ordered_index(
@@ -160,11 +168,15 @@ def fold_sorted(
     fields = [field.name for field in _parse_schema(schema)]
     picked = [*keys, *columns]
 
+    def values(column: pd.Series) -> list:
+        # a column of whole numbers with nulls comes as floats, so such columns are sent as text
+        return [None if v is None else int(v) for v in column.tolist()] if column.name in whole else column.tolist()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = state = None
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch[name].tolist() for name in picked)):
+            for row in zip(*(values(batch[name]) for name in picked)):
                 key = row[:width]
                 if key != current:
                     if current is not None and finish is not None:
@@ -172,18 +184,31 @@ def fold_sorted(
                     current, state = key, start(key)
                 out.extend(step(state, row[width:]))
                 if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=fields)
+                    yield pd.DataFrame(out, columns=fields, dtype=object)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=fields)
+                yield pd.DataFrame(out, columns=fields, dtype=object)
                 out = []
         if current is not None and finish is not None:
             out.extend(finish(state))
         if out:
-            yield pd.DataFrame(out, columns=fields)
-
-    arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*picked)
-    return arranged.mapInPandas(run, schema)
+            yield pd.DataFrame(out, columns=fields, dtype=object)
+
+    whole = {f.name for f in df.schema.fields if f.name in picked and f.nullable and f.dataType.typeName() in ("long", "integer", "short", "byte")}
+    arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    sent = arranged.select(*(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in picked))
+    made = [f.name for f in _parse_schema(schema) if f.dataType.typeName() in ("long", "integer", "short", "byte")]
+    kinds = {f.name: f.dataType.simpleString() for f in _parse_schema(schema)}
+    as_text = ", ".join(f"`{f.name}` {'string' if f.name in made else f.dataType.simpleString()}" for f in _parse_schema(schema))
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in run(batches):
+            for name in made:
+                frame[name] = [None if v is None or v != v else str(int(v)) for v in frame[name].astype(object)]
+            yield frame
+
+    back = sent.mapInPandas(spelled, as_text)
+    return back.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in made else F.col(f"`{c}`") for c in fields))
 
 
 def _parse_schema(schema: str) -> StructType:

@@ -125,19 +125,18 @@ def model_records(
 
 
 def build_manifests(
-    artifacts: DataFrame, *, key: str = "output_id", created: Column, disclosure: bool = True, max_sources: int = 64,
+    artifacts: DataFrame, *, key: str = "output_id", created: Column, disclosure: bool = True, position: str | None = None,
     runtime: Column | None = None, status: Column | None = None,
 ) -> DataFrame:
     """One JSON document per output from artifact rows (output_id, role, path, sha256, kind).
 
-    Roles: output, input, target, source, model, additional. A missing output file has a null hash. An
-    output lists the first ``max_sources`` sources in path order, the number a run reads at most; the list
-    is cut before the shuffle.
+    Roles: output, input, target, source, model, additional. A missing output file has a null hash. Every
+    source and model is listed, in the order of the column ``position``, or of the paths where none is given.
     """
     entry = F.struct("path", "sha256")
     record = F.struct("path", F.coalesce("kind", F.lit("file")).alias("kind"), F.coalesce("sha256", F.lit("skipped")).alias("sha256"))
-    listed = Window.partitionBy(key, "role").orderBy(path_parts(F.col("path")))
-    rows = artifacts.withColumn("_at", F.row_number().over(listed)).filter(F.col("_at") <= max_sources)
+    place = F.struct(*([F.col(position).alias("at")] if position else []), path_parts(F.col("path")).alias("parts"))
+    rows = artifacts.withColumn("_at", place)
     one = lambda role, value: F.min_by(F.when(F.col("role") == role, value), F.when(F.col("role") == role, F.col("_at")))
     many = lambda role, value: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct(F.col("_at"), value.alias("e"))))),

@@ -1,65 +1,18 @@
-"""Registry of user transforms and hooks for user models."""
+"""Hooks for user models and transforms.
+
+Named transforms need no registry here: ``DataFrame.transform`` takes any function, and ``spark.udf`` and ``spark.udtf``
+register those that SQL shall know; ``SparkContext.addPyFile`` ships their modules.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from importlib import import_module
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Transform = Callable[[DataFrame], DataFrame]
-_FACTORIES: dict[str, Any] = {}
-
-
-def _key(name: str) -> str:
-    return name.strip().lower()
-
-
-def register(name: str, factory: Any, *, replace: bool = False) -> None:
-    """Register a factory: a callable, or an object with ``create``; it must return a named transform."""
-    key = _key(name)
-    if not key:
-        raise ValueError("an operator needs a name")
-    if key in _FACTORIES and not replace:
-        raise ValueError(f"operator {key!r} is registered already")
-    _FACTORIES[key] = factory
-
-
-def available() -> tuple[str, ...]:
-    return tuple(sorted(_FACTORIES))
-
-
-def create(name: str, **options: Any) -> Any:
-    """Build a registered operator; its own ``name`` must agree with the one asked for."""
-    key = _key(name)
-    if key not in _FACTORIES:
-        raise ValueError(f"unknown operator {name!r}; available: {', '.join(available()) or 'none'}")
-    factory = _FACTORIES[key]
-    made = factory.create(**options) if hasattr(factory, "create") else factory(**options)
-    if _key(getattr(made, "name", "")) != key:
-        raise ValueError(f"factory {key!r} returned an operator named {getattr(made, 'name', None)!r}")
-    return made
-
-
-def load_plugins(spark: SparkSession, modules: Iterable[str], files: Sequence[str] = ()) -> list[str]:
-    """Import modules that register operators; ``files`` are shipped to the executors first."""
-    for path in files:
-        spark.sparkContext.addPyFile(path)
-    loaded = []
-    for module in modules:
-        name = module.strip()
-        if not name:
-            continue
-        try:
-            import_module(name)
-        except Exception as problem:
-            raise RuntimeError(f"plugin {name!r} could not be loaded") from problem
-        loaded.append(name)
-    return loaded
-
 
 DETECTION_SCHEMA = (
     "det_id long, x1 double, y1 double, x2 double, y2 double, det_score double, "

@@ -77,7 +77,7 @@ def ema(
     """
     alpha = min(MAX_SMOOTHING, max(0.0, float(alpha)))
     keys = list(keys)
-    cut = df.withColumn(ordered.BUCKET, frame_bucket(index))
+    cut = df.withColumn(ordered.BUCKET, F.coalesce(frame_bucket(index), F.lit(ordered.NO_ORDER)))
     item = F.struct(F.col(index).alias("at"), F.col(value).cast("double").alias("x"), F.col(restart).alias("r"))
 
     def compose(acc: Column, row: Column) -> Column:
@@ -107,7 +107,8 @@ def ema(
         summary, key_names, [ordered.BUCKET], [ordered.BUCKET, "gain", "offset"], begin, advance,
         f"{key_ddl}, {ordered.BUCKET} long, _entering double",
     )
-    joined = cut.join(entering, [*keys, ordered.BUCKET]).withColumns({f"_key_{k}": F.col(k) for k in keys})
+    entering = entering.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, ordered.BUCKET)})
+    joined = ordered.join_null_safe(cut, entering, [*keys, ordered.BUCKET]).withColumns({f"_key_{k}": F.col(k) for k in keys})
     names = df.columns
     at_value, at_restart = names.index(value), names.index(restart)
 

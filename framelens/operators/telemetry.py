@@ -137,33 +137,44 @@ def span_children(spans: DataFrame, *, keys: Sequence[str] = ("run_id",)) -> Dat
     return joined.withColumn("self_duration_ns", F.col("duration_ns") - F.col("child_duration_ns"))
 
 
-def span_tree(spans: DataFrame, *, keys: Sequence[str] = ("run_id",), max_rounds: int = 40) -> DataFrame:
-    """Root, depth and path of every span whose chain of parents is complete.
+def span_tree(spans: DataFrame, *, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Root, depth and path of every span, and ``complete``: its chain of parents ends in a root.
 
-    Ancestor pointers double each round, so a tree of depth d takes about log2(d) joins.
+    Spans whose chain breaks off (the parent's line was lost) or runs in a circle stay, with null root, depth
+    and path. Ancestor pointers double each round, so a tree of depth d takes about log2(d) joins. When a round
+    finishes no span, only circles are left open: a chain that ends has a span to finish in every round.
     """
     keys = list(keys)
-    links = spans.select(
+    links = cut_lineage(spans.select(
         *keys, "span_id", F.col("parent_span_id").alias("up"), F.col("span_id").alias("root"),
-        F.lit(0).cast("long").alias("depth"), F.col("span_id").cast("string").alias("path"),
-    )
-    links = cut_lineage(links)
-    for _ in range(max_rounds):
-        if links.filter(F.col("up").isNotNull()).isEmpty():
-            break
+        F.lit(0).cast("long").alias("depth"), F.col("span_id").cast("string").alias("path"), F.lit(True).alias("complete"),
+    ))
+    lost = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(links.dtypes)
+    broken = {"up": lost(kinds["up"]), "root": lost(kinds["root"]), "depth": lost("long"), "path": lost("string"), "complete": F.lit(False)}
+    open_spans = links.filter(F.col("up").isNotNull()).count()
+    while open_spans:
         target = links.select(
-            *keys, F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"),
-            F.col("depth").alias("_depth"), F.col("path").alias("_path"),
+            *(F.col(c).alias(f"_of_{c}") for c in keys), F.col("span_id").alias("_id"), F.col("up").alias("_up"), F.col("root").alias("_root"),
+            F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("complete").alias("_complete"),
         )
         # Finished spans need no join; only open ones are shuffled on their ancestor.
         done = links.filter(F.col("up").isNull())
-        moved = links.filter(F.col("up").isNotNull()).join(target, [*keys, "up"]).select(
-            *keys, "span_id", F.col("_up").alias("up"), F.col("_root").alias("root"),
-            (F.col("depth") + F.col("_depth") + 1).alias("depth"),
-            F.concat_ws("/", "_path", "path").alias("path"),
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys] + [F.col("up") == F.col("_id")]
+        met = links.filter(F.col("up").isNotNull()).join(target, same, "left")
+        whole = F.col("_id").isNotNull() & F.col("_complete")
+        moved = met.select(
+            *keys, "span_id", F.when(whole, F.col("_up")).alias("up"), F.when(whole, F.col("_root")).alias("root"),
+            F.when(whole, F.col("depth") + F.col("_depth") + 1).alias("depth"),
+            F.when(whole, F.concat_ws("/", "_path", "path")).alias("path"), whole.alias("complete"),
         )
         links = cut_lineage(done.unionByName(moved))
-    return links.filter(F.col("up").isNull()).drop("up")
+        before, open_spans = open_spans, links.filter(F.col("up").isNotNull()).count()
+        if open_spans == before:
+            break
+    if open_spans:
+        links = links.filter(F.col("up").isNull()).unionByName(links.filter(F.col("up").isNotNull()).withColumns(broken))
+    return links.drop("up")
 
 
 def top_functions(
@@ -258,7 +269,8 @@ def lru_hits(
             del cache[next(iter(cache))]
         return [(*values, hit)]
 
-    joined = cut.join(starts, [key, ordered.BUCKET])
+    starts = starts.withColumnsRenamed({c: f"_of_{c}" for c in (key, ordered.BUCKET)})
+    joined = ordered.join_null_safe(cut, starts, [key, ordered.BUCKET])
     out_schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", hit boolean"
     return ordered.fold_sorted(
         joined.withColumn("_k", F.col(key)), ["_k", ordered.BUCKET], order, [*names, "_cache"], replay_begin, replay,

@@ -26,6 +26,8 @@ from framelens.session import bounded, cut_lineage
 
 # Frames one fold takes at most; longer segments are folded in pieces of this length.
 CHUNK_FRAMES = 16_384
+# Track ids are frame * IDS_PER_FRAME + rank; more tracks cannot begin in a frame.
+IDS_PER_FRAME = 1 << 16
 POINT = "struct<x:double,y:double>"
 CANDIDATE = (
     f"struct<similarity:double,det_id:bigint,x1:double,y1:double,x2:double,y2:double,kps:array<{POINT}>>"
@@ -56,6 +58,8 @@ class TrackConfig:
     profile: str = "temporal"
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "max_faces", min(IDS_PER_FRAME, max(1, int(self.max_faces))))
+        object.__setattr__(self, "duplicate_iou", det.held_iou(self.duplicate_iou))
         if self.profile not in ("temporal", "frame"):
             raise ValueError("profile must be 'temporal' or 'frame'")
 
@@ -111,29 +115,34 @@ def _association(previous, current, similarity):
 class TrackFold:
     """The tracker as a fold step: feed frames in order, get one output row per frame.
 
-    State is a handful of tracks; it can be saved to and restored from plain lists.
+    State is a handful of tracks; it can be saved to and restored from plain lists. A track's id is the frame
+    it begins in and its rank among those that begin there, so ids do not depend on where a fold starts.
     """
 
-    def __init__(self, config: TrackConfig, state: dict | None = None):
+    def __init__(self, config: TrackConfig, state: dict | None = None, names: list[int] | None = None):
         self.config = config
         self.alpha = min(0.98, max(0.0, config.smoothing))
-        state = state or {"tracks": [], "next_id": 0}
         self.tracks = [
-            Track(t[0], tuple(t[1]), [tuple(p) for p in t[2]], t[3], t[4], t[5]) for t in state["tracks"]
+            Track(t[0], tuple(t[1]), [tuple(p) for p in t[2]], t[3], t[4], t[5]) for t in (state or {"tracks": []})["tracks"]
         ]
-        self.next_id = state["next_id"]
+        for track, name in zip(self.tracks, names or ()):
+            track.track_id = name
+        self.frame = self.born = 0
 
-    def snapshot(self, *, renumber: bool = False) -> dict:
-        """Plain state; ``renumber`` makes ids count from 0, which keeps their order and so every decision."""
-        tracks = sorted(self.tracks, key=lambda t: t.track_id) if renumber else self.tracks
+    def snapshot(self, *, anonymous: bool = False) -> dict:
+        """Plain state; ``anonymous`` ids count up to -1, which keeps their order, and so every decision."""
+        tracks = sorted(self.tracks, key=lambda t: t.track_id) if anonymous else self.tracks
         return {
             "tracks": [
-                [i if renumber else t.track_id, list(t.box), [list(p) for p in t.kps], t.similarity, t.det_id, t.missing]
+                [i - len(tracks) if anonymous else t.track_id, list(t.box), [list(p) for p in t.kps], t.similarity, t.det_id, t.missing]
                 for i, t in enumerate(tracks)
             ],
-            "next_id": len(tracks) if renumber else self.next_id,
         }
 
+    def _new_id(self) -> int:
+        self.born += 1
+        return self.frame * IDS_PER_FRAME + self.born - 1
+
     @property
     def needs_detection(self) -> bool:
         return not self.tracks or any(t.missing > 0 for t in self.tracks)
@@ -167,8 +176,7 @@ class TrackFold:
             if len(self.tracks) >= self.config.max_faces:
                 break
             box = (c["x1"], c["y1"], c["x2"], c["y2"])
-            track = Track(self.next_id, box, _points(c), c["similarity"], c["det_id"])
-            self.next_id += 1
+            track = Track(self._new_id(), box, _points(c), c["similarity"], c["det_id"])
             self.tracks.append(track)
             updated.append(track)
         return sorted(updated, key=lambda t: _area(t.box))
@@ -205,6 +213,7 @@ class TrackFold:
     def step(self, index, cut, ambiguous, top_similarity, candidates, motion):
         """One frame. ``motion`` is the six affine numbers, or None when absent or not acceptable."""
         cfg = self.config
+        self.frame, self.born = index, 0
         if cut:
             self.tracks = []
         needs = self.needs_detection
@@ -335,19 +344,22 @@ def segments(rows: DataFrame, config: TrackConfig) -> DataFrame:
     ).drop("_cut", "_fresh")
 
 
-FOLD_COLUMNS = ("frame_index", "scene_id", "scene_cut", "ambiguous", "top_similarity", "candidates", "motion", "state_in")
+FOLD_COLUMNS = ("frame_index", "scene_id", "scene_cut", "ambiguous", "top_similarity", "candidates", "motion", "state_in", "names_in")
 PIECE = ("video_id", "segment", "chunk")
 
 
 def _advance(fold: TrackFold, row: tuple) -> tuple:
-    index, scene, cut, ambiguous, top, candidates, motion, _ = row
+    index, scene, cut, ambiguous, top, candidates, motion, *_ = row
     top = None if top is None or top != top else top
     moved = None if motion is None else [float(v) for v in motion]
     return (index, scene, *fold.step(index, cut, ambiguous, top, list(candidates), moved))
 
 
 def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataFrame:
-    """Fold each piece from its ``state_in``: to its frames, or to the state it ends in."""
+    """Fold each piece from its ``state_in``: to its frames, or to the state it ends in and its tracks' ids.
+
+    Without names the tracks a piece begins with have the ids -n to -1.
+    """
     ddl = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in PIECE)
 
     def begin(key):
@@ -355,8 +367,9 @@ def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataF
 
     def step(state, row):
         if state[1] is None:
-            start = row[-1]
-            state[1] = TrackFold(config, json.loads(start) if isinstance(start, str) else None)
+            start, names = row[-2:]
+            given = lambda text: json.loads(text) if isinstance(text, str) else None
+            state[1] = TrackFold(config, given(start), given(names))
         out = _advance(state[1], row)
         return () if states else [(*state[0], *out)]
 
@@ -364,20 +377,20 @@ def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataF
         if not states:
             return ()
         # No tracks left is the same as not having started.
-        left = json.dumps(state[1].snapshot(renumber=True)) if state[1].tracks else None
-        return [(*state[0], left)]
+        left = json.dumps(state[1].snapshot(anonymous=True)) if state[1].tracks else None
+        return [(*state[0], left, json.dumps(sorted(t.track_id for t in state[1].tracks)))]
 
-    schema = f"{ddl}, state_out string" if states else f"{ddl}, frame_index long, scene_id long, {TRACK_OUTPUT}"
+    schema = f"{ddl}, state_out string, ids_out string" if states else f"{ddl}, frame_index long, scene_id long, {TRACK_OUTPUT}"
     return ordered.fold_sorted(rows, list(PIECE), ["frame_index"], list(FOLD_COLUMNS), begin, step, schema, finish=finish)
 
 
 def _entry_states(rows: DataFrame, config: TrackConfig) -> DataFrame:
-    """The state each piece of a long segment starts from: (video_id, segment, chunk, state_in).
+    """What each piece of a long segment starts from: (video_id, segment, chunk, state_in, names_in).
 
     All pieces are folded at once from an empty state, then again those whose predecessor turned out to end
     in another state than assumed, until every assumption holds. A piece is right once the one before it is,
     so this ends with the exact states; since a tracker forgets its start within a piece as a rule, it
-    takes about two rounds.
+    takes about two rounds. States are anonymous; the tracks' ids are handed on from piece to piece at the end.
     """
     keys = list(PIECE)
     in_segment = Window.partitionBy("video_id", "segment").orderBy("chunk")
@@ -386,7 +399,7 @@ def _entry_states(rows: DataFrame, config: TrackConfig) -> DataFrame:
     inputs = cut_lineage(pieces.withColumn("state_in", none))
     todo, ended = inputs, None
     while True:
-        ran = _fold_pieces(rows.join(todo.select(*keys, "state_in"), keys), config, states=True)
+        ran = _fold_pieces(rows.join(todo.select(*keys, "state_in"), keys).withColumn("names_in", none), config, states=True)
         ended = cut_lineage(ran if ended is None else ended.join(todo, keys, "left_anti").unionByName(ran))
         left = ended.select("video_id", "segment", F.col("chunk").alias("_before"), "state_out")
         linked = cut_lineage(inputs.join(left, ["video_id", "segment", "_before"], "left"))
@@ -395,7 +408,22 @@ def _entry_states(rows: DataFrame, config: TrackConfig) -> DataFrame:
         )
         inputs = linked.select(*keys, "_before", F.col("state_out").alias("state_in"))
         if todo.isEmpty():
-            return inputs.drop("_before")
+            return inputs.drop("_before").join(_names(ended), keys)
+
+
+def _names(ended: DataFrame) -> DataFrame:
+    """Ids of the tracks each piece begins with; one short row per piece is folded along its segment."""
+
+    def step(state, row):
+        chunk, ids = row
+        out = [(*state[0], chunk, json.dumps(state[1]) if state[1] else None)]
+        state[1] = [state[1][i] if i < 0 else i for i in json.loads(ids)]
+        return out
+
+    ddl = ", ".join(f"{c} {ended.schema[c].dataType.simpleString()}" for c in PIECE)
+    return ordered.fold_sorted(
+        ended.select(*PIECE, "ids_out"), ["video_id", "segment"], ["chunk"], ["chunk", "ids_out"], lambda key: [key, []], step, f"{ddl}, names_in string"
+    )
 
 
 def track(
@@ -406,14 +434,14 @@ def track(
 
     Videos are folded per segment (see ``segments``), and segments longer than ``chunk_frames`` in pieces of
     that length (see ``_entry_states``), so long videos spread over the cluster; a fold holds one Arrow batch
-    and a few tracks. Track ids count within (video_id, segment, chunk).
+    and a few tracks. Track ids are unique in a video and do not depend on how it is split.
     """
     rows = cut_lineage(tracking_input(frames, detections, motion, config, crowded=crowded))
     places = segments(rows, config)
     if not split:
         places = places.withColumn("segment", F.lit(0).cast("long"))
     none = F.lit(None).cast("string")
-    whole = rows.join(places, list(det.FRAME)).withColumn("chunk", F.lit(0).cast("long"))
+    whole = rows.join(places, list(det.FRAME)).withColumns({"chunk": F.lit(0).cast("long"), "names_in": none})
     if not split:
         return _fold_pieces(whole.withColumn("state_in", none), config, states=False)
     long = places.groupBy("video_id", "segment").agg(F.count(F.lit(1)).alias("_n")).filter(
@@ -426,7 +454,7 @@ def track(
         whole.join(long, ["video_id", "segment"], "left_semi").withColumn("chunk", frame_bucket("frame_index", chunk_frames))
     )
     usual = whole.join(long, ["video_id", "segment"], "left_anti").withColumn("state_in", none)
-    pieces = cut.join(_entry_states(cut, config), list(PIECE))
+    pieces = cut.drop("names_in").join(_entry_states(cut.drop("names_in"), config), list(PIECE))
     return _fold_pieces(usual, config, states=False).unionByName(_fold_pieces(pieces, config, states=False))
 
 
@@ -506,8 +534,8 @@ def associate(tracks: DataFrame, candidates: DataFrame, *, max_faces: int = 2, s
                     "tracks": [
                         [t["track_id"], (t["x1"], t["y1"], t["x2"], t["y2"]), [], 0.0, -1, 0] for t in running
                     ],
-                    "next_id": max((t["track_id"] for t in running), default=-1) + 1,
                 })
+                fold.born = max((t["track_id"] for t in running), default=-1) + 1  # new ids go on from the largest
                 before = {t["track_id"] for t in running}
                 for t in fold.assign([] if found is None else list(found)):
                     out.append((video, frame, t.track_id, t.det_id, t.track_id not in before, *t.box))

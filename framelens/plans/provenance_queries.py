@@ -130,6 +130,26 @@ def prv5(spark, sf_dir):
     return _manifests(spark, sf_dir)
 
 
+MANY_SQL = MANIFEST_SQL.replace("floor(doc_id / 10)", "floor(doc_id / 200)").replace(
+    ROLE_SQL, "CASE doc_id % 200 WHEN 0 THEN 'output' WHEN 1 THEN 'input' WHEN 2 THEN 'target' WHEN 3 THEN 'model' ELSE CASE WHEN doc_id % 5 = 0 THEN 'additional' ELSE 'source' END END"
+).replace("doc_id % 30 = 0", "doc_id % 600 = 0").replace("ORDER BY string_split(path, '/')", "ORDER BY place").replace("AS role, lang", "AS role, -doc_id AS place, lang")
+
+
+@query("prv5_build_manifests_many", MANY_SQL)
+def prv5_many(spark, sf_dir):
+    """Outputs with some 150 sources each, listed in the order given."""
+    at = F.col("doc_id") % 200
+    role = F.when(at < 4, F.element_at(F.array(*map(F.lit, ("output", "input", "target", "model"))), (at + 1).cast("int"))).when(
+        F.col("doc_id") % 5 == 0, "additional"
+    ).otherwise("source")
+    rows = table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 200).cast("long").alias("output_id"), role.alias("role"), (-F.col("doc_id")).alias("place"),
+        F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
+        F.when(F.col("doc_id") % 600 != 0, F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"), F.lit("file").alias("kind"),
+    )
+    return prv.build_manifests(rows, created=F.lit(CREATED), position="place")
+
+
 @query("snk2_write_manifests", f"SELECT manifest AS name, document FROM ({MANIFEST_SQL}) m")
 def snk2(spark, sf_dir):
     path = scratch_path(spark, "manifests")

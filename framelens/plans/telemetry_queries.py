@@ -201,7 +201,7 @@ WITH RECURSIVE tree AS (
 SELECT * FROM tree
 """)
 def str11(spark, sf_dir):
-    return telemetry.span_tree(view(spark, sf_dir, "v_spans"))
+    return telemetry.span_tree(view(spark, sf_dir, "v_spans")).drop("complete")
 
 
 @query("top3_top_functions", """

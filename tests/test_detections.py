@@ -76,3 +76,11 @@ def test_primary_and_layers(spark):
     best = det.primary_detection(df, 100.0, 100.0).collect()[0]
     assert best.largest_det == 2
     assert {r.det_id: r.layer for r in det.composition_order(df).collect()} == {0: 0, 1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("iou", [0.0, 1.0])
+def test_thresholds_are_held_in_range_on_both_routes(spark, iou):
+    rows = [(1, 0, i, float(i % 7), 0.0, float(i % 7) + 20, 20.0, 0.9, 0.5 + i / 100) for i in range(14)]
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, det_id long, x1 double, y1 double, x2 double, y2 double, det_score double, similarity double")
+    ids = lambda crowded: sorted(r.det_id for r in det.nms(df, iou=iou, crowded=crowded).collect())
+    assert ids(None) == ids(3) and 0 < len(ids(None)) < 14

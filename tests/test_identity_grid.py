@@ -140,3 +140,17 @@ def test_small_groups_are_not_matched(spark):
     df = spark.createDataFrame([("N", float(i)) for i in range(200)] + [("A", 5.0)], "g string, x double")
     rows = grid.moment_match(df, "x", "g", "N").filter(F.col("g") == "A").collect()
     assert rows[0].matched == 5.0
+
+
+def test_large_banks_match_as_small_ones_with_repeating_ids(spark):
+    refs = spark.createDataFrame([(i, [float(i == j) for j in range(8)]) for i in range(8)], "ref_id long, embedding array<double>")
+    found = spark.createDataFrame([(1, f, 0, [float(f == j) for j in range(8)]) for f in range(8)] + [(None, 3, 0, [1.0] + [0.0] * 7)], "video_id long, frame_index long, det_id long, embedding array<double>")
+    match = lambda rows: sorted(map(str, identity.match_identity(found, refs, min_sim=0.5, k=2, bank_rows=rows).collect()))
+    assert match(4) == match(100) and len(match(4)) == 9
+
+
+def test_pixel_neighbours_are_adjacent_cells(spark):
+    cells = lambda xs: spark.createDataFrame([(1, x, 0, v) for x, v in xs], "frame_id long, cx long, cy long, v double")
+    got = grid.pixel_stats(cells([(0, 10.0), (5, 90.0), (6, 20.0)])).first()
+    # 0 stands alone; 5 and 6 mirror each other: 2 * (20 - 90) and 2 * (90 - 20)
+    assert got.sharpness_var == pytest.approx(2 * 140.0**2 / 3)

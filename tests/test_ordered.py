@@ -117,3 +117,32 @@ def test_boundary_jump_keeps_history_over_gaps(spark):
     df = spark.createDataFrame([(1, i, d, i in (0, 4, 5)) for i, d in enumerate(deltas)], "key long, idx long, delta double, boundary boolean")
     got = {r.idx: r.jump for r in sequence.boundary_jump(df).collect()}
     assert got == {0: 1.0, 4: pytest.approx(8 / 3), 5: pytest.approx(6 / 4)}
+
+
+def test_null_keys_null_orders_and_large_numbers_stay(spark):
+    from framelens.operators import ordered
+    from framelens.operators.ordered import frame_bucket
+
+    big = 2**53 + 1
+    rows = [("a", 5, big), ("a", None, None), ("a", 9000, 3), (None, 1, big), (None, 2, None)]
+    df = spark.createDataFrame(rows, "key string, idx long, n long")
+    got = {(r.key, r.idx): r.at for r in ordered.ordered_index(df, ["key"], "idx", frame_bucket("idx"), "at").collect()}
+    assert got == {("a", None): 0, ("a", 5): 1, ("a", 9000): 2, (None, 1): 0, (None, 2): 1}
+    lagged = {(r.key, r.idx): r.before for r in ordered.ordered_lag(df, ["key"], "idx", frame_bucket("idx"), {"before": df.n}).collect()}
+    assert lagged == {("a", None): None, ("a", 5): None, ("a", 9000): big, (None, 1): None, (None, 2): big}
+    folded = ordered.fold_sorted(
+        df, ["key"], ["idx"], ["idx", "n"], lambda key: list(key), lambda state, row: [(state[0], *row)], "key string, idx long, n long"
+    ).collect()
+    assert sorted(map(str, map(tuple, folded))) == sorted(map(str, rows))
+
+
+def test_span_tree_keeps_orphans_and_circles(spark):
+    from framelens.operators import telemetry
+
+    chain = [("r", str(i), str(i - 1) if i else None) for i in range(40)]
+    rows = [*chain, ("r", "lost", "gone"), ("r", "under", "lost"), ("r", "x", "y"), ("r", "y", "x"), ("r", "hang", "x"), (None, "n", None), (None, "m", "n")]
+    got = {(r.run_id, r.span_id): r for r in telemetry.span_tree(spark.createDataFrame(rows, "run_id string, span_id string, parent_span_id string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got["r", str(i)].depth == i and got["r", str(i)].root == "0" for i in range(40)) and got["r", "3"].path == "0/1/2/3"
+    assert [got["r", s].complete for s in ("39", "lost", "under", "x", "y", "hang")] == [True, False, False, False, False, False]
+    assert got["r", "x"].root is None and got[None, "m"].root == "n"

@@ -1,6 +1,5 @@
 import hashlib
 import json
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,28 +120,6 @@ def test_worker_lines(spark):
     assert normal[0].level == "INFO" and normal[5].level == "WARNING" and normal[5].event == "worker_event"
 
 
-def test_registry(spark, tmp_path):
-    name = "Doubler "
-    registry.register(name, lambda **o: SimpleNamespace(name="doubler", apply=lambda df: df), replace=True)
-    assert "doubler" in registry.available() and registry.create("DOUBLER").name == "doubler"
-    for bad in ("", "doubler"):
-        with pytest.raises(ValueError):
-            registry.register(bad, lambda: None)
-    registry.register("liar", lambda: SimpleNamespace(name="other"), replace=True)
-    with pytest.raises(ValueError, match="returned an operator"):
-        registry.create("liar")
-    with pytest.raises(ValueError, match="available: .*doubler"):
-        registry.create("missing")
-    (tmp_path / "plugin_for_test.py").write_text(
-        "from types import SimpleNamespace\nfrom framelens.operators import registry\n"
-        "registry.register('plugged', lambda: SimpleNamespace(name='plugged'), replace=True)\n"
-    )
-    assert registry.load_plugins(spark, ["plugin_for_test", " "], [str(tmp_path / "plugin_for_test.py")]) == ["plugin_for_test"]
-    assert registry.create("plugged").name == "plugged"
-    with pytest.raises(RuntimeError, match="no_such_module"):
-        registry.load_plugins(spark, ["no_such_module"])
-
-
 def test_detector_table_function(spark):
     def factory():
         return lambda content: [{"x1": float(len(content)), "det_score": 0.9}]

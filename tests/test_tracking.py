@@ -99,7 +99,7 @@ def test_split_tracking_equals_whole_tracking(spark, profile, max_faces):
     def result(split, **options):
         rows = tracking.track(frames, detections, moves, config, split=split, **options).collect()
         plain = {
-            r.frame_index: (r.scene_cut, r.detection_due, r.full_scan, r.ambiguous, round(r.similarity, 9), [(i.det_id, round(i.x1, 6), round(i.y2, 6)) for i in r.instances])
+            r.frame_index: (r.scene_cut, r.detection_due, r.full_scan, r.ambiguous, round(r.similarity, 9), [(i.det_id, i.track_id, round(i.x1, 6), round(i.y2, 6)) for i in r.instances])
             for r in rows
         }
         return plain, len({(r.segment, r.chunk) for r in rows})
@@ -112,6 +112,15 @@ def test_split_tracking_equals_whole_tracking(spark, profile, max_faces):
     assert any(row[5] for row in parts.values())
 
 
+def test_ids_pass_through_pieces(spark):
+    config = TrackConfig(min_similarity=0.3, max_faces=2, detection_interval=100, max_missing=50, width=400, height=80)
+    faces = [face(0, 0, 10), face(0, 1, 90)] + [face(20, 2, 10), face(20, 3, 90)]
+    moves = spark.createDataFrame([(1, f, 1.0, 0.0, 0.5, 0.0, 1.0, 0.0) for f in range(1, 30)], "video_id long, frame_index long, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double")
+    detections = spark.createDataFrame(faces, DET)
+    ids = lambda chunk: sorted((r.frame_index, [(i.track_id, round(i.x1, 6)) for i in r.instances]) for r in tracking.track(frames_of(spark, 30), detections, moves, config, chunk_frames=chunk).collect())
+    assert ids(4) == ids(7) == ids(1000) and {len(x[1]) for x in ids(4)} == {2}
+
+
 def test_state_survives_a_snapshot():
     config = TrackConfig(min_similarity=0.3, max_faces=2, width=240, height=80)
     frames = [[{"similarity": 0.9, "det_id": i, "x1": 10.0 + i, "y1": 10.0, "x2": 40.0 + i, "y2": 50.0, "kps": []}] for i in range(6)]
