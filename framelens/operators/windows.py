@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import crossfade_weight, window_seed
@@ -200,19 +200,35 @@ def nearest_cut(clips: DataFrame, cuts: DataFrame, window: int, *, key: str = "v
     return clips.join(best, [key, "clip_index"], "left")
 
 
+def _planned_reach(plan: WindowPlan) -> int:
+    """A window reaches at most frame_num frames and starts at least stride - snap (or one) frames after the
+    one before it, so only so many later windows can cover a frame of it."""
+    step = max(1, plan.stride - (plan.snap if plan.scene_aware else 0))
+    return -(-plan.frame_num // step)
+
+
+def _reach(clips: DataFrame, key: str) -> int:
+    """The same bound from the windows: most of them that start within the length of the longest one."""
+    longest = clips.agg(F.max("valid_frames").alias("n")).first()["n"]
+    if not longest:
+        return 0
+    ahead = Window.partitionBy(key).orderBy("start_frame").rangeBetween(0, int(longest) - 1)
+    near = clips.select((F.count(F.lit(1)).over(ahead) - 1).alias("n"))
+    return near.agg(F.max("n").alias("n")).first()["n"]
+
+
 def stitch(
-    clip_values: DataFrame, clips: DataFrame, plan: WindowPlan = WindowPlan(), *, key: str = "video_id"
+    clip_values: DataFrame, clips: DataFrame, plan: WindowPlan | None = None, *, key: str = "video_id"
 ) -> DataFrame:
     """One value per frame of the output.
 
+    ``plan``, if given, must be the one the clips were planned by; else the clips are asked how far they reach.
+
     A soft boundary cross-fades with what is already there; after a hard cut the later window owns its
     frames. Laying windows over each other in order is linear in their values, so each value gets its final
     share from the windows that follow it and the frames are plain sums, combined before the shuffle.
     """
-    # A window reaches at most frame_num frames and starts at least stride - snap (or one) frames after the
-    # one before it, so only so many later windows can cover a frame of it.
-    step = max(1, plan.stride - (plan.snap if plan.scene_aware else 0))
-    reach = -(-plan.frame_num // step)
+    reach = _reach(clips, key) if plan is None else _planned_reach(plan)
     details = ("start_frame", "overlap_before", "hard_cut_before")
     turned = clips.select(
         key, F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_ahead"), "clip_index", "valid_frames", *details

@@ -153,8 +153,9 @@ def prv5_many(spark, sf_dir):
 @query("snk2_write_manifests", f"SELECT manifest AS name, document FROM ({MANIFEST_SQL}) m")
 def snk2(spark, sf_dir):
     path = scratch_path(spark, "manifests")
-    writers.write_manifests(_manifests(spark, sf_dir), path)
-    return spark.read.option("basePath", path).schema("value string, name string").text(path).select("name", F.col("value").alias("document"))
+    for _ in range(2):  # a second write changes nothing
+        writers.write_manifests(_manifests(spark, sf_dir), path)
+    return writers.read_documents(spark, path).select("name", "document")
 
 
 @query("snk3_write_quality_reports", f"""
@@ -165,7 +166,9 @@ def snk3(spark, sf_dir):
         F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("output_video"),
         F.struct(F.col("n_chars").alias("count"), F.lit(None).cast("long").alias("p95")).alias("metrics"),
     )
-    return writers.quality_documents(report)
+    path = scratch_path(spark, "quality")
+    writers.write_quality_reports(report, path)
+    return writers.read_documents(spark, path).select("name", "document")
 
 
 @query("snk4_assign_output_names", f"""

@@ -1,13 +1,14 @@
-"""Sinks: JSON lines and one document per output."""
+"""Sinks: JSON lines and named documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from framelens.functions import path_stem
 from framelens.operators.provenance import QUALITY_SCHEMA
+from framelens.session import cut_lineage
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -23,11 +24,31 @@ def stream_jsonl(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def write_documents(df: DataFrame, directory: str, *, name: str, document: str = "document") -> None:
-    """One folder per output, named after ``name``, holding its document as text."""
-    df.select(F.col(name).alias("name"), F.col(document).alias("value")).write.mode("append").partitionBy(
-        "name"
-    ).text(directory)
+SHARDS = 64
+
+
+def write_documents(df: DataFrame, directory: str, *, name: str, document: str = "document", shards: int = SHARDS) -> None:
+    """JSON lines (name, document) in ``shards`` folders by hash of the name, so a folder has few files at any size.
+
+    A name is written once: shards touched by ``df`` are written anew with its rows over those already there, the
+    others stay as they are; a second write of the same rows changes nothing. Of rows that share a name the greatest
+    document stays.
+    """
+    spark = df.sparkSession
+    new = df.select(F.col(name).alias("name"), F.col(document).alias("document")).groupBy("name").agg(F.max("document").alias("document"))
+    new = new.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = cut_lineage(new)
+        touched = F.broadcast(new.select("shard").distinct())  # at most one row a shard
+        old = read_documents(spark, directory).join(touched, "shard", "left_semi")
+        new = cut_lineage(new.unionByName(old.join(new.select("name"), "name", "left_anti").select(new.columns)))
+    new.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(directory)
+
+
+def read_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """``name, document, shard`` of what ``write_documents`` wrote."""
+    return spark.read.schema("name string, document string, shard int").json(directory)
 
 
 def write_manifests(manifests: DataFrame, directory: str) -> None:

@@ -70,9 +70,22 @@ def test_manifest_documents(spark, tmp_path):
     assert [s["path"] for s in document["source_images"]] == ["s/a.png", "s/b.png"]
     assert document["model"]["sha256"] == "skipped" and document["additional_models"] == []
     assert document["target_reference"] is None
-    writers.write_manifests(prv.build_manifests(df, created=F.lit("now")), str(tmp_path / "manifests"))
-    written = [p for p in (tmp_path / "manifests").rglob("*.txt")]
-    assert len(written) == 1 and json.loads(written[0].read_text())["schema"] == prv.MANIFEST_SCHEMA
+    target = str(tmp_path / "manifests")
+    for _ in range(2):
+        writers.write_manifests(prv.build_manifests(df, created=F.lit("now")), target)
+    written = writers.read_documents(spark, target).collect()
+    assert len(written) == 1 and written[0].name == "clip.manifest.json" and json.loads(written[0].document)["schema"] == prv.MANIFEST_SCHEMA
+    more = spark.createDataFrame([("clip.manifest.json", "{}"), ("other.json", "[]")], "name string, document string")
+    writers.write_documents(more, target, name="name")
+    assert {(r.name, r.document) for r in writers.read_documents(spark, target).collect()} == {("clip.manifest.json", "{}"), ("other.json", "[]")}
+
+
+def test_manifests_list_every_source_in_the_order_given(spark):
+    rows = [(1, "source", f"s/{i}.png", None, "file", -i) for i in range(90)] + [(1, "additional", f"m/{i}", None, "file", i) for i in range(70)] + [(1, "output", "o.mp4", None, "file", 0)]
+    df = spark.createDataFrame(rows, "output_id long, role string, path string, sha256 string, kind string, position long")
+    document = json.loads(prv.build_manifests(df, created=F.lit("now"), position="position").first().document)
+    assert [s["path"] for s in document["source_images"]] == [f"s/{i}.png" for i in range(89, -1, -1)]
+    assert [s["path"] for s in document["additional_models"]] == [f"m/{i}" for i in range(70)]
 
 
 def test_credentials_are_json(spark):

@@ -129,3 +129,11 @@ def test_padding_and_cut_list(spark):
         windows.clean_cuts(F.array(*(F.lit(c) for c in (5, 0, 9, 5, -1, 3))), F.lit(9)).alias("c")
     ).collect()[0].c
     assert cuts == [3, 5]
+
+
+def test_stitch_asks_the_clips_how_far_they_reach(spark):
+    plan = windows.WindowPlan(frame_num=49, overlap=45, scene_aware=False)
+    videos = spark.createDataFrame([(1, 200)], "video_id long, requested_frames long")
+    clips = windows.plan_windows(videos, None, plan)
+    values = clips.selectExpr("video_id", "clip_index", "explode(sequence(0L, valid_frames - 1)) AS offset").selectExpr("*", "100D AS value")
+    assert {round(r.value, 6) for r in windows.stitch(values, clips).collect()} == {100.0}
