@@ -88,12 +88,22 @@ PROFILE_ENUMS = {
     "cleanup_mode": ("adaptive", "always", "never"),
     "interpolation": ("linear", "cubic", "lanczos"),
     "decoder": ("auto", "opencv", "ffmpeg", "ffmpeg_cuda"),
+    "vae_dtype": ("auto", "bfloat16", "float16", "float32"),
 }
+PROFILE_SIZES = ("832*480", "1280*720")
 
 
 def profile_rules(columns: list[str]) -> dict[str, Column]:
-    """The rules that apply to the columns a profiles table has."""
+    """The rules for the columns a profiles table has.
+
+    A rule applies where all its columns are there; ``max_target_faces`` alone is held against the default of one
+    face. Columns without a rule are not checked.
+    """
     c = F.col
+    if "max_target_faces" in columns and "max_faces" not in columns:
+        most = F.lit(1)
+    else:
+        most = c("max_faces")
     rules = {
         "frame_num": (c("frame_num") >= 5) & (c("frame_num") % 4 == 1),
         "sample_fps": c("sample_fps") > 0,
@@ -103,10 +113,12 @@ def profile_rules(columns: list[str]) -> dict[str, Column]:
         "min_coverage": c("min_coverage").between(0, 1),
         "max_ambiguous": c("max_ambiguous").between(0, 1),
         "cleanup_ratio": (c("cleanup_ratio") > 0) & (c("cleanup_ratio") <= 1),
-        "max_target_faces": c("max_target_faces") <= c("max_faces"),
+        "max_target_faces": c("max_target_faces") <= most,
+        "size": F.trim("size").isin(*PROFILE_SIZES),
     }
     rules.update({name: F.lower(F.trim(c(name))).isin(*values) for name, values in PROFILE_ENUMS.items()})
-    return {name: rule for name, rule in rules.items() if name in columns}
+    needs = {"overlap": ("overlap", "frame_num")}
+    return {name: rule for name, rule in rules.items() if all(x in columns for x in needs.get(name, (name,)))}
 
 
 def skip_zero_opacity(df: DataFrame, opacity: str = "opacity") -> DataFrame:

@@ -184,7 +184,12 @@ def audit_counts(audited: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def content_credentials(df: DataFrame, *, created: Column, algorithm: str = "es256") -> DataFrame:
-    """Adds ``credentials``: the unsigned assertion document of each output (name, input_path, backend)."""
+    """Adds ``credentials``: the unsigned assertion document of each output (name, input_path, operation, backend).
+
+    ``synthetic_media`` (boolean), ``description`` and ``model_capabilities`` (any type) are stated as far as the
+    table has these columns: a document says what its row says, and nothing else.
+    """
+    stated = lambda name: [F.col(name)] if name in df.columns else []
     agent = F.struct(F.lit("framelens").alias("name"), F.lit(__version__).alias("version"))
     action = F.struct(
         F.lit("c2pa.created").alias("action"), F.lit(SOURCE_TYPE).alias("digitalSourceType"), agent.alias("softwareAgent")
@@ -196,7 +201,7 @@ def content_credentials(df: DataFrame, *, created: Column, algorithm: str = "es2
     origin = F.struct(
         F.lit("org.framelens.provenance").alias("label"),
         F.struct(
-            F.lit(True).alias("synthetic_media"), F.col("operation"), F.col("backend").alias("model_backend"),
+            *stated("synthetic_media"), F.col("operation"), F.col("backend").alias("model_backend"), *stated("model_capabilities"),
             created.alias("created_utc"),
         ).alias("data"),
     )
@@ -204,7 +209,7 @@ def content_credentials(df: DataFrame, *, created: Column, algorithm: str = "es2
         F.lit("stds.schema-org.CreativeWork").alias("label"),
         F.struct(
             F.lit("https://schema.org").alias("@context"), F.lit("VideoObject").alias("@type"), F.col("name"),
-            F.lit("Synthetic media; people shown agreed to it.").alias("description"),
+            *stated("description"),
         ).alias("data"),
     )
     # The three assertions differ in shape, so each is rendered on its own and the list is joined as text.

@@ -224,13 +224,15 @@ def prv6(spark, sf_dir):
 SELECT doc_id, CAST(json_object('alg', 'es256', 'claim_generator', 'framelens/{__version__}', 'title', doc_id || '.mp4', 'ingredient_paths', json_array(lang || '/' || doc_id),
   'assertions', json_array(
     json_object('label', 'c2pa.actions.v2', 'data', json_object('actions', json_array(json_object('action', 'c2pa.created', 'digitalSourceType', '{prv.SOURCE_TYPE}', 'softwareAgent', json_object('name', 'framelens', 'version', '{__version__}'))), 'allActionsIncluded', true)),
-    json_object('label', 'org.framelens.provenance', 'data', json_object('synthetic_media', true, 'operation', 'authorized', 'model_backend', source, 'created_utc', '{CREATED}')),
-    json_object('label', 'stds.schema-org.CreativeWork', 'data', json_object('@context', 'https://schema.org', '@type', 'VideoObject', 'name', doc_id || '.mp4', 'description', 'Synthetic media; people shown agreed to it.')))) AS VARCHAR) AS credentials FROM documents
+    json_object('label', 'org.framelens.provenance', 'data', json_object('synthetic_media', n_chars % 2 = 0, 'operation', 'authorized', 'model_backend', source, 'model_capabilities', json_object('faces', n_chars % 3), 'created_utc', '{CREATED}')),
+    json_object('label', 'stds.schema-org.CreativeWork', 'data', json_object('@context', 'https://schema.org', '@type', 'VideoObject', 'name', doc_id || '.mp4', 'description', 'from ' || source)))) AS VARCHAR) AS credentials FROM documents
 """)
 def prv7(spark, sf_dir):
     outputs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".mp4")).alias("name"),
         F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("input_path"), F.lit("authorized").alias("operation"), F.col("source").alias("backend"),
+        (F.col("n_chars") % 2 == 0).alias("synthetic_media"), F.struct((F.col("n_chars") % 3).alias("faces")).alias("model_capabilities"),
+        F.concat(F.lit("from "), F.col("source")).alias("description"),
     )
     return prv.content_credentials(outputs, created=F.lit(CREATED)).select("doc_id", "credentials")
 

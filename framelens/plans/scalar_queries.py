@@ -492,7 +492,8 @@ def flt10(spark, sf_dir):
 
 PROFILE = """doc_id, 5 + doc_id % 48 AS frame_num, doc_id % 40 AS overlap, doc_id % 25 AS sample_fps, doc_id % 30 / CAST(20 AS DOUBLE) AS min_coverage,
  CASE WHEN doc_id % 8 = 0 THEN 'linear' WHEN doc_id % 8 = 1 THEN ' CUBIC ' ELSE 'lanczos' END AS interpolation,
- CASE doc_id % 3 WHEN 0 THEN 'tonemap' WHEN 1 THEN 'reject' ELSE lang END AS hdr_policy, doc_id % 12 AS max_target_faces, doc_id % 11 + 1 AS max_faces"""
+ CASE doc_id % 3 WHEN 0 THEN 'tonemap' WHEN 1 THEN 'reject' ELSE lang END AS hdr_policy, doc_id % 12 AS max_target_faces, doc_id % 11 + 1 AS max_faces,
+ CASE doc_id % 4 WHEN 0 THEN ' 832*480' WHEN 1 THEN '480*832' ELSE '1280*720' END AS size, CASE doc_id % 5 WHEN 0 THEN 'Float16 ' WHEN 1 THEN 'int8' ELSE 'auto' END AS vae_dtype"""
 
 
 @query("flt11_check_rules", f"""
@@ -504,6 +505,8 @@ UNION ALL SELECT doc_id, 'min_coverage' FROM p WHERE NOT min_coverage BETWEEN 0
 UNION ALL SELECT doc_id, 'interpolation' FROM p WHERE lower(trim(interpolation)) NOT IN ('linear', 'cubic', 'lanczos')
 UNION ALL SELECT doc_id, 'hdr_policy' FROM p WHERE hdr_policy NOT IN ('tonemap', 'reject', 'passthrough')
 UNION ALL SELECT doc_id, 'max_target_faces' FROM p WHERE max_target_faces > max_faces
+UNION ALL SELECT doc_id, 'size' FROM p WHERE trim(size) NOT IN ('832*480', '1280*720')
+UNION ALL SELECT doc_id, 'vae_dtype' FROM p WHERE lower(trim(vae_dtype)) NOT IN ('auto', 'bfloat16', 'float16', 'float32')
 """)
 def flt11(spark, sf_dir):
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
