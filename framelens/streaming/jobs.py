@@ -42,6 +42,16 @@ def _settings(spark: SparkSession, **values):
 
 def run_available(df: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a file sink in the shared folder and read the result."""
+    return run_counted(df, name, mode=mode)[0]
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that stateful operators dropped because they came after the watermark, in the batches progress still holds."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def run_counted(df: DataFrame, name: str, *, mode: str = "append") -> tuple[DataFrame, int]:
+    """The same, and how many late rows were dropped."""
     spark = df.sparkSession
     out = scratch_path(spark, name)
     with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
@@ -50,7 +60,7 @@ def run_available(df: DataFrame, name: str, *, mode: str = "append") -> DataFram
             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/data")
+    return spark.read.schema(df.schema).parquet(f"{out}/data"), late_rows(query)
 
 
 def _window_columns(df: DataFrame) -> DataFrame:
@@ -113,8 +123,20 @@ def stream_correlate(
     )
 
 
-def stream_dedupe(stream: DataFrame, keys: Sequence[str], *, delay: str = "10 minutes") -> DataFrame:
-    return timed(stream, delay).dropDuplicatesWithinWatermark(list(keys))
+def stream_dedupe(
+    stream: DataFrame, keys: Sequence[str], *, delay: str = "10 minutes", ts: str = "ts", keep_days: int = 30
+) -> DataFrame:
+    """The earliest row by event time of each key, once, when the watermark has passed it.
+
+    A key is remembered for ``keep_days`` after its row and may come again after that, which bounds the state.
+    """
+    from framelens.streaming.processors import FirstOnce
+
+    stamps = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rows = timed(stream, delay, ts)
+    packed = rows.select(*keys, ts, F.to_json(F.struct(*rows.columns), stamps | {"ignoreNullFields": "false"}).alias("row"))
+    first = stateful(packed, list(keys), FirstOnce(ts, keep_days * 86_400_000), "row string", time_mode="EventTime")
+    return first.select(F.from_json("row", stream.schema, stamps).alias("row")).select("row.*")
 
 
 def stream_upsert_cache(

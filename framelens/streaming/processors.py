@@ -118,6 +118,43 @@ class StalledRuns(StatefulProcessor):
         pass
 
 
+class FirstOnce(StatefulProcessor):
+    """Emits a key's earliest ``row`` by event time, once, and forgets the key ``keep_ms`` later."""
+
+    def __init__(self, ts: str, keep_ms: int):
+        self.ts, self.keep_ms = ts, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._best = handle.getValueState("best", "us long, row string")
+        self._until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self._until.exists():
+            held = tuple(self._best.get()) if self._best.exists() else None
+            found = [(t.value // 1000, row) for batch in rows for t, row in zip(batch[self.ts].tolist(), batch["row"].tolist())]
+            best = min(found if held is None else [*found, held])
+            if best != held:
+                self._best.update(best)
+                self._handle.registerTimer(best[0] // 1000)
+        yield pd.DataFrame([], columns=["row"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if self._until.exists():
+            if at >= self._until.get()[0]:
+                self._until.clear()
+        elif self._best.exists() and self._best.get()[0] // 1000 == at:
+            out.append((self._best.get()[1],))
+            self._best.clear()
+            self._until.update((at + self.keep_ms,))
+            self._handle.registerTimer(at + self.keep_ms)
+        yield pd.DataFrame(out, columns=["row"])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_stalled_runs(
     stream: DataFrame, interval: float, *, tolerance: float = 2.0, key: str = "user_id", ts: str = "ts",
     delay: str = "10 minutes",

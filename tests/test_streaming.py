@@ -51,3 +51,26 @@ def test_cache_upserts_and_compaction(spark, tmp_path):
     assert show(tmp_path / "c") == want
     jobs.compact_cache(spark, str(tmp_path / "c"), str(tmp_path / "c2"))
     assert show(tmp_path / "c2") == want
+
+
+def test_an_exception_is_told_once_and_its_earliest_record(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    hours = [(7, 0.10, "b"), (7, 0.0, "a"), (7, 3, "c"), (8, 5, "d"), (7, 12, "e"), (9, 12.1, "late ones wait"), (7, 30, "f")]
+    df = spark.createDataFrame([(k, start + timedelta(hours=h), v, i) for i, (k, h, v) in enumerate(hours)], "fingerprint long, ts timestamp, body string, i int")
+    path = staged(df, tmp_path / "in", [F.col("i").isin(*x) for x in ((0, 1), (2,), (3,), (4, 5), (6,))])
+    once = jobs.stream_dedupe(jobs.stream_files(spark, path, max_files=1), ["fingerprint"])
+    assert {tuple(r) for r in jobs.run_available(once.select("fingerprint", "body"), "t").collect()} == {(7, "a"), (8, "d"), (9, "late ones wait")}
+    again = jobs.stream_dedupe(jobs.stream_files(spark, path, max_files=1), ["fingerprint"], keep_days=1)
+    assert (7, "a") in {tuple(r) for r in jobs.run_available(again.select("fingerprint", "body"), "t").collect()}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(start + timedelta(hours=h), "e", 1.0, i) for i, h in enumerate((1, 30, 31, 2, 60))], "ts timestamp, event_type string, value double, i int")
+    path = staged(df, tmp_path / "in", [F.col("i") == i for i in range(5)])
+    rows, late = jobs.run_counted(jobs.stream_sliding(jobs.stream_files(spark, path, max_files=1), "1 hour", "1 hour"), "t")
+    assert late == 1 and sum(r["count"] for r in rows.collect()) == 3
