@@ -330,7 +330,7 @@ def scl23(spark, sf_dir):
     )
 
 
-def _ellipse_sql(ax: float, ay: float, drop: float, turned: bool) -> str:
+def ellipse_sql(ax: float, ay: float, drop: float, turned: bool) -> str:
     dx, dy = "(px - round_even((x1 + x2) / 2, 0))", f"(py - round_even(y1 + {drop} * greatest(2.0, h), 0))"
     if turned:
         angle = "atan2(ky1 - ky0, kx1 - kx0)"
@@ -341,7 +341,7 @@ def _ellipse_sql(ax: float, ay: float, drop: float, turned: bool) -> str:
 
 
 @query("scl24_ellipse_contains", f"""
-SELECT point_id, det_id, {_ellipse_sql(0.50, 0.56, 0.53, False)} AS plain, {_ellipse_sql(0.51, 0.58, 0.52, True)} AS oriented
+SELECT point_id, det_id, {ellipse_sql(0.50, 0.56, 0.53, False)} AS plain, {ellipse_sql(0.51, 0.58, 0.52, True)} AS oriented
 FROM v_points JOIN (
   SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY w * h DESC, det_id) AS r FROM v_det) d
 USING (video_id, frame_index) WHERE r = 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelens.functions import masked_mae, mean_abs_difference
 from framelens.operators import filters, grid, sequence, tracking, windows
 from framelens.plans.catalog import q6, query, r6
-from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION
+from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, ellipse_sql
 from framelens.plans.views import FRAME_HEIGHT, FRAME_WIDTH, table, view
 
 W, H = FRAME_WIDTH, FRAME_HEIGHT
@@ -409,7 +409,27 @@ def agg10(spark, sf_dir):
     return stats.withColumn("average_target_instances", r6("average_target_instances")).drop("synthetic_instances_added")
 
 
-@query("set7_refine_regions")
+# Ellipses of the two boxes below on the 8 x 8 grid; without eyes they are not turned.
+ELLIPSE_CELLS = f"""
+SELECT frame_id, CAST(instance AS BIGINT) AS instance, px AS cx, py AS cy FROM (SELECT DISTINCT frame_id FROM v_cells) f
+CROSS JOIN (SELECT 0 AS instance, 0.0 AS x1 UNION ALL SELECT 1, 4.0) b0 CROSS JOIN (SELECT unnest(range(8)) AS px) gx CROSS JOIN (SELECT unnest(range(8)) AS py) gy
+CROSS JOIN (SELECT 0.5 AS y1, 6.5 AS y2, 3.0 AS w, 6.0 AS h) b1
+WHERE {ellipse_sql(0.51, 0.58, 0.52, False).replace("x2", "(x1 + w)")}"""
+
+
+@query("set7_refine_regions", f"""
+WITH {COMPONENTS}, cells AS MATERIALIZED ({ELLIPSE_CELLS}), {MATCHES.replace(INSTANCE_CELLS, "SELECT * FROM cells")},
+best AS (SELECT i.frame_id, i.instance, coalesce(max(m.coverage), 0) AS coverage FROM (SELECT DISTINCT frame_id, instance FROM cells) i LEFT JOIN matches m USING (frame_id, instance) GROUP BY i.frame_id, i.instance),
+refined AS (
+  SELECT frame_id, cx, cy FROM parts JOIN (SELECT DISTINCT frame_id, component FROM matches) k USING (frame_id, component)
+  UNION SELECT frame_id, cx, cy FROM cells JOIN best USING (frame_id, instance) WHERE coverage < 0.18)
+SELECT frame_id, CAST(2 AS BIGINT) AS target_instances, coalesce(raw_components, 0) AS raw_components, coalesce(kept_raw_components, 0) AS kept_raw_components,
+       synthetic_instances_added, area
+FROM (SELECT frame_id, count(CASE WHEN coverage < 0.18 THEN 1 END) AS synthetic_instances_added FROM best GROUP BY frame_id) s
+LEFT JOIN (SELECT frame_id, count(DISTINCT component) AS raw_components FROM parts GROUP BY frame_id) r USING (frame_id)
+LEFT JOIN (SELECT frame_id, count(DISTINCT component) AS kept_raw_components FROM matches GROUP BY frame_id) k USING (frame_id)
+LEFT JOIN (SELECT frame_id, count(*) AS area FROM refined GROUP BY frame_id) a USING (frame_id)
+""")
 def set7(spark, sf_dir):
     """Whole grids against two instances per frame, given by boxes on the 8 x 8 grid."""
     cells = view(spark, sf_dir, "v_cells").withColumn("v", F.when(F.col("v") >= REGION, F.col("v")).otherwise(F.lit(0)))
