@@ -123,7 +123,7 @@ def top4(spark, sf_dir):
     )
 
 
-def _nms_sql(source: str) -> str:
+def nms_sql(source: str) -> str:
     return f"""
 WITH RECURSIVE ranked AS MATERIALIZED (
   SELECT video_id, frame_index, {{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b,
@@ -138,13 +138,13 @@ folded AS (
 SELECT video_id, frame_index, det_id FROM folded WHERE added"""
 
 
-@query("set4_nms", _nms_sql("SELECT *, det_score AS similarity FROM v_box"))
+@query("set4_nms", nms_sql("SELECT *, det_score AS similarity FROM v_box"))
 def set4(spark, sf_dir):
     boxes = view(spark, sf_dir, "v_box").withColumn("similarity", F.col("det_score"))
     return det.nms(boxes).select("video_id", "frame_index", "det_id")
 
 
-@query("set4_nms_similar", _nms_sql("SELECT * FROM v_sim WHERE similarity >= 0.02"))
+@query("set4_nms_similar", nms_sql("SELECT * FROM v_sim WHERE similarity >= 0.02"))
 def set4_similar(spark, sf_dir):
     near = view(spark, sf_dir, "v_sim").filter(F.col("similarity") >= 0.02)
     return det.nms(near).select("video_id", "frame_index", "det_id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from framelens.functions import masked_mae, mean_abs_difference
 from framelens.operators import filters, grid, sequence, tracking, windows
 from framelens.plans.catalog import q6, query, r6
-from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, ellipse_sql
+from framelens.plans.identity_queries import nms_sql
+from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, diagonal_sql, ellipse_sql, gap_sql, iou_sql
 from framelens.plans.views import FRAME_HEIGHT, FRAME_WIDTH, table, view
 
 W, H = FRAME_WIDTH, FRAME_HEIGHT
@@ -517,7 +518,27 @@ def trk3(spark, sf_dir):
     return tracking.select_target(view(spark, sf_dir, "v_sim"), min_similarity=0.05).select("video_id", "frame_index", "det_id", r6("similarity").alias("similarity"))
 
 
-@query("trk2_associate")
+PAIR_SCORE = f"""CASE WHEN {iou_sql("t", "c")} <= 0 AND {gap_sql("t", "c")} / greatest({diagonal_sql("t")}, {diagonal_sql("c")}) > 2.4 THEN NULL
+  ELSE 0.55 * c.similarity + 0.45 * (0.72 * {iou_sql("t", "c")} + 0.28 * greatest(0.0, 1 - {gap_sql("t", "c")} / greatest({diagonal_sql("t")}, {diagonal_sql("c")}) / 2.4)) END"""
+BEST_PAIR = "row_number() OVER (PARTITION BY video_id, frame_index ORDER BY score DESC, track_id DESC, i DESC)"
+
+
+# At most two boxes run, so the greedy choice is the best pair, and then the best of what shares nothing with it.
+@query("trk2_associate", f"""
+WITH RECURSIVE survivors AS ({nms_sql("SELECT * FROM v_sim WHERE similarity >= 0.05")}),
+c AS (SELECT v.*, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY similarity DESC, coalesce(det_score, 0) DESC, w * h DESC, det_id) - 1 AS i FROM v_sim v JOIN survivors USING (video_id, frame_index, det_id)),
+t AS (SELECT video_id, frame_index + 1 AS frame_index, det_id % 5 AS track_id, x1, y1, x2, y2 FROM v_det WHERE det_id % 5 < 2),
+p AS (SELECT c.video_id, c.frame_index, t.track_id, c.i, {PAIR_SCORE} AS score FROM t JOIN c USING (video_id, frame_index)),
+p1 AS (SELECT * FROM (SELECT *, {BEST_PAIR} AS r FROM p WHERE score IS NOT NULL) x WHERE r = 1),
+p2 AS (SELECT * FROM (SELECT p.*, {BEST_PAIR.replace("video_id", "p.video_id").replace("frame_index", "p.frame_index").replace("score", "p.score").replace("track_id", "p.track_id").replace(" i ", " p.i ")} AS r
+  FROM p JOIN p1 ON p1.video_id = p.video_id AND p1.frame_index = p.frame_index AND p1.track_id <> p.track_id AND p1.i <> p.i WHERE p.score IS NOT NULL) x WHERE r = 1),
+chosen AS (SELECT video_id, frame_index, track_id, i FROM p1 UNION ALL SELECT video_id, frame_index, track_id, i FROM p2),
+n AS (SELECT video_id, frame_index, count(*) AS n, max(track_id) + 1 AS following FROM t GROUP BY video_id, frame_index),
+opened AS (SELECT c.*, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY i) - 1 AS k FROM c ANTI JOIN chosen USING (video_id, frame_index, i))
+SELECT video_id, frame_index, track_id, c.det_id, false AS opened, 0.5 * t.x1 + 0.5 * c.x1 AS x1, 0.5 * t.y1 + 0.5 * c.y1 AS y1, 0.5 * t.x2 + 0.5 * c.x2 AS x2, 0.5 * t.y2 + 0.5 * c.y2 AS y2
+FROM chosen JOIN c USING (video_id, frame_index, i) JOIN t USING (video_id, frame_index, track_id)
+UNION ALL SELECT o.video_id, o.frame_index, coalesce(following, 0) + k, det_id, true, x1, y1, x2, y2 FROM opened o LEFT JOIN n USING (video_id, frame_index) WHERE coalesce(n.n, 0) + k < 3
+""")
 def trk2(spark, sf_dir):
     """Each frame's candidates against boxes seen in the frame before."""
     config = track_config()
