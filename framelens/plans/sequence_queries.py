@@ -9,6 +9,7 @@ from framelens.operators import filters, grid, sequence, tracking, windows
 from framelens.plans.catalog import q6, query, r6
 from framelens.plans.identity_queries import nms_sql
 from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, diagonal_sql, ellipse_sql, gap_sql, iou_sql
+from framelens.plans.tracking_sql import track_steps
 from framelens.plans.views import FRAME_HEIGHT, FRAME_WIDTH, table, view
 
 W, H = FRAME_WIDTH, FRAME_HEIGHT
@@ -495,12 +496,23 @@ def _flat(tracked):
     )
 
 
-@query("trk1_track")
+def _flat_sql(**options) -> str:
+    """The tracker's frames, opened by instance; a frame without one has a row with nulls."""
+    return f"""
+WITH {track_steps(CUT, **options)},
+f AS (SELECT *, CAST(sum(CAST(cut AS INT)) OVER (PARTITION BY video_id ORDER BY frame_index) AS BIGINT) AS scene_id FROM step WHERE k > 0)
+SELECT video_id, frame_index, scene_id, due AS detection_due, full_scan, redetected, ambiguous, {q6("similarity")} AS similarity, CAST(place AS INT) AS place,
+       chosen[place + 1].det AS det_id, {", ".join(f"{q6(f'chosen[place + 1].{c}')} AS {c}" for c in ("x1", "y1", "x2", "y2"))}
+FROM (SELECT *, unnest(CASE WHEN len(chosen) = 0 THEN [NULL] ELSE range(len(chosen)) END) AS place FROM f) o
+"""
+
+
+@query("trk1_track", _flat_sql())
 def trk1(spark, sf_dir):
     return _flat(tracking.track(*track_inputs(spark, sf_dir), track_config()))
 
 
-@query("trk4_track_frame_profile")
+@query("trk4_track_frame_profile", _flat_sql(profile="frame"))
 def trk4(spark, sf_dir):
     return _flat(tracking.track(*track_inputs(spark, sf_dir), track_config(profile="frame")))
 
