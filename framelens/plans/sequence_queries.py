@@ -496,7 +496,7 @@ def _flat(tracked):
     )
 
 
-def _flat_sql(**options) -> str:
+def flat_sql(**options) -> str:
     """The tracker's frames, opened by instance; a frame without one has a row with nulls."""
     return f"""
 WITH {track_steps(CUT, **options)},
@@ -507,19 +507,25 @@ FROM (SELECT *, unnest(CASE WHEN len(chosen) = 0 THEN [NULL] ELSE range(len(chos
 """
 
 
-@query("trk1_track", _flat_sql())
+@query("trk1_track", flat_sql())
 def trk1(spark, sf_dir):
     return _flat(tracking.track(*track_inputs(spark, sf_dir), track_config()))
 
 
-@query("trk4_track_frame_profile", _flat_sql(profile="frame"))
+@query("trk4_track_frame_profile", flat_sql(profile="frame"))
 def trk4(spark, sf_dir):
     return _flat(tracking.track(*track_inputs(spark, sf_dir), track_config(profile="frame")))
 
 
-@query("trk6_track_quality_gate")
+@query("trk6_track_quality_gate", f"""
+WITH {track_steps(CUT, max_faces=1)},
+tracked AS (SELECT video_id, frame_index, cut AS scene_cut, ambiguous, len(chosen) > 0 AS located, CAST(len(chosen) AS INT) AS n_instances FROM step WHERE k > 0)
+SELECT video_id, frames, {", ".join(f"{q6(c)} AS {c}" for c in RATIOS)}, max_instances, multi_instance_frames, scene_cuts,
+       CASE WHEN coverage < 0.05 THEN 'low_coverage' WHEN ambiguous_ratio > 0.15 THEN 'too_ambiguous' END AS violation FROM ({TRACK_SUMMARY.replace("v_track", "tracked")}) s
+""")
 def trk6(spark, sf_dir):
-    return tracking.track_quality_gate(*track_inputs(spark, sf_dir), track_config(max_faces=1))
+    gated = tracking.track_quality_gate(*track_inputs(spark, sf_dir), track_config(max_faces=1))
+    return gated.withColumns({c: r6(c) for c in RATIOS})
 
 
 @query("trk3_select_target", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelens.operators import telemetry
 from framelens.plans.catalog import q6, query, r6
-from framelens.plans.sequence_queries import track_config, track_inputs
+from framelens.plans.sequence_queries import flat_sql, track_config, track_inputs
 from framelens.plans.views import VIEW_SQL, table, view
 from framelens.session import scratch_path
 from framelens.sources import readers, writers
@@ -369,7 +369,7 @@ def str6_stream(spark, sf_dir):
     return jobs.run_available(gaps, "stalled")
 
 
-@query("str4_stream_track")
+@query("str4_stream_track", f"SELECT video_id, frame_index, scene_id, ambiguous, similarity, place, det_id, x1, y1, x2, y2 FROM ({flat_sql()}) t")
 def str4(spark, sf_dir):
     """Frames with their candidates arrive in several files; tracks are carried from batch to batch."""
     from framelens.operators import tracking
@@ -382,5 +382,5 @@ def str4(spark, sf_dir):
     tracked = jobs.run_available(processors.stream_track(jobs.stream_files(spark, staged, max_files=1), config), "track")
     item = F.posexplode_outer("instances").alias("place", "i")
     return tracked.select("video_id", "frame_index", "scene_id", "ambiguous", r6("similarity").alias("similarity"), item).select(
-        "video_id", "frame_index", "scene_id", "ambiguous", "similarity", "place", F.col("i.det_id").alias("det_id"), r6("i.x1").alias("x1")
+        "video_id", "frame_index", "scene_id", "ambiguous", "similarity", "place", F.col("i.det_id").alias("det_id"), *(r6(f"i.{c}").alias(c) for c in ("x1", "y1", "x2", "y2"))
     )
