@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from framelens.session import bounded, cut_lineage
 # Yaw ranges (degrees) a bank tries to cover: left, frontal, right.
 YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
 BANK_BROADCAST_ROWS = 4096
+BANK_BYTES = 128 << 20
 
 
 def identity_centroid(
@@ -92,12 +95,15 @@ def pack_references(references: DataFrame, block: Column, *, vector: str = "embe
 def match_identity(
     detections: DataFrame, references: DataFrame, *, min_sim: float, k: int = 1, id_col: str = "det_id",
     keys: Sequence[str] | None = None, vector: str = "embedding", bank_rows: int = BANK_BROADCAST_ROWS,
+    bank_bytes: int = BANK_BYTES,
 ) -> DataFrame:
     """Top ``k`` references per detection with cosine at least ``min_sim``; adds ref_id, similarity, rank.
 
     A bank of at most ``bank_rows`` rows is packed into one array and scored inside each detection row, so
-    the detections are never shuffled and no pair is ever emitted. A larger bank is cut into blocks of that
-    size; each detection meets every block and keeps ``k`` matches per block before the blocks are merged.
+    the detections are never shuffled and no pair is ever emitted. A larger bank of at most ``BANK_BYTES`` goes to
+    the tasks as a matrix, and each Arrow batch of detections is multiplied with it block by block. Only a bank
+    beyond that is cut into blocks that detections are sent to; each keeps ``k`` matches per block before the
+    blocks are merged. All three give the same matches; the matrix compares similarities to twelve digits.
 
     ``keys`` names a detection; by default those of video_id, frame_index and ``id_col`` that are there, since
     ids start over in each frame.
@@ -109,6 +115,10 @@ def match_identity(
         packed = F.broadcast(pack_references(references, F.lit(0), vector=vector))
         arranged = detections.withColumn("_block", F.lit(0))
         blocks = 1
+    elif (bank := _bank_matrix(references, vector, bank_bytes)) is not None:
+        kept = [c for c in detections.columns if c != vector]
+        scored = detections.withColumn("_hits", _batch_hits(bank, references, min_sim, k)(as_doubles(vector)))
+        return _opened(scored, kept)
     else:
         blocks = -(-references.count() // (bank_rows // 2))
         packed = pack_references(references, F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"), vector=vector)
@@ -140,12 +150,55 @@ def match_identity(
             F.slice(F.array_sort(F.flatten(F.collect_list("_hits"))), 1, k).alias("_hits")
         )
         scored = detections.join(best, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    return _opened(scored, kept)
+
+
+def _opened(scored: DataFrame, kept: list[str]) -> DataFrame:
     return scored.select(*kept, F.posexplode("_hits").alias("_pos", "_hit")).select(
         *kept, F.col("_hit.ref_id").alias("ref_id"), (-F.col("_hit._distance")).alias("similarity"),
         (F.col("_pos") + 1).alias("rank"),
     )
 
 
+def _bank_matrix(references: DataFrame, vector: str, most: int):
+    """References and their unit vectors, by ``ref_id``; None if they take more bytes than ``most``."""
+    usable = references.filter(F.col(vector).isNotNull())
+    size = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("w"), F.min(F.size(vector)).alias("least")).first()
+    if not size["n"] or size["w"] != size["least"] or size["n"] * (size["w"] + 4) * 8 > most:
+        return None
+    rows = usable.select("ref_id", as_doubles(vector).alias("v")).toArrow().sort_by("ref_id")
+    ids, x = rows.column("ref_id").to_pylist(), np.stack(rows.column("v").to_numpy())
+    norms = np.sqrt((x * x).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = x / norms[:, None]
+    return references.sparkSession.sparkContext.broadcast((ids, np.where(norms[:, None] > 0, unit, np.nan)))
+
+
+def _batch_hits(bank, references: DataFrame, min_sim: float, k: int, block: int = 2048):
+    kind = references.schema["ref_id"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<_distance:double,ref_id:{kind}>>")
+    def hits(vectors: pd.Series) -> pd.Series:
+        ids, unit = bank.value
+        out = [[] for _ in range(len(vectors))]
+        fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == unit.shape[1]]
+        for s in range(0, len(fits), 1024):
+            rows = fits[s : s + 1024]
+            x = np.stack([np.asarray(vectors.iloc[i], float) for i in rows])
+            norms = np.sqrt((x * x).sum(1))
+            rows, x = [i for i, n in zip(rows, norms) if n >= 1e-12], x[norms >= 1e-12] / norms[norms >= 1e-12][:, None]
+            for b in range(0, len(ids), block):
+                scores = np.nan_to_num(x @ unit[b : b + block].T, nan=-2.0)
+                least = np.full(len(x), min_sim)
+                if scores.shape[1] > k:  # the k-th best of the block and what ties with it
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k] - 1e-11)
+                for r, c in zip(*np.nonzero(scores >= least[:, None])):
+                    out[rows[r]].append((-round(float(scores[r, c]), 12), b + int(c)))
+        return pd.Series([[{"_distance": d, "ref_id": ids[c]} for d, c in sorted(found)[:k]] for found in out])
+
+    return hits
+
+
 def reference_cost(entry: Column, yaw: Column, pitch: Column) -> Column:
     turn = F.pow((entry["yaw"] - yaw) / 35.0, F.lit(2.0)) + F.pow((entry["pitch"] - pitch) / 25.0, F.lit(2.0))
     return turn - 0.18 * entry["quality"]

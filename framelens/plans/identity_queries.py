@@ -8,7 +8,7 @@ from framelens.operators import detections as det
 from framelens.operators import identity, sequence
 from framelens.plans.catalog import q6, query, r6
 from framelens.plans.scalar_queries import BEST_FACE, area_sql, gap_sql, iou_sql
-from framelens.plans.views import FRAME_HEIGHT, FRAME_WIDTH, view
+from framelens.plans.views import table, FRAME_HEIGHT, FRAME_WIDTH, view
 
 W, H = FRAME_WIDTH, FRAME_HEIGHT
 
@@ -39,6 +39,20 @@ def agg6(spark, sf_dir):
     )
 
 
+@query("jn1_match_large_bank", f"""
+SELECT det_id, ref_id, {q6("similarity")} AS similarity, rank FROM (
+  SELECT d.vec_id AS det_id, r.vec_id AS ref_id, list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS similarity,
+         CAST(row_number() OVER (PARTITION BY d.vec_id ORDER BY round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 12) DESC, r.vec_id) AS INT) AS rank
+  FROM embeddings d CROSS JOIN embeddings r) t WHERE rank <= 3 AND similarity >= 0.2
+""")
+def jn1_large(spark, sf_dir):
+    """All vectors against all as references: a bank that does not fit a row goes to the tasks as a matrix."""
+    vectors = table(spark, sf_dir, "embeddings")
+    bank = vectors.select(F.col("vec_id").alias("ref_id"), "embedding")
+    matched = identity.match_identity(vectors.select(F.col("vec_id").alias("det_id"), "embedding"), bank, min_sim=0.2, k=3, bank_rows=64)
+    return matched.select("det_id", "ref_id", r6("similarity").alias("similarity"), "rank")
+
+
 @query("jn1_match_identity", f"""
 WITH c AS MATERIALIZED ({CENTROIDS}), s AS (
   SELECT det_id, identity_id AS ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) AS similarity FROM v_det, c)

@@ -145,8 +145,8 @@ def test_small_groups_are_not_matched(spark):
 def test_large_banks_match_as_small_ones_with_repeating_ids(spark):
     refs = spark.createDataFrame([(i, [float(i == j) for j in range(8)]) for i in range(8)], "ref_id long, embedding array<double>")
     found = spark.createDataFrame([(1, f, 0, [float(f == j) for j in range(8)]) for f in range(8)] + [(None, 3, 0, [1.0] + [0.0] * 7)], "video_id long, frame_index long, det_id long, embedding array<double>")
-    match = lambda rows: sorted(map(str, identity.match_identity(found, refs, min_sim=0.5, k=2, bank_rows=rows).collect()))
-    assert match(4) == match(100) and len(match(4)) == 9
+    match = lambda rows, size: sorted(map(str, identity.match_identity(found, refs, min_sim=0.5, k=2, bank_rows=rows, bank_bytes=size).collect()))
+    assert match(4, 0) == match(4, 1 << 20) == match(100, 0) and len(match(4, 0)) == 9
 
 
 def test_pixel_neighbours_are_adjacent_cells(spark):
