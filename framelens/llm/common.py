@@ -176,20 +176,28 @@ class IdFilter:
             bits[row["at"]] = row["bits"]
         self.bits = ids.sparkSession.sparkContext.broadcast(bits)
 
-    def keep(self, df: DataFrame, column: str, absent: bool = False) -> DataFrame:
-        """Rows whose id may be in, or with ``absent`` the others, whose id cannot be in."""
-        bits, size = self.bits, 1 << self.BITS
-        hashed = "_filter"
+    def hashed(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with a last column for ``select``."""
+        return df.withColumn("_filter", F.pmod(F.xxhash64(column), F.lit(1 << self.BITS)))
+
+    @staticmethod
+    def select(bits, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """In a task: the rows whose id may be in, without the last column. ``bits`` is the broadcast."""
+        at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+        yes = pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pa.RecordBatch.from_arrays([c.filter(yes) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows whose id may be in; the rest cannot be."""
+        bits, select = self.bits, self.select
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = bits.value
             for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-                yes = ((table[at >> 6] >> (at & 63)) & 1 == 1) ^ absent
-                if yes.any():
-                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(yes)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+                some = select(bits, batch)
+                if some.num_rows:
+                    yield some
 
-        return df.withColumn(hashed, F.pmod(F.xxhash64(column), F.lit(size))).mapInArrow(task, df.schema)
+        return self.hashed(df, column).mapInArrow(task, df.schema)
 
 
 # --- sorted rows ----------------------------------------------------------------------------------------------------

@@ -38,7 +38,7 @@ SIM = (75, 100)
 HOT_COUNT, HOT_ROWS = 16, 1 << 18
 #: Rows of one subtree that one task takes; larger subtrees are taken block by block.
 BLOCK = 1024
-TREE_GROUPS, FAN = 64, 16
+FAN = 16
 _ODD = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,11 +71,11 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _groups(n: int) -> int:
-    return 1 << max(3, int(n // 8).bit_length())
+    return 1 << max(3, int(n // 2).bit_length())
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts per group. Groups are a power of two between n / 8 and n / 4; folding a point in half gives that of half as many."""
+    """Counts per group. Groups are a power of two between n / 2 and n; folding a point in half gives that of half as many."""
     groups = _groups(len(s))
     counts = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
@@ -86,8 +86,8 @@ def _as_point(raw: bytes, n: int) -> np.ndarray:
 
 
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
-    """The point over fewer groups; over more, each may hold all of its group, which keeps the bounds true."""
-    return p.reshape(-1, groups).sum(0) if len(p) >= groups else np.tile(p, groups // len(p))
+    """The point over fewer groups."""
+    return p.reshape(-1, groups).sum(0)
 
 
 def _need(a, b):
@@ -95,11 +95,12 @@ def _need(a, b):
     return SIM[0] / (SIM[0] + SIM[1]) * (a + b) - 1e-6
 
 
-def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _sets_of(batch: pa.RecordBatch) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Ids and sets of a batch, some hundred documents at a time."""
     ids = batch.column("_id").to_pylist()
     data, offsets = flat_text(batch.column("value"))
-    for a, b in runs_of_documents(offsets):
-        yield from zip(ids[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+    for a, b in runs_of_documents(offsets, 1 << 19):
+        yield list(zip(ids[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -119,14 +120,14 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
-        for batch in batches:
+        for found in (x for batch in batches for x in _sets_of(batch)):
             ids, sizes, s1, s2, points = [], [], [], [], []
-            for doc, s in _sets_of(batch):
+            for doc, s in found:
                 a, b = _signature(s)
                 ids.append(doc), sizes.append(len(s)), s1.append(a), s2.append(b), points.append(point(s).tobytes())
                 seen.append(s)
                 held += len(s)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield repeats(seen)
                     seen, held = [], 0
             yield rows(0, ids, sizes, s1, s2, points)
@@ -137,16 +138,20 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
 
 def _subtrees(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """``key, id, n``: a document (of equal sets in a task, the first) and each coordinate it must go to."""
+    """``key, id, n, cold``: a document (of equal sets in a task, the first) and each coordinate it must go to.
+
+    ``cold`` counts its shingles that are not common. A text that many copies vary has none of its own, so it sorts
+    before them.
+    """
     common = docs.sparkSession.sparkContext.broadcast((hot, rank))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = common.value
         seen = set()
-        for batch in batches:
-            keys, ids, sizes = [], [], []
-            for doc, s in _sets_of(batch):
-                n = len(s)
+        for found in (x for batch in batches for x in _sets_of(batch)):
+            keys, ids, sizes, own = [], [], [], []
+            for doc, s in found:
+                n = cold = len(s)
                 if not n or (mark := (n, *_signature(s))) in seen:
                     continue
                 seen.add(mark)
@@ -156,41 +161,43 @@ def _subtrees(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
                     late = np.where(hot[at] == s, rank[at], 0)
                     if late.any():
                         s = s[np.argsort(late, kind="stable")]
-                keys.append(s[:first]), ids.append(np.full(first, doc)), sizes.append(np.full(first, n))
+                        cold = n - int(np.count_nonzero(late))
+                keys.append(s[:first]), ids.append(np.full(first, doc)), sizes.append(np.full(first, n)), own.append(np.full(first, cold))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(own).astype(np.int32))], names=["key", "id", "n", "cold"])
 
-    return docs.mapInArrow(task, "key long, id long, n long")
+    return docs.mapInArrow(task, "key long, id long, n long, cold int")
 
 
 def _shared(placed: DataFrame) -> DataFrame:
     """Rows of subtrees with two documents or more, each with the ``lead`` it pairs with first.
 
-    Rows come sorted by key and size. Within a key, documents of a size band pair with the first of the band, and that
-    one with the first of the band before; the very first has none.
+    Rows come sorted by key, size band and ``cold``. Within a key, documents of a size band pair with the first of the
+    band, the one with the fewest shingles of its own, and that one with the first of the band before; the very first
+    has none.
     """
 
     def emitter():
-        held: list = [np.zeros(0, np.int64)] * 3
+        held: list = [np.zeros(0, np.int64)] * 4
 
-        def emit(key, ids, n) -> Iterator[pa.RecordBatch]:
+        def emit(key, ids, n, cold) -> Iterator[pa.RecordBatch]:
             """Rows up to the last change of key; the last key's rows wait for the next batch."""
             nonlocal held
             last = key is None
-            key, ids, n = held if last else (np.concatenate([a, b]) for a, b in zip(held, (key, ids, n)))
+            key, ids, n, cold = held if last else (np.concatenate([a, b]) for a, b in zip(held, (key, ids, n, cold)))
             if not len(key):
                 return
             end = len(key) if last else int(np.searchsorted(key, key[-1], side="left"))
-            held = [key[end:], ids[end:], n[end:]]
-            key, ids, n = key[:end], ids[:end], n[:end]
+            held = [key[end:], ids[end:], n[end:], cold[end:]]
+            key, ids, n, cold = key[:end], ids[:end], n[:end], cold[:end]
             if not end:
                 return
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             alone = new_key & np.concatenate([new_key[1:], [True]])
-            key, ids, n, new_key = key[~alone], ids[~alone], n[~alone], new_key[~alone]
+            key, ids, n, cold, new_key = key[~alone], ids[~alone], n[~alone], cold[~alone], new_key[~alone]
             if not len(key):
                 return
-            band = np.floor(np.log(n) / np.log(SIM[1] / SIM[0])).astype(np.int64)
+            band = cold >> 40
             new_band = new_key | np.concatenate([[True], band[1:] != band[:-1]])
             at = np.arange(len(key))
             leader = np.maximum.accumulate(np.where(new_band, at, 0))
@@ -203,10 +210,12 @@ def _shared(placed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = emitter()
         for batch in batches:
-            yield from emit(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-        yield from emit(None, None, None)
+            yield from emit(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+        yield from emit(None, None, None, None)
 
-    return placed.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "key long, id long, n long, lead long")
+    band = F.floor(F.log("n") / float(np.log(SIM[1] / SIM[0])) * 1024 + 0.5)
+    placed = placed.withColumn("cold", F.floor(band / 1024) * (1 << 40) + F.col("cold"))
+    return placed.repartition("key").sortWithinPartitions("key", "cold", "n", "id").select("key", "id", "n", "cold").mapInArrow(run, "key long, id long, n long, lead long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,8 +243,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = pairs.select("a").union(pairs.select("b")).distinct()
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(_sets_of(batch))
+        for found in (x for batch in batches for x in _sets_of(select(bits, batch))):
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,20 +256,28 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             chosen = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
 
-    sets = IdFilter(ids, "a").keep(docs, "_id").mapInArrow(hash_sets, "id long, shingles binary").join(ids, F.col("id") == F.col("a"), "left_semi")
+    asked = IdFilter(ids, "a")
+    bits, select = asked.bits, asked.select
+    sets = asked.hashed(docs, "_id").mapInArrow(hash_sets, "id long, shingles binary").join(ids, F.col("id") == F.col("a"), "left_semi")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
 class CountTree:
-    """An R-tree over points, packed by size and then by the coordinates that vary most; boxes keep upper corners."""
+    """An R-tree over points of one width, packed by size and then by the coordinates that vary most; boxes keep upper corners.
+
+    The top level has up to ``FAN`` boxes; so few points are that level themselves.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        widest = np.argsort(-points.var(0))[:2] if len(points) else [0, 0]
-        tile = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (FAN * FAN)
-        self.order = np.lexsort((points[:, widest[1]], points[:, widest[0]], tile))
+        if len(sizes) <= FAN:
+            self.order = np.arange(len(sizes))
+        else:
+            widest = np.argsort(-points.var(0))[:2]
+            tile = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (FAN * FAN)
+            self.order = np.lexsort((points[:, widest[1]], points[:, widest[0]], tile))
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
-        while len(self.levels[-1][1]) > 1:
+        while len(self.levels[-1][1]) > FAN:
             corner, low, high = self.levels[-1]
             cuts = np.arange(0, len(low), FAN)
             self.levels.append((np.maximum.reduceat(corner, cuts, axis=0), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
@@ -271,23 +287,24 @@ class CountTree:
         same = other is None
         other = self if same else other
         depth = max(len(self.levels), len(other.levels))
-        mine, its = (tree.levels + [tree.levels[-1]] * (depth - len(tree.levels)) for tree in (self, other))
-        i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        mine, its = ([*tree.levels, *[tree.levels[-1]] * (depth - len(tree.levels))] for tree in (self, other))
+        top = len(mine[-1][1]), len(its[-1][1])
+        i, j = np.repeat(np.arange(top[0]), top[1]), np.tile(np.arange(top[1]), top[0])
         for step in range(depth - 1, -1, -1):
             if step < depth - 1:
                 i, j = self._children(i, j, mine, its, step)
             if same:
-                i, j = i[i <= j], j[i <= j]
+                near = i <= j if step else i < j
+                i, j = i[near], j[near]
             i, j = self._fitting(i, j, mine[step], its[step])
-        if same:
-            i, j = i[i < j], j[i < j]
         return self.order[i], other.order[j]
 
     @staticmethod
     def _children(i, j, mine, its, step):
         def below(level, x):
-            size, parent = len(level[step][1]), len(level[step + 1][1])
-            return (x, np.ones(len(x), np.int64)) if size == parent else (x * FAN, np.minimum(FAN, size - x * FAN))
+            if level[step] is level[step + 1]:
+                return x, np.ones(len(x), np.int64)
+            return x * FAN, np.minimum(FAN, len(level[step][1]) - x * FAN)
 
         (a, n), (b, m) = below(mine, i), below(its, j)
         each = n * m
@@ -296,18 +313,47 @@ class CountTree:
         return a[which] + k // m[which], b[which] + k % m[which]
 
     @staticmethod
-    def _fitting(i, j, a, b, chunk: int = 1 << 14):
-        keep = []
-        for s in range(0, len(i), chunk):
-            x, y = i[s : s + chunk], j[s : s + chunk]
-            fits = (a[2][x] * SIM[1] >= b[1][y] * SIM[0]) & (b[2][y] * SIM[1] >= a[1][x] * SIM[0])
-            keep.append(fits & (np.minimum(a[0][x], b[0][y]).sum(1) >= _need(a[1][x], b[1][y])))
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+    def _fitting(i, j, a, b, chunk: int = 1 << 13):
+        fits = (a[2][i] * SIM[1] >= b[1][j] * SIM[0]) & (b[2][j] * SIM[1] >= a[1][i] * SIM[0])
+        i, j = i[fits], j[fits]
+        if not len(i):
+            return i, j
+        keep = np.concatenate([np.minimum(a[0][i[s : s + chunk]], b[0][j[s : s + chunk]]).sum(1) >= _need(a[1][i[s : s + chunk]], b[1][j[s : s + chunk]]) for s in range(0, len(i), chunk)])
         return i[keep], j[keep]
 
 
+def _tree_join(points: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that can link, of ``left`` with itself or with ``right``.
+
+    Sets that can link have points of equal width, or one of twice the other's: a tree a width, and joins between them.
+    """
+
+    def trees(rows: np.ndarray) -> dict:
+        width = np.array([len(points[r]) for r in rows])
+        held = {}
+        for w in np.unique(width).tolist():
+            own = rows[width == w]
+            whole = np.stack([points[r] for r in own])
+            held[w] = own, lambda to, whole=whole, own=own: CountTree(whole.reshape(len(own), -1, to).sum(1), sizes[own])
+        return held
+
+    mine = trees(left)
+    its = mine if right is None else trees(right)
+    for w, (own, build) in mine.items():
+        for v in (w,) if right is None else (w, w // 2):
+            if v in its:
+                a, b = build(v).join(None if right is None else its[v][1](v))
+                yield own[a], its[v][0][b]
+        if 2 * w in its:
+            a, b = build(w).join(its[2 * w][1](w))
+            yield own[a], its[2 * w][0][b]
+
+
 def _tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs of different components in the same subtree that pass the tree's bounds. ``rows``: ``key, id, n, component``."""
+    # subtrees of the same documents are one
+    marks = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("m"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("m2"))
+    rows = rows.join(marks.groupBy("c", "m", "m2").agg(F.min("key").alias("key")).select("key"), "key")
     order = Window.partitionBy("key").orderBy("n", "id")
     blocked = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     blocked = blocked.withColumn("blocks", F.max("block").over(Window.partitionBy("key")) + 1)
@@ -316,16 +362,26 @@ def _tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     sent = sent.join(points.select("id", "point"), "id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for group in sorted_groups(batches, ("key", "i", "j")):
             ids, n, component, block = (group.column(x).to_numpy(zero_copy_only=False) for x in ("id", "n", "component", "block"))
-            folded = np.stack([fold(_as_point(p, m), TREE_GROUPS) for p, m in zip(group.column("point").to_pylist(), n)])
-            left, right = np.flatnonzero(block == group.column("i")[0].as_py()), np.flatnonzero(block == group.column("j")[0].as_py())
-            same = group.column("i")[0] == group.column("j")[0]
-            a, b = CountTree(folded[left], n[left]).join(None if same else CountTree(folded[right], n[right]))
-            a, b = left[a], right[b]
-            apart = component[a] != component[b]
-            a, b = ids[a[apart]], ids[b[apart]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            dots = [_as_point(p, m) for p, m in zip(group.column("point").to_pylist(), n.tolist())]
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            left, right = np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j)
+            for a, b in _tree_join(dots, n, left, right):
+                apart = component[a] != component[b]
+                if apart.any():
+                    a, b = ids[a[apart]], ids[b[apart]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            if sum(x.shape[1] for x in found[-64:]) > 10_000 or len(found) > 10_000:
+                yield pairs(found)
+                found = []
+        if found:
+            yield pairs(found)
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     # the first of two equal sets speaks for both, so a pair of one id does not come up
     sent = sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
