@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import SpanHashes, flat_text, mix, runs_of_documents
+from framelens.llm.common import SpanHashes, flat_text, lean, mix, runs_of_documents
 
 SAMPLE = 1000
 TABLE_BITS = 16
 ORDERS = (1, 2, 3, 4)
 SWITCH = 12.0
 FOREIGN = -1e4
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 #: First code points of script ranges, and the script from there on.
 SCRIPTS = (
@@ -158,7 +158,7 @@ def fit(documents: DataFrame, *, sample: int = SAMPLE) -> Model:
             k, row = np.nonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k)), pa.array(k), pa.array(row), pa.array(held[k, row])], names=["kind", "k", "row", "n"])
 
-    found = learn.where(ranked).mapInArrow(task, "kind string, k long, row long, n long").groupBy("kind", "k", "row").agg(F.sum("n").alias("n")).toPandas()  # bounded: rows of the table
+    found = learn.where(ranked).mapInArrow(lean(task), "kind string, k long, row long, n long").groupBy("kind", "k", "row").agg(F.sum("n").alias("n")).toPandas()  # bounded: rows of the table
     counts, scripts = np.zeros((1 << TABLE_BITS, len(languages))), np.zeros((len(_NAMES), len(languages)))
     for kind, held in (("gram", counts), ("script", scripts)):
         part = found[found["kind"] == kind]
@@ -260,17 +260,15 @@ def identify(documents: DataFrame, model: Model, *, spans: bool = False) -> Data
         for batch in batches:
             at = batch.schema.get_field_index("text")
             data, offsets = flat_text(batch.column(at))
-            names, shares, found = [], [], []
             for a, b in runs_of_documents(offsets, BLOCK):
-                for total, part in zip((names, shares, found), _label(held.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spans)):
-                    total += part
-            new = [pa.array(names, pa.string()), pa.array(shares, pa.float64())] + ([pa.array(found, span_type)] if spans else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+                names, shares, found = _label(held.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spans)
+                new = [pa.array(names, pa.string()), pa.array(shares, pa.float64())] + ([pa.array(found, span_type)] if spans else [])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, *added])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
-    return kept.mapInArrow(task, schema)
+    return kept.mapInArrow(lean(task), schema)
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import IdFilter, SpanHashes, components, flat_text, mix, one_row_per_id, outer_id, runs_of_documents, save, signed, sorted_groups, word_spans
+from framelens.llm.common import IdFilter, SpanHashes, components, flat_text, lean, mix, one_row_per_id, outer_id, runs_of_documents, save, signed, sorted_groups, word_spans
 
 WORDS = 5
 #: Similarity of at least SIM[0] / SIM[1].
@@ -106,7 +106,7 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Ids and sets of a batch, some hundred documents at a time."""
     ids = batch.column("_id").to_pylist()
     data, offsets = flat_text(batch.column("value"))
-    for a, b in runs_of_documents(offsets, 1 << 19):
+    for a, b in runs_of_documents(offsets, 1 << 18):
         yield list(zip(ids[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
 
 
@@ -141,7 +141,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         if seen:
             yield repeats(seen)
 
-    return docs.mapInArrow(task, "kind int, id long, n long, s1 long, s2 long, point binary")
+    return docs.mapInArrow(lean(task), "kind int, id long, n long, s1 long, s2 long, point binary")
 
 
 def _subtrees(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -173,7 +173,7 @@ def _subtrees(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(own).astype(np.int32))], names=["key", "id", "n", "cold"])
 
-    return docs.mapInArrow(task, "key long, id long, n long, cold int")
+    return docs.mapInArrow(lean(task), "key long, id long, n long, cold int")
 
 
 def _shared(placed: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _shared(placed: DataFrame) -> DataFrame:
 
     band = F.floor(F.log("n") / float(np.log(SIM[1] / SIM[0])) * 1024 + 0.5)
     placed = placed.withColumn("cold", F.floor(band / 1024) * (1 << 40) + F.col("cold"))
-    return placed.repartition("key").sortWithinPartitions("key", "cold", "n", "id").select("key", "id", "n", "cold").mapInArrow(run, "key long, id long, n long, lead long")
+    return placed.repartition("key").sortWithinPartitions("key", "cold", "n", "id").select("key", "id", "n", "cold").mapInArrow(lean(run), "key long, id long, n long, lead long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left, right = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}")) for x in "ab")
     like = (F.col("n_a") * SIM[1] >= F.col("n_b") * SIM[0]) & (F.col("n_b") * SIM[1] >= F.col("n_a") * SIM[0])
-    return pairs.join(left, "a").join(right, "b").where(like).select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(task, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(like).select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(lean(task), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -265,9 +265,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     asked = IdFilter(ids, "a")
     bits, select = asked.bits, asked.select
-    sets = asked.hashed(docs, "_id").mapInArrow(hash_sets, "id long, shingles binary").join(ids, F.col("id") == F.col("a"), "left_semi")
+    sets = asked.hashed(docs, "_id").mapInArrow(lean(hash_sets), "id long, shingles binary").join(ids, F.col("id") == F.col("a"), "left_semi")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(lean(compare), "a long, b long")
 
 
 class CountTree:
@@ -392,7 +392,7 @@ def _tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
 
     # the first of two equal sets speaks for both, so a pair of one id does not come up
     sent = sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sent.mapInArrow(task, "a long, b long").distinct()
+    return sent.mapInArrow(lean(task), "a long, b long").distinct()
 
 
 def near_copies(documents: DataFrame) -> DataFrame:

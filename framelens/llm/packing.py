@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import SpanHashes, flat_text, runs_of_documents, save
+from framelens.llm.common import SpanHashes, flat_text, lean, runs_of_documents, save
 
 TOKENS = 2048
 END_ID = 0
@@ -146,7 +146,7 @@ def pieces(documents: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_i
 
     given = documents.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(task, f"{columns}, piece int, start long, length long, ids_crc32 long, chunk long, local long" + (", ids binary" if ids else ""))
+    return given.mapInArrow(lean(task), f"{columns}, piece int, start long, length long, ids_crc32 long, chunk long, local long" + (", ids binary" if ids else ""))
 
 
 # --- the plan -------------------------------------------------------------------------------------------------------
