@@ -50,8 +50,9 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("top").over(upto), F.lit(0.0))) / (
         F.sum("w").over(everything) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))
     )
-    levelled = ranked.withColumn("level", level).withColumn("open", F.col("w") * F.col("level") <= F.col("top"))
-    water = F.min(F.when(F.col("open"), F.struct(F.col("top") / F.col("w"), "level"))).over(everything)["level"]
+    levelled = ranked.withColumns({"level": level, "place": F.row_number().over(by_fill)}).withColumn("open", F.col("w") * F.col("level") <= F.col("top"))
+    # the level of the first open source: later ones, also those that fill at the same level, count it as full
+    water = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(everything)["level"]
     return levelled.select("source", "documents", "source_size", F.least("top", F.col("w") * F.coalesce(water, F.lit(0.0))).alias("target"))
 
 

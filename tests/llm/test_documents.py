@@ -168,6 +168,16 @@ def test_mixing_targets_stop_at_three_times(spark, sizes):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("sizes, want", [
+    ({"a": 100, "b": 100, "c": 100, "d": 100}, [400 * w / 13 for w in (5, 2, 1, 5)]),
+    ({"a": 500, "b": 200}, [500, 200]),
+    ({"a": 10, "b": 4, "c": 986}, [30, 12, 958]),  # both tied sources are full
+])
+def test_mixing_targets_of_sources_that_fill_at_one_level(spark, sizes, want):
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).orderBy("source").collect()
+    assert [r["target"] for r in got] == pytest.approx(want) and sum(r["target"] for r in got) == pytest.approx(sum(sizes.values()))
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
