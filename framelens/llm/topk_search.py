@@ -13,10 +13,15 @@ one a list. A list of a block of candidates is a node.
 Queries are the stated set and meet all rows in blocks of ``BLOCK`` queries and ``BLOCK`` candidates. Equal vectors
 are one candidate that remembers its k + 1 smallest ids (one may be the query's own), and one query, so copies and zero
 vectors cost no more than others. Nothing but rows moves: no list, cutoff or score passes through the driver.
+
+Vectors so long that sums of their products may leave a long take no part in these phases. Their pairs are scored with
+Python's integers, block by block; each block of candidates sends the k best of a query.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,11 @@ from framelens.llm.vectors import matrix, one_vector_per_id, usable
 
 K, EVERY, SCALE = 5, 50, 256
 SLICES, BLOCK = 2, 4096
-#: Components beyond this count as this, so sums of 128 products fit a long.
+#: Two vectors under this length have an inner product, and partial sums of it, that fit a long.
+LONGEST = 2.0**31
+#: Candidates and queries of a block scored with Python's integers.
+LONG_BLOCK = 512
+#: Where a score does not fit a long, components beyond this count as this in the score shown (not in the rank).
 LARGEST = 1 << 28
 
 
@@ -103,19 +112,44 @@ def _members(scored: DataFrame, asking: DataFrame) -> DataFrame:
     return opened.join(asking, "query").where("vec_id <> query_id")
 
 
-def search(embeddings: DataFrame, *, k: int = K, every: int = EVERY) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` best of each query, ties to the smaller id, fewer if there are fewer.
+def _long_scores(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score, over, beyond`` of the ``k`` best candidates of each query in each block, from ``_id, v`` (components as given).
 
-    Queries: rows whose ``vec_id`` is divisible by ``every``; candidates: every other row. Components are
-    ``floor(256 * x)`` in double precision, held within +-2**28; a shorter vector counts as filled with zeros. Null
-    vectors and those with null or non-finite components take no part. Rows that share an id count as one (the largest
-    vector stays). A null id is a candidate, the smallest, and no query. Other columns are not read; an empty table gives
-    no rows.
+    ``over``: 1 and -1 where the true score is above and below a long; ``beyond`` then holds it as ordered bytes.
     """
-    rows = one_vector_per_id(embeddings)
-    whole = F.transform("v", lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x * SCALE))).cast("long"))
-    asks = (F.pmod(F.col("_id"), F.lit(every)) == 0) & outer_id().isNotNull()
-    points = save(rows.where(usable("v")).select("_id", whole.alias("v"), asks.alias("asks")), "topk-points")
+    blocks = lambda df: max(1, -(-df.count() // LONG_BLOCK))
+    query_blocks, candidate_blocks = blocks(queries), blocks(candidates)
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select(own(query_blocks).alias("qb"), every(candidate_blocks).alias("cb"), F.lit(0).alias("role"), "_id", "v")
+    given = candidates.select(every(query_blocks).alias("qb"), own(candidate_blocks).alias("cb"), F.lit(1).alias("role"), "_id", "v")
+    half = 1 << 2111  # above any sum of products of doubles times 256
+
+    def whole(v: list[float]) -> list[int]:
+        return [math.floor(x * SCALE) if abs(x) < 2.0**1000 else int(x) * SCALE for x in v]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ("qb", "cb")):
+            role, ids, v = group.column("role").to_pylist(), group.column("_id").to_pylist(), [whole(x) for x in group.column("v").to_pylist()]
+            held = lambda x: [max(-LARGEST, min(LARGEST, c)) for c in x]
+            gives = [j for j, r in enumerate(role) if r]
+            out = []
+            for i in (i for i, r in enumerate(role) if not r):
+                best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(v[i], v[j])), ids[j], j) for j in gives if ids[j] != ids[i]))
+                for lost, vec_id, j in best:
+                    over = (-lost >= 2**63) - (-lost < -(2**63))
+                    shown = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(held(v[i]), held(v[j]))))) if over else -lost
+                    out.append((ids[i], vec_id, shown, over, (half - lost).to_bytes(264, "big") if over else None))
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "vec_id", "score", "over", "beyond"])
+
+    keyed = asked.unionByName(given).repartition("qb", "cb").sortWithinPartitions("qb", "cb")
+    return keyed.mapInArrow(task, "query_id long, vec_id long, score long, over int, beyond binary")
+
+
+def _search(points: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score, rank`` by the three phases, of saved ``_id, v`` (whole numbers), ``asks``."""
     # the k + 1 smallest ids of equal vectors, by partial sorting in the aggregate's window
     place = F.row_number().over(Window.partitionBy("v").orderBy("_id"))
     smallest = points.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.min("_id").alias("id"), F.sort_array(F.collect_list("_id")).alias("ids"))
@@ -136,7 +170,32 @@ def search(embeddings: DataFrame, *, k: int = K, every: int = EVERY) -> DataFram
     joined = entries.groupBy("query", "id").agg(F.sum("score").alias("known"), F.count("*").alias("lists")).join(cutoffs, "query", "left")
     reach = F.col("known") + (SLICES - F.col("lists")) * F.col("share")
     left = joined.where(F.col("cutoff").isNull() | (reach >= F.col("cutoff"))).select("query", "id")
-    ranked = _members(_whole(left, classes), asking).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    return _members(_whole(left, classes), asking).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+
+
+def search(embeddings: DataFrame, *, k: int = K, every: int = EVERY) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` best of each query, ties to the smaller id, fewer if there are fewer.
+
+    Queries: rows whose ``vec_id`` is divisible by ``every``; candidates: every other row. Components are
+    ``floor(256 * x)`` in double precision; a shorter vector counts as filled with zeros. Ranks follow the true scores.
+    A score that does not fit a long is shown with its components held within +-2**28; all others are exact. Null
+    vectors and those with null or non-finite components take no part. Rows that share an id count as one (the largest
+    vector stays). A null id is a candidate, the smallest, and no query. Other columns are not read; an empty table gives
+    no rows.
+    """
+    rows = one_vector_per_id(embeddings)
+    asks = (F.pmod(F.col("_id"), F.lit(every)) == 0) & outer_id().isNotNull()
+    length2 = F.aggregate("v", F.lit(0.0), lambda total, x: total + (F.abs(x) * SCALE + 1) * (F.abs(x) * SCALE + 1))
+    sound = rows.where(usable("v")).select("_id", "v", asks.alias("asks"), (length2 >= LONGEST**2).alias("long"))
+    whole = F.transform("v", lambda x: F.floor(x * SCALE).cast("long"))
+    ranked = _search(save(sound.where("not long").select("_id", whole.alias("v"), "asks"), "topk-points"), k)
+    if not sound.where("long").limit(1).isEmpty():
+        sound = save(sound, "topk-sound")
+        long, others = sound.where("long"), sound.where("not long and asks")
+        found = _long_scores(long.where("asks"), sound, k).union(_long_scores(others, long, k))
+        both = ranked.select("query_id", "vec_id", "score", F.lit(0).alias("over"), F.lit(None).cast("binary").alias("beyond")).union(found)
+        by_score = Window.partitionBy("query_id").orderBy(F.col("over").desc(), F.col("beyond").desc(), F.when(F.col("over") == 0, F.col("score")).desc(), "vec_id")
+        ranked = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), outer_id("vec_id").alias("vec_id"), "score")
 
 

@@ -104,6 +104,22 @@ def test_topk_few_candidates_and_large_values(spark):
     assert got == {(0, 1, 1, 256 * top + 65536), (0, 2, 50, -(top**2) + 131072), (50, 1, 1, -256 * top + 131072), (50, 2, 0, -(top**2) + 131072)}
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_topk_long_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "LONG_BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * 2.0 ** (22 if i % 3 else 0)]) for i in range(120)]
+    rows[7], rows[8], rows[9] = (7, [1e30, *[0.0] * 5]), (8, [2e30, *[0.0] * 5]), (9, [2.0**21, 0.0, 3.5])  # held alike, 8 is the better or worse one
+    got = {(r["query_id"], r["rank"]): r for r in topk_search.search(frame(spark, rows)).collect()}
+    whole = {i: [int(np.floor(256 * float(np.float32(x)))) if abs(x) < 1e9 else int(float(np.float32(x))) * 256 for x in v] for i, v in rows}
+    assert len(got) == 3 * 5
+    for q in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:5]
+        for k, (s, c) in enumerate(best):
+            assert got[q, k + 1]["vec_id"] == c and (got[q, k + 1]["score"] == -s or abs(s) >= 2**63)
+    assert any(2**40 < abs(r["score"]) for r in got.values())
+
+
 def test_vectors_empty(spark):
     assert embedding_dedup.report(frame(spark, [])).collect() == [] and topk_search.search(frame(spark, [])).collect() == []
 
