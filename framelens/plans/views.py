@@ -1,6 +1,7 @@
 """Fixture views: the shapes the operators expect, derived from the given tables.
 
-The SQL text is shared with the check queries. Every view reads its whole table.
+The SQL text is shared with the check queries. Views read all rows of their tables, but not all of them use each row:
+``v_frames`` keeps one embedding of five, ``v_hist`` the first 32 of its 64 components.
 """
 
 from __future__ import annotations
