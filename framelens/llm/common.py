@@ -62,6 +62,23 @@ def outer_id(column: str = _MASK_ID) -> Column:
     return F.when(F.col(column) != F.lit(NO_ID), F.col(column))
 
 
+def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], limit: int = 20_000) -> DataFrame:
+    """``rows`` joined with a table of one row per key, safe for hot keys. Both are written tables, keys are not null.
+
+    A table of at most ``limit`` rows and 16 MB of key text is broadcast. Of a larger one only the keys that hold over a
+    thousandth of all rows are, which are under a thousand; the rest is shuffled, no key of it being hot.
+    """
+    text = [F.octet_length(k) for k, kind in table.dtypes if k in keys and kind == "string"]
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(text, F.lit(0))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= limit and size["bytes"] <= 16 << 20:
+        return rows.join(F.broadcast(table), keys)
+    counts = rows.groupBy(*keys).count()
+    hot = save(counts.where(F.col("count") > rows.count() / 1000).select(*keys), "hot-keys")
+    few = table.join(F.broadcast(hot), keys, "left_semi")
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(table.hint("shuffle_merge"), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(rest)
+
+
 # --- Arrow text as arrays -------------------------------------------------------------------------------------------
 
 

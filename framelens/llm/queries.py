@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, suffix_dedup, topk_search, warc
+from framelens.llm import decontamination, divergence, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, suffix_dedup, topk_search, vector_codes, warc
 from framelens.llm.catalog import ORACLES, QUERIES, query
 from framelens.llm.common import read
 
@@ -55,3 +55,18 @@ def op5(spark, sf_dir):
 @query("op7_pii")
 def op7(spark, sf_dir):
     return pii.report(read(spark, sf_dir, "documents"))
+
+
+@query("op12_source_divergence", divergence.SQL)
+def op12(spark, sf_dir):
+    return divergence.report(read(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", vector_codes.SQL)
+def op11(spark, sf_dir):
+    return vector_codes.report(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_decontamination", decontamination.SQL)
+def op13(spark, sf_dir):
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
