@@ -183,18 +183,19 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-sizes, kind="stable")
     begin, sizes = offsets[:-1][order], sizes[order]
     alive = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")  # documents longer than t
-    back, last = np.zeros(scores.shape, np.int8), np.zeros((len(sizes), scores.shape[1]), np.float32)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    kind = np.min_scalar_type(max(scores.shape[1], 1))  # as narrow as the number of labels allows
+    back, last = np.zeros(scores.shape, kind), np.zeros((len(sizes), scores.shape[1]), np.float32)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t, k in enumerate(alive):
         held, at = last[:k], begin[:k] + t
         if t:
             best = held.argmax(1)
             moved = (held[np.arange(k), best] - switch)[:, None]
             stays = held >= moved
-            back[at] = np.where(stays, own, best[:, None])
+            back[at] = np.where(stays, own, best[:, None].astype(kind))
             held = np.where(stays, held, moved)
         last[:k] = held + scores[at]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), kind)
     state = last.argmax(1)
     for t in range(len(alive) - 1, -1, -1):
         k = alive[t]

@@ -28,6 +28,8 @@ from framelens.llm.common import flat_text, runs_of_documents
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 TRAIN_DOCUMENTS, TRAIN_WINDOWS, STEPS, BATCH = 20_000, 4096, 240, 32
+#: Places of a document, of spans and of other digits each, that the training sample takes windows from.
+TRAIN_PLACES = 4
 SPAN_MARGIN = 0.0
 
 # --- base patterns --------------------------------------------------------------------------------------------------
@@ -70,7 +72,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def _is(kind: str, part: str) -> bool:
     digits = _digits(part)
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in part.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (piece.lstrip("0") for piece in part.split(".")))
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return 10 <= len(digits) <= 15
@@ -274,23 +276,26 @@ class Tagger:
 # --- training rows --------------------------------------------------------------------------------------------------
 
 
-def _training_windows(text: str) -> Iterator[tuple[bytes, bytes]]:
-    """Windows around base spans and around other digits and at signs, each span at a place that varies with the text."""
+def _training_windows(text: str, most: int = TRAIN_PLACES) -> Iterator[tuple[bytes, bytes]]:
+    """Windows around base spans and around other digits and at signs, each span at a place that varies with the text.
+
+    At most ``most`` places of each sort, spread over the text. Shorter texts are padded with white space.
+    """
     spans = base_spans(text)
+    text = text.ljust(WINDOW)
     symbols, tags = _symbols(text), np.zeros(len(text), np.uint8)
     for a, kind, b in sorted(spans, key=lambda s: s[0] - s[2]):
         if not tags[a:b].any():
             tags[a:b] = 2 + 2 * kind
             tags[a] = 1 + 2 * kind
     others = [m.start() for m in re.finditer("[0-9@]", text) if not tags[m.start()]]
-    chosen = [a for a, _, _ in spans[:4]] + others[:: max(1, len(others) // 2)][:2]
+    chosen = [a for a, _, _ in spans[:: -(-len(spans) // most) or 1]] + others[:: max(1, len(others) // min(most, max(2, len(spans))))][:most]
     for i, a in enumerate(chosen):
         start = max(0, min(a - (a * 7 + i * 13) % STRIDE, len(text) - WINDOW))
-        if len(text) >= WINDOW:
-            t = tags[start : start + WINDOW].copy()
-            if t[0] and t[0] % 2 == 0:  # begun before the window
-                t[0] -= 1
-            yield symbols[start : start + WINDOW].tobytes(), t.tobytes()
+        t = tags[start : start + WINDOW].copy()
+        if t[0] and t[0] % 2 == 0:  # begun before the window
+            t[0] -= 1
+        yield symbols[start : start + WINDOW].tobytes(), t.tobytes()
 
 
 def fit(documents: DataFrame, *, documents_at_most: int = TRAIN_DOCUMENTS) -> Tagger | None:
