@@ -88,9 +88,14 @@ def association_score(previous: Box, current: Box, similarity: Column) -> Column
     return F.when((iou > 0) | (reach <= ASSOCIATION_GATE), score)
 
 
+def target_score(similarity, overlap):
+    """For columns and plain numbers."""
+    return 0.78 * similarity + 0.22 * overlap
+
+
 def selection_score(similarity: Column, current: Box, previous: Box | None = None) -> Column:
     overlap = F.lit(_ZERO) if previous is None else F.coalesce(bbox_iou(current, previous), F.lit(_ZERO))
-    return 0.78 * similarity + 0.22 * overlap
+    return target_score(similarity, overlap)
 
 
 def continuity_score(current: Box, previous: Box, width, height) -> Column:

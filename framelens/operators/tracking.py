@@ -17,6 +17,7 @@ from framelens.functions.boxes import (
     ASSOCIATION_PROXIMITY_WEIGHT,
     ASSOCIATION_SIMILARITY_WEIGHT,
     Affine,
+    target_score,
     valid_affine,
 )
 from framelens.operators import detections as det
@@ -90,13 +91,17 @@ def _area(b):
     return max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
 
 
-def _association(previous, current, similarity):
-    """Plain-number twin of ``functions.association_score``."""
+def _iou(previous, current):
     shared = max(0.0, min(previous[2], current[2]) - max(previous[0], current[0])) * max(
         0.0, min(previous[3], current[3]) - max(previous[1], current[1])
     )
     union = _area(previous) + _area(current) - shared
-    iou = shared / union if union > 0 else 0.0
+    return shared / union if union > 0 else 0.0
+
+
+def _association(previous, current, similarity):
+    """Plain-number twin of ``functions.association_score``."""
+    iou = _iou(previous, current)
     gap = math.hypot(
         (previous[0] + previous[2] - current[0] - current[2]) / 2, (previous[1] + previous[3] - current[1] - current[3]) / 2
     )
@@ -238,6 +243,38 @@ class TrackFold:
         return (bool(cut), due, full_scan or redetected, redetected, moved, flagged, similarity, instances)
 
 
+class TargetFold(TrackFold):
+    """One target with memory: the best detection by similarity and overlap with the box held, which is smoothed.
+
+    A frame whose best detection is not similar enough, or that has none, is a miss even if a weaker match would pass;
+    after more than ``max_missing`` misses the box is dropped. Ties go to the smaller ``det_id``.
+    """
+
+    def step(self, index, cut, ambiguous, top_similarity, candidates, motion):
+        self.frame, self.born = index, 0
+        if cut:
+            self.tracks = []
+        due = self.needs_detection or bool(cut) or index % max(1, self.config.detection_interval) == 0
+        chosen = self._select(candidates) if due else self.propagate(motion)
+        instances = [t.instance() for t in chosen]
+        similarity = chosen[0].similarity if chosen else (top_similarity or 0.0) if due else 0.0
+        return (bool(cut), due, False, False, bool(chosen) and not due, False, similarity, instances)
+
+    def _select(self, candidates):
+        held = self.tracks[0] if self.tracks else None
+        of = lambda c: (c["x1"], c["y1"], c["x2"], c["y2"])
+        score = lambda c: target_score(c["similarity"], _iou(held.box, of(c)) if held else 0.0)
+        best = max(candidates, key=lambda c: (score(c), -c["det_id"]), default=None)
+        if best is None or best["similarity"] < self.config.min_similarity:
+            self.tracks = [t for t in self.tracks if self._miss(t)]
+            return []
+        if held:
+            self._smooth(held, best)
+        else:
+            self.tracks = [Track(self._new_id(), of(best), _points(best), best["similarity"], best["det_id"])]
+        return list(self.tracks)
+
+
 TRACK_OUTPUT = (
     "scene_cut boolean, detection_due boolean, full_scan boolean, redetected boolean, used_motion boolean, "
     f"ambiguous boolean, similarity double, instances array<{INSTANCE}>"
@@ -294,14 +331,26 @@ def _crowded_candidates(detections: DataFrame, config: TrackConfig) -> DataFrame
     )
 
 
+def target_candidates(detections: DataFrame) -> DataFrame:
+    """Per frame, the detections that can be the best for some held box.
+
+    An overlap is worth so much similarity at most, so whatever trails the frame's top by more is out before the shuffle.
+    """
+    keys = list(det.FRAME)
+    known = detections.filter(F.col("similarity").isNotNull())
+    tops = known.groupBy(*keys).agg(F.max("similarity").alias("top_similarity"))
+    near = target_score(F.col("similarity"), F.lit(1.0)) >= target_score(F.col("top_similarity"), F.lit(0.0))
+    listed = known.join(tops, keys).filter(near).groupBy(*keys, "top_similarity").agg(F.collect_list(F.struct(*CANDIDATE_FIELDS)).alias("candidates"))
+    return listed.select(*keys, "top_similarity", F.lit(False).alias("ambiguous"), "candidates")
+
+
 def tracking_input(
-    frames: DataFrame, detections: DataFrame, motion: DataFrame | None, config: TrackConfig,
-    *, crowded: int | None = det.CROWDED_FRAME,
+    frames: DataFrame, found: DataFrame, motion: DataFrame | None, config: TrackConfig
 ) -> DataFrame:
     """One row per frame: cut, verdict, candidates and accepted motion. Empty frames stay."""
     keys = list(det.FRAME)
     cuts = sequence.scene_cuts(frames, config.cut_threshold).select(*keys, "scene_cut")
-    rows = cuts.join(frame_candidates(detections, config, crowded=crowded), keys, "left")
+    rows = cuts.join(found, keys, "left")
     if motion is None:
         rows = rows.withColumn("motion", F.lit(None).cast("array<double>"))
     else:
@@ -355,7 +404,7 @@ def _advance(fold: TrackFold, row: tuple) -> tuple:
     return (index, scene, *fold.step(index, cut, ambiguous, top, list(candidates), moved))
 
 
-def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataFrame:
+def _fold_pieces(rows: DataFrame, config: TrackConfig, fold: type[TrackFold] = TrackFold, *, states: bool) -> DataFrame:
     """Fold each piece from its ``state_in``: to its frames, or to the state it ends in and its tracks' ids.
 
     Without names the tracks a piece begins with have the ids -n to -1.
@@ -369,7 +418,7 @@ def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataF
         if state[1] is None:
             start, names = row[-2:]
             given = lambda text: json.loads(text) if isinstance(text, str) else None
-            state[1] = TrackFold(config, given(start), given(names))
+            state[1] = fold(config, given(start), given(names))
         out = _advance(state[1], row)
         return () if states else [(*state[0], *out)]
 
@@ -384,31 +433,99 @@ def _fold_pieces(rows: DataFrame, config: TrackConfig, *, states: bool) -> DataF
     return ordered.fold_sorted(rows, list(PIECE), ["frame_index"], list(FOLD_COLUMNS), begin, step, schema, finish=finish)
 
 
-def _entry_states(rows: DataFrame, config: TrackConfig) -> DataFrame:
+def _carry(rows: DataFrame, config: TrackConfig) -> DataFrame:
+    """What a piece does to the tracks it begins with, where it only moves them: (video_id, segment, chunk, carry).
+
+    In a piece without cut, detection due or lost motion, every box and point goes through the same affine maps. A box's
+    centre goes through their product, its half extents through the product of the absolute matrices, so the piece is
+    summed up by ten numbers however long it is. ``carry`` is null for all other pieces.
+    """
+    only_moves = ~F.col("scene_cut") & F.col("motion").isNotNull() & (F.col("frame_index") % F.lit(max(1, config.detection_interval)) != 0) & F.lit(config.use_motion)
+    moves = F.sort_array(F.collect_list(F.when(only_moves, F.struct("frame_index", "motion"))))
+    per_piece = rows.groupBy(*PIECE).agg(F.min(only_moves).alias("_only"), moves.alias("_moves"))
+
+    def then(before: Column, move: Column) -> Column:
+        a, b, tx, c, d, ty = (F.get(move["motion"], F.lit(i)) for i in range(6))
+        new = {
+            "a": a * before["a"] + b * before["c"], "b": a * before["b"] + b * before["d"], "tx": a * before["tx"] + b * before["ty"] + tx,
+            "c": c * before["a"] + d * before["c"], "d": c * before["b"] + d * before["d"], "ty": c * before["tx"] + d * before["ty"] + ty,
+            "xx": F.abs(a) * before["xx"] + F.abs(b) * before["yx"], "xy": F.abs(a) * before["xy"] + F.abs(b) * before["yy"],
+            "yx": F.abs(c) * before["xx"] + F.abs(d) * before["yx"], "yy": F.abs(c) * before["xy"] + F.abs(d) * before["yy"],
+        }
+        return F.struct(*(v.alias(n) for n, v in new.items()))
+
+    still = F.struct(*(F.lit(1.0 if n in ("a", "d", "xx", "yy") else 0.0).alias(n) for n in ("a", "b", "tx", "c", "d", "ty", "xx", "xy", "yx", "yy")))
+    return per_piece.select(*PIECE, F.when(F.col("_only"), F.to_json(F.aggregate("_moves", still, then))).alias("carry"))
+
+
+def _moved_state(state: str, carry: str) -> str | None:
+    """The state a piece that only moves ends in, or None where it cannot tell."""
+    held, m = json.loads(state), json.loads(carry)
+    for track in held["tracks"]:
+        if track[5]:
+            return None  # a track that is missing asks for detection
+        x1, y1, x2, y2 = track[1]
+        go = lambda x, y: (m["a"] * x + m["b"] * y + m["tx"], m["c"] * x + m["d"] * y + m["ty"])
+        (cx, cy), w, h = go((x1 + x2) / 2, (y1 + y2) / 2), (x2 - x1) / 2, (y2 - y1) / 2
+        rx, ry = m["xx"] * w + m["xy"] * h, m["yx"] * w + m["yy"] * h
+        track[1], track[2] = [cx - rx, cy - ry, cx + rx, cy + ry], [list(go(x, y)) for x, y in track[2]]
+    return json.dumps(held)
+
+
+def _alike(a: str | None, b: str | None) -> bool:
+    """Equal but for the last digits of coordinates, which depend on the order maps are multiplied in."""
+    if a == b or a is None or b is None:
+        return a == b
+    a, b = json.loads(a)["tracks"], json.loads(b)["tracks"]
+    near = lambda p, q: all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(p, q))
+    return len(a) == len(b) and all(
+        [p[0], *p[3:]] == [q[0], *q[3:]] and near(p[1], q[1]) and len(p[2]) == len(q[2]) and all(map(near, p[2], q[2])) for p, q in zip(a, b)
+    )
+
+
+def _entry_states(rows: DataFrame, config: TrackConfig, fold: type[TrackFold] = TrackFold) -> DataFrame:
     """What each piece of a long segment starts from: (video_id, segment, chunk, state_in, names_in).
 
-    All pieces are folded at once from an empty state, then again those whose predecessor turned out to end
-    in another state than assumed, until every assumption holds. A piece is right once the one before it is,
-    so this ends with the exact states; since a tracker forgets its start within a piece as a rule, it
-    takes about two rounds. States are anonymous; the tracks' ids are handed on from piece to piece at the end.
+    All pieces are folded at once from an empty state. Then one short row per piece is walked along its segment: a piece
+    that was folded from the state it is handed hands on where it ended; one that only moves its tracks hands on the state
+    moved by its ``_carry``; any other is taken to forget its start. Pieces that were folded from another state than
+    they are handed are folded again, all at once, until none is left. A piece is right once those before it are, so
+    this ends with the exact states. Two rounds are the rule, also where tracks ride through many pieces on motion alone.
+    States are anonymous; the tracks' ids are handed on from piece to piece at the end.
     """
     keys = list(PIECE)
-    in_segment = Window.partitionBy("video_id", "segment").orderBy("chunk")
     none = F.lit(None).cast("string")
-    pieces = rows.select(*keys).distinct().withColumn("_before", F.lag("chunk").over(in_segment))
-    inputs = cut_lineage(pieces.withColumn("state_in", none))
-    todo, ended = inputs, None
+    pieces = cut_lineage(_carry(rows, config))
+    todo, known = pieces.select(*keys, none.alias("state_in")), None
     while True:
-        ran = _fold_pieces(rows.join(todo.select(*keys, "state_in"), keys).withColumn("names_in", none), config, states=True)
-        ended = cut_lineage(ran if ended is None else ended.join(todo, keys, "left_anti").unionByName(ran))
-        left = ended.select("video_id", "segment", F.col("chunk").alias("_before"), "state_out")
-        linked = cut_lineage(inputs.join(left, ["video_id", "segment", "_before"], "left"))
-        todo = linked.filter(~F.col("state_in").eqNullSafe(F.col("state_out"))).select(
-            *keys, "_before", F.col("state_out").alias("state_in")
-        )
-        inputs = linked.select(*keys, "_before", F.col("state_out").alias("state_in"))
+        ran = _fold_pieces(rows.join(todo, keys).withColumn("names_in", none), config, fold, states=True).join(todo, keys)
+        known = cut_lineage(ran if known is None else known.join(todo, keys, "left_anti").unionByName(ran))
+        walked = cut_lineage(_walk(known.join(pieces, keys)))
+        todo = walked.filter(~F.col("right")).select(*keys, "state_in")
         if todo.isEmpty():
-            return inputs.drop("_before").join(_names(ended), keys)
+            return walked.select(*keys, "state_in").join(_names(known), keys)
+
+
+def _walk(known: DataFrame) -> DataFrame:
+    """The state each piece is handed, and whether it was folded from it."""
+
+    def step(state, row):
+        key, handed, moved = state
+        chunk, carry, began, ended = (v if isinstance(v, str) or i == 0 else None for i, v in enumerate(row))
+        right = _alike(handed, began) if moved else handed == began
+        out = [(*key, chunk, handed, right)]
+        if not right:
+            on = _moved_state(handed, carry) if carry and handed else None
+            ended = on if on is not None else ended
+        state[1:] = [ended, carry is not None]
+        return out
+
+    ddl = ", ".join(f"{c} {known.schema[c].dataType.simpleString()}" for c in PIECE)
+    rows = known.select(*PIECE, "carry", "state_in", "state_out")
+    return ordered.fold_sorted(
+        rows, ["video_id", "segment"], ["chunk"], ["chunk", "carry", "state_in", "state_out"], lambda key: [key, None, False], step,
+        f"{ddl}, state_in string, right boolean",
+    )
 
 
 def _names(ended: DataFrame) -> DataFrame:
@@ -436,26 +553,47 @@ def track(
     that length (see ``_entry_states``), so long videos spread over the cluster; a fold holds one Arrow batch
     and a few tracks. Track ids are unique in a video and do not depend on how it is split.
     """
-    rows = cut_lineage(tracking_input(frames, detections, motion, config, crowded=crowded))
+    found = frame_candidates(detections, config, crowded=crowded)
+    return _folded(tracking_input(frames, found, motion, config), config, TrackFold, split, chunk_frames)
+
+
+def _folded(rows: DataFrame, config: TrackConfig, fold: type[TrackFold], split: bool, chunk_frames: int) -> DataFrame:
+    rows = cut_lineage(rows)
     places = segments(rows, config)
     if not split:
         places = places.withColumn("segment", F.lit(0).cast("long"))
     none = F.lit(None).cast("string")
     whole = rows.join(places, list(det.FRAME)).withColumns({"chunk": F.lit(0).cast("long"), "names_in": none})
     if not split:
-        return _fold_pieces(whole.withColumn("state_in", none), config, states=False)
+        return _fold_pieces(whole.withColumn("state_in", none), config, fold, states=False)
     long = places.groupBy("video_id", "segment").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") > chunk_frames
     ).drop("_n")
     if long.isEmpty():
-        return _fold_pieces(whole.withColumn("state_in", none), config, states=False)
+        return _fold_pieces(whole.withColumn("state_in", none), config, fold, states=False)
     long = cut_lineage(long)
     cut = cut_lineage(
         whole.join(long, ["video_id", "segment"], "left_semi").withColumn("chunk", frame_bucket("frame_index", chunk_frames))
     )
     usual = whole.join(long, ["video_id", "segment"], "left_anti").withColumn("state_in", none)
-    pieces = cut.drop("names_in").join(_entry_states(cut.drop("names_in"), config), list(PIECE))
-    return _fold_pieces(usual, config, states=False).unionByName(_fold_pieces(pieces, config, states=False))
+    pieces = cut.drop("names_in").join(_entry_states(cut.drop("names_in"), config, fold), list(PIECE))
+    return _fold_pieces(usual, config, fold, states=False).unionByName(_fold_pieces(pieces, config, fold, states=False))
+
+
+def follow_target(
+    frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, config: TrackConfig = TrackConfig(),
+    *, split: bool = True, chunk_frames: int = CHUNK_FRAMES,
+) -> DataFrame:
+    """Follow one target per video with memory (see ``TargetFold``); one row per frame, without box where it is missed.
+
+    Split as ``track`` is. Where detection is not due the box moves with the frame's motion.
+    """
+    followed = _folded(tracking_input(frames, target_candidates(detections), motion, config), config, TargetFold, split, chunk_frames)
+    one = F.get("instances", F.lit(0))
+    return followed.select(
+        "video_id", "frame_index", "scene_cut", "detection_due", "used_motion", (F.size("instances") > 0).alias("located"),
+        *(one[c].alias(c) for c in ("track_id", "det_id", "x1", "y1", "x2", "y2", "kps")), "similarity",
+    )
 
 
 def instance_fields(instances: Column) -> Column:
@@ -551,7 +689,7 @@ def associate(tracks: DataFrame, candidates: DataFrame, *, max_faces: int = 2, s
 
 
 def select_target(detections: DataFrame, *, min_similarity: float) -> DataFrame:
-    """Best detection per frame by selection score without a previous box; below the threshold none."""
+    """Best detection per frame by selection score, each frame by itself; below the threshold none. ``follow_target`` has memory."""
     from framelens.functions import selection_score
 
     score = selection_score(F.col("similarity"), Box.of())

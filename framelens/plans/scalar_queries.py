@@ -235,10 +235,19 @@ def scl17(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(fl.landmark_confidence(values)).alias("confidence"))
 
 
+def moved_box_sql(box: str = "", motion: str = "") -> tuple[str, str, str, str]:
+    """The sides of the box around the four moved corners."""
+    b, m = f"{box}." if box else "", f"{motion}." if motion else ""
+
+    def side(pick: str, row: int) -> str:
+        return f"{pick}({b}x1 * {m}m{row}0, {b}x2 * {m}m{row}0) + {pick}({b}y1 * {m}m{row}1, {b}y2 * {m}m{row}1) + {m}m{row}2"
+
+    return side("least", 0), side("least", 1), side("greatest", 0), side("greatest", 1)
+
+
 @query("scl18_affine_bbox", f"""
-SELECT det_id, {q6("least(x1 * m00, x2 * m00) + m02")} AS x1, {q6("least(y1 * m11, y2 * m11) + m12")} AS y1,
-       {q6("greatest(x1 * m00, x2 * m00) + m02")} AS x2, {q6("greatest(y1 * m11, y2 * m11) + m12")} AS y2,
-       {q6("kx2 * m00 + m02")} AS nose_x, {q6("ky2 * m11 + m12")} AS nose_y
+SELECT det_id, {", ".join(f"{q6(side)} AS {name}" for name, side in zip(("x1", "y1", "x2", "y2"), moved_box_sql()))},
+       {q6("kx2 * m00 + ky2 * m01 + m02")} AS nose_x, {q6("kx2 * m10 + ky2 * m11 + m12")} AS nose_y
 FROM v_det JOIN v_motion USING (video_id, frame_index)
 """)
 def scl18(spark, sf_dir):
@@ -432,7 +441,13 @@ def flt5(spark, sf_dir):
     return view(spark, sf_dir, "v_box").select("det_id", fl.bbox_visible(shifted, 80.0, 20.0).alias("visible"))
 
 
-VALID_MOTION = "abs(m00) BETWEEN 0.70 AND 1.40 AND abs(m11) BETWEEN 0.70 AND 1.40 AND sqrt(m02 ** 2 + m12 ** 2) <= 0.35 * 240"
+def _length_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN abs({a}) ELSE sqrt({a} ** 2 + {b} ** 2) END"
+
+
+VALID_MOTION = (
+    f"({_length_sql('m00', 'm10')}) BETWEEN 0.70 AND 1.40 AND ({_length_sql('m11', 'm01')}) BETWEEN 0.70 AND 1.40 AND sqrt(m02 ** 2 + m12 ** 2) <= 0.35 * 240"
+)
 
 
 @query("flt6_valid_affine", f"SELECT video_id, frame_index, {VALID_MOTION} AS valid FROM v_motion")

@@ -8,12 +8,12 @@ from framelens.functions import masked_mae, mean_abs_difference
 from framelens.operators import filters, grid, sequence, tracking, windows
 from framelens.plans.catalog import q6, query, r6
 from framelens.plans.identity_queries import nms_sql
-from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, diagonal_sql, ellipse_sql, gap_sql, iou_sql
-from framelens.plans.tracking_sql import track_steps
+from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, diagonal_sql, ellipse_sql, gap_sql, iou_sql, moved_box_sql
+from framelens.plans.tracking_sql import target_steps, track_steps
 from framelens.plans.views import FRAME_HEIGHT, FRAME_WIDTH, table, view
 
 W, H = FRAME_WIDTH, FRAME_HEIGHT
-CUT = 0.21
+CUT = 0.185
 CUTS_SQL = f"SELECT video_id, frame_index, coalesce({DISTANCE} >= {CUT}, false) AS scene_cut FROM ({HIST_PAIRS}) h"
 
 
@@ -287,7 +287,7 @@ def jn3(spark, sf_dir):
 @query("jn13_motion_propagate", f"""
 WITH o AS (SELECT video_id, frame_index, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, {{'a': w * h, 'd': -det_id}}) AS box FROM v_det WHERE det_score >= 0.9 AND embedding IS NOT NULL GROUP BY video_id, frame_index),
 j AS (SELECT m.*, last_value(o.box IGNORE NULLS) OVER (PARTITION BY m.video_id ORDER BY m.frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v_motion m LEFT JOIN o USING (video_id, frame_index)),
-k AS (SELECT *, least(b.x1 * m00, b.x2 * m00) + m02 AS mx1, least(b.y1 * m11, b.y2 * m11) + m12 AS my1, greatest(b.x1 * m00, b.x2 * m00) + m02 AS mx2, greatest(b.y1 * m11, b.y2 * m11) + m12 AS my2 FROM j WHERE b IS NOT NULL)
+k AS (SELECT *, {", ".join(f"{side} AS m{name}" for name, side in zip(("x1", "y1", "x2", "y2"), moved_box_sql("b")))} FROM j WHERE b IS NOT NULL)
 SELECT video_id, frame_index, {q6("mx1")} AS moved_x1, {q6("my1")} AS moved_y1, {q6("mx2")} AS moved_x2, {q6("my2")} AS moved_y2,
        {VALID_MOTION} AND mx2 > 0 AND my2 > 0 AND mx1 < 240 AND my1 < 180 AS accepted FROM k
 """)
@@ -536,6 +536,19 @@ def trk3(spark, sf_dir):
     return tracking.select_target(view(spark, sf_dir, "v_sim"), min_similarity=0.05).select("video_id", "frame_index", "det_id", r6("similarity").alias("similarity"))
 
 
+@query("trk3_follow_target", f"""
+WITH {target_steps(CUT)}
+SELECT video_id, frame_index, cut AS scene_cut, due AS detection_due, chosen IS NOT NULL AS located, chosen.det AS det_id, {q6("similarity")} AS similarity,
+       {", ".join(f"{q6(f'chosen.{c}')} AS {c}" for c in ("x1", "y1", "x2", "y2"))}
+FROM step WHERE k > 0
+""")
+def trk3_follow(spark, sf_dir):
+    followed = tracking.follow_target(*track_inputs(spark, sf_dir), track_config(min_similarity=0.15))
+    return followed.select(
+        "video_id", "frame_index", "scene_cut", "detection_due", "located", "det_id", r6("similarity").alias("similarity"), *(r6(c).alias(c) for c in ("x1", "y1", "x2", "y2"))
+    )
+
+
 PAIR_SCORE = f"""CASE WHEN {iou_sql("t", "c")} <= 0 AND {gap_sql("t", "c")} / greatest({diagonal_sql("t")}, {diagonal_sql("c")}) > 2.4 THEN NULL
   ELSE 0.55 * c.similarity + 0.45 * (0.72 * {iou_sql("t", "c")} + 0.28 * greatest(0.0, 1 - {gap_sql("t", "c")} / greatest({diagonal_sql("t")}, {diagonal_sql("c")}) / 2.4)) END"""
 BEST_PAIR = "row_number() OVER (PARTITION BY video_id, frame_index ORDER BY score DESC, track_id DESC, i DESC)"

@@ -376,7 +376,7 @@ def str4(spark, sf_dir):
 
     frames, detections, motion = track_inputs(spark, sf_dir)
     config = track_config()
-    rows = tracking.tracking_input(frames, detections, motion, config).join(frames, ["video_id", "frame_index"])
+    rows = tracking.tracking_input(frames, tracking.frame_candidates(detections, config), motion, config).join(frames, ["video_id", "frame_index"])
     staged = scratch_path(spark, "frames")
     rows.repartition(3, "frame_index").write.parquet(staged)
     tracked = jobs.run_available(processors.stream_track(jobs.stream_files(spark, staged, max_files=1), config), "track")

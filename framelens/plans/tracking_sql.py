@@ -7,7 +7,7 @@ that share neither track nor candidate with it.
 from __future__ import annotations
 
 from framelens.plans.identity_queries import nms_sql
-from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, VALID_MOTION, area_sql, diagonal_sql, gap_sql, iou_sql
+from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, VALID_MOTION, area_sql, diagonal_sql, gap_sql, iou_sql, moved_box_sql
 
 _TRACK = "STRUCT(id BIGINT, det BIGINT, sim DOUBLE, miss BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)"
 _BOX = "'x1': {0}.x1, 'y1': {0}.y1, 'x2': {0}.x2, 'y2': {0}.y2"
@@ -17,17 +17,19 @@ _SCORE = (
 )
 
 
-def _moved() -> str:
-    """A track after the frame's motion (without shear, as in the view); one that cannot move, or leaves, has missed."""
-    x = "least(mo.m00 * t.x1, mo.m00 * t.x2) + mo.m02", "greatest(mo.m00 * t.x1, mo.m00 * t.x2) + mo.m02"
-    y = "least(mo.m11 * t.y1, mo.m11 * t.y2) + mo.m12", "greatest(mo.m11 * t.y1, mo.m11 * t.y2) + mo.m12"
+def _moved(t: str = "t", head: str = "'id': t.id, ") -> str:
+    """A track after the frame's motion; one that cannot move, or leaves, has missed."""
+    x1, y1, x2, y2 = moved_box_sql(t, "mo")
     return (
-        f"CASE WHEN mo IS NOT NULL AND {x[1]} > 0 AND {y[1]} > 0 AND {x[0]} < 240 AND {y[0]} < 180 "
-        f"THEN {{'id': t.id, 'det': t.det, 'sim': t.sim, 'miss': CAST(0 AS BIGINT), 'x1': {x[0]}, 'y1': {y[0]}, 'x2': {x[1]}, 'y2': {y[1]}}} "
-        f"ELSE {{'id': t.id, 'det': t.det, 'sim': t.sim, 'miss': t.miss + 1, {_BOX.format('t')}}} END"
+        f"CASE WHEN mo IS NOT NULL AND {x2} > 0 AND {y2} > 0 AND {x1} < 240 AND {y1} < 180 "
+        f"THEN {{{head}'det': {t}.det, 'sim': {t}.sim, 'miss': CAST(0 AS BIGINT), 'x1': {x1}, 'y1': {y1}, 'x2': {x2}, 'y2': {y2}}} "
+        f"ELSE {{{head}'det': {t}.det, 'sim': {t}.sim, 'miss': {t}.miss + 1, {_BOX.format(t)}}} END"
     )
 
 
+_MOTION = "CASE WHEN {0} THEN {{'m00': m00, 'm01': m01, 'm02': m02, 'm10': m10, 'm11': m11, 'm12': m12}} END AS mo".format(VALID_MOTION)
+
+
 def track_steps(cut: float, *, max_faces: int = 2, profile: str = "temporal") -> str:
     """CTEs ending in ``step``: one row per frame with flags, similarity and ``chosen``, smallest box first."""
     ambiguous = "coalesce(a.ambiguous, false)" if max_faces == 1 else "false"
@@ -42,7 +44,7 @@ tops AS (SELECT video_id, frame_index, max(similarity) AS top FROM v_sim WHERE s
 cuts AS (SELECT video_id, frame_index, coalesce({DISTANCE} >= {cut}, false) AS cut FROM ({HIST_PAIRS}) h),
 inp AS MATERIALIZED (
   SELECT c.video_id, c.frame_index, c.cut, row_number() OVER (PARTITION BY c.video_id ORDER BY c.frame_index) AS k, {ambiguous} AS amb, tops.top,
-         coalesce(l.cands, []) AS cands, CASE WHEN {VALID_MOTION} THEN {{'m00': m00, 'm02': m02, 'm11': m11, 'm12': m12}} END AS mo
+         coalesce(l.cands, []) AS cands, {_MOTION}
   FROM cuts c LEFT JOIN tops USING (video_id, frame_index) LEFT JOIN listed l USING (video_id, frame_index)
   LEFT JOIN v_motion m USING (video_id, frame_index) LEFT JOIN v_ambiguous a USING (video_id, frame_index)),
 step AS (
@@ -71,3 +73,26 @@ step AS (
   FROM (SELECT *, len(t0) = 0 OR len(list_filter(t0, lambda t: t.miss > 0)) > 0 AS needs
   FROM (SELECT n.*, CASE WHEN n.cut THEN CAST([] AS {_TRACK}[]) ELSE s.tracks END AS t0 FROM step s JOIN inp n ON n.video_id = s.video_id AND n.k = s.k + 1
   ) q1) q2) q3) q4) q5) q6) q7) q8) q9) q10) q11) q12) q13)"""
+
+
+def target_steps(cut: float, *, min_similarity: float = 0.15) -> str:
+    """CTEs ending in ``step``: one row per frame; ``held`` is the one box remembered, ``chosen`` the frame's, if any."""
+    held = "STRUCT(det BIGINT, sim DOUBLE, miss BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)"
+    score = f"0.78 * c.sim + 0.22 * coalesce({iou_sql('h', 'c')}, 0)"
+    smooth = ", ".join(f"'{c}': 0.5 * h.{c} + 0.5 * best.{c}" for c in ("x1", "y1", "x2", "y2"))
+    return f"""RECURSIVE listed AS (SELECT video_id, frame_index, list({{'det': det_id, 'sim': similarity, {_BOX.format('v')}}}) AS cands, max(similarity) AS top FROM v_sim v WHERE similarity IS NOT NULL GROUP BY video_id, frame_index),
+cuts AS (SELECT video_id, frame_index, coalesce({DISTANCE} >= {cut}, false) AS cut FROM ({HIST_PAIRS}) h),
+inp AS MATERIALIZED (
+  SELECT c.video_id, c.frame_index, c.cut, row_number() OVER (PARTITION BY c.video_id ORDER BY c.frame_index) AS k, l.top, coalesce(l.cands, []) AS cands, {_MOTION}
+  FROM cuts c LEFT JOIN listed l USING (video_id, frame_index) LEFT JOIN v_motion m USING (video_id, frame_index)),
+step AS (
+  SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_index, CAST(NULL AS {held}) AS held, CAST(NULL AS {held}) AS chosen, false AS cut, false AS due, CAST(0 AS DOUBLE) AS similarity FROM inp
+  UNION ALL
+  SELECT video_id, k, frame_index, CASE WHEN hit IS NOT NULL THEN hit WHEN h.miss < 2 THEN CAST({{'det': h.det, 'sim': h.sim, 'miss': h.miss + 1, {_BOX.format('h')}}} AS {held}) END, hit, cut, due,
+         CASE WHEN hit IS NOT NULL THEN hit.sim WHEN due THEN coalesce(top, 0) ELSE 0 END
+  FROM (SELECT *, CASE WHEN due AND best.sim >= {min_similarity} THEN CAST(CASE WHEN h IS NULL THEN {{'det': best.det, 'sim': best.sim, 'miss': 0, {_BOX.format('best')}}} ELSE {{'det': best.det, 'sim': best.sim, 'miss': 0, {smooth}}} END AS {held})
+                       WHEN NOT due AND moved.miss = 0 THEN moved END AS hit
+  FROM (SELECT *, list_reverse_sort(list_transform(cands, lambda c: {{'s': {score}, 'd': -c.det, 'c': c}}))[1].c AS best, CAST({_moved('h', '')} AS {held}) AS moved
+  FROM (SELECT *, h IS NULL OR h.miss > 0 OR cut OR frame_index % 3 = 0 AS due
+  FROM (SELECT n.*, CASE WHEN n.cut THEN NULL ELSE s.held END AS h FROM step s JOIN inp n ON n.video_id = s.video_id AND n.k = s.k + 1
+  ) q1) q2) q3) q4)"""

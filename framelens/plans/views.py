@@ -1,7 +1,6 @@
 """Fixture views: the shapes the operators expect, derived from the given tables.
 
-The SQL text is shared with the check queries. Views read all rows of their tables, but not all of them use each row:
-``v_frames`` keeps one embedding of five, ``v_hist`` the first 32 of its 64 components.
+The SQL text is shared with the check queries. Every view reads its whole table.
 """
 
 from __future__ import annotations
@@ -24,9 +23,9 @@ TABLES = (
 
 VIEW_SQL = {
     "v_frames": """
-SELECT CAST(floor(frame_seq / 20) AS BIGINT) AS video_id, frame_seq % 20 AS frame_index, frame_seq, embedding
-FROM (SELECT CAST(floor(vec_id / 5) AS BIGINT) AS frame_seq, min_by(embedding, vec_id) AS embedding
-      FROM embeddings GROUP BY CAST(floor(vec_id / 5) AS BIGINT)) f""",
+SELECT DISTINCT CAST(floor(vec_id / 100) AS BIGINT) AS video_id, CAST(floor(vec_id / 5) AS BIGINT) % 20 AS frame_index,
+       CAST(floor(vec_id / 5) AS BIGINT) AS frame_seq
+FROM embeddings""",
     "v_det": """
 SELECT *, x1 + 0.32 * w AS kx0, y1 + 0.38 * h AS ky0, x1 + 0.68 * w AS kx1, y1 + 0.38 * h AS ky1,
        x1 + (0.42 + 0.01 * (det_id % 17)) * w AS kx2, y1 + (0.50 + 0.01 * (det_id % 9)) * h AS ky2,
@@ -57,8 +56,8 @@ SELECT vec_id AS ref_id, vec_id % 10 AS identity_id, concat('bank/', CAST(vec_id
 FROM embeddings""",
     "v_motion": """
 SELECT CAST(floor(vec_id / 100) AS BIGINT) AS video_id, CAST(floor(vec_id / 5) AS BIGINT) % 20 AS frame_index,
-       CAST(10 + (vec_id * 3) % 11 - 5 AS DOUBLE) / CAST(10 AS DOUBLE) AS m00, CAST(0 AS DOUBLE) AS m01,
-       CAST((vec_id * 13) % 200 - 100 AS DOUBLE) AS m02, CAST(0 AS DOUBLE) AS m10,
+       CAST(10 + (vec_id * 3) % 11 - 5 AS DOUBLE) / CAST(10 AS DOUBLE) AS m00, CAST((vec_id * 3) % 7 - 3 AS DOUBLE) / CAST(20 AS DOUBLE) AS m01,
+       CAST((vec_id * 13) % 200 - 100 AS DOUBLE) AS m02, CAST((vec_id * 2) % 9 - 4 AS DOUBLE) / CAST(20 AS DOUBLE) AS m10,
        CAST(10 + (vec_id * 7) % 9 - 4 AS DOUBLE) / CAST(10 AS DOUBLE) AS m11,
        CAST((vec_id * 11) % 120 - 60 AS DOUBLE) AS m12
 FROM (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY CAST(floor(vec_id / 5) AS BIGINT)) f""",
@@ -115,8 +114,9 @@ SELECT v.vec_id AS frame_id, n.k % 8 AS cx, CAST(floor(n.k / 8) AS BIGINT) AS cy
        CAST(least(255, greatest(0, floor((CAST(v.embedding[n.k + 1] AS DOUBLE) + 0.35) * 360))) AS INT) AS v
 FROM embeddings v, (SELECT unnest(range(64)) AS k) n""",
     "v_hist": """
-SELECT video_id, frame_index, list_transform(range(1, 33), lambda i: abs(CAST(embedding[i] AS DOUBLE))) AS hist
-FROM v_frames""",
+SELECT video_id, frame_index, list(bin ORDER BY k) AS hist
+FROM (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS video_id, CAST(floor(vec_id / 5) AS BIGINT) % 20 AS frame_index, k, sum(abs(CAST(embedding[k] AS DOUBLE))) / count(*) AS bin
+      FROM embeddings, (SELECT unnest(range(1, 65)) AS k) n GROUP BY ALL) b GROUP BY video_id, frame_index""",
     "v_pairs": """
 SELECT a.vec_id, CAST(floor(a.vec_id / 100) AS BIGINT) AS video_id, a.vec_id % 100 AS frame_index,
        list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) + 1) * 127.5) AS original,
@@ -256,9 +256,12 @@ def _v_cells(spark, sf_dir):
 
 
 def _v_hist(spark, sf_dir):
-    return view(spark, sf_dir, "v_frames").select(
-        "video_id", "frame_index", F.transform(F.slice(as_doubles("embedding"), 1, 32), F.abs).alias("hist")
-    )
+    """A frame's histogram: the mean absolute component of all its rows, one bin per component."""
+    e = as_doubles("embedding")
+    bins = F.array(*(F.sum(F.abs(F.get(e, F.lit(i)))) / F.count(F.lit(1)) for i in range(64)))
+    return table(spark, sf_dir, "embeddings").groupBy(
+        F.floor(F.col("vec_id") / 100).cast("long").alias("video_id"), (F.floor(F.col("vec_id") / 5).cast("long") % 20).alias("frame_index")
+    ).agg(bins.alias("hist"))
 
 
 def _v_pairs(spark, sf_dir):

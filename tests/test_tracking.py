@@ -157,3 +157,73 @@ def test_association_of_single_frames(spark):
     pairs = lambda limit: {(r.track_id, r.det_id, r.opened) for r in tracking.associate(running, candidates, max_faces=limit, smoothing=0.5).collect()}
     assert pairs(2) == {(0, 3, False), (7, 2, False)}
     assert pairs(3) == {(0, 3, False), (7, 2, False), (8, 4, True)}
+
+
+MOTION = "video_id long, frame_index long, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double"
+
+
+def test_motion_rides_through_six_pieces_in_two_folds(spark, monkeypatch):
+    config = TrackConfig(min_similarity=0.3, max_faces=2, detection_interval=100, width=400, height=300)
+    turn = lambda f: (0.999, -0.03, 1.4, 0.03, 0.999, -1.1) if f % 2 else (0.998, 0.02, -0.8, -0.02, 1.001, 1.2)
+    moves = spark.createDataFrame([(1, f, *turn(f)) for f in range(1, 60)], MOTION)
+    detections = spark.createDataFrame([face(0, 0, 100, y1=100.0), face(0, 1, 200, y1=120.0)], DET)
+    folds, whole = [], tracking._fold_pieces
+    monkeypatch.setattr(tracking, "_fold_pieces", lambda *a, **o: (folds.append(o["states"]), whole(*a, **o))[1])
+    result = lambda chunk: {r.frame_index: [(i.track_id, *(round(v, 6) for v in (i.x1, i.y1, i.x2, i.y2, i.kps[2].x))) for i in r.instances] for r in tracking.track(frames_of(spark, 60), detections, moves, config, chunk_frames=chunk).collect()}
+    pieces = result(10)
+    assert sum(folds) == 2  # rounds that look for the states
+    assert pieces == result(1000) and all(len(v) == 2 for v in pieces.values())
+    # a track that leaves the picture within a piece is found out
+    away = spark.createDataFrame([(1, f, 1.0, 0.0, 9.0, 0.0, 1.0, 0.0) for f in range(1, 60)], MOTION)
+    left = lambda chunk: [(r.frame_index, r.detection_due, [(i.track_id, round(i.x1, 6)) for i in r.instances]) for r in sorted(tracking.track(frames_of(spark, 60), detections, away, config, chunk_frames=chunk).collect())]
+    assert left(7) == left(1000) and not left(7)[-1][2]
+
+
+def plain_target(frames, faces, motion, config):
+    """Frame after frame, by the words of the rule."""
+    held, out = None, {}
+    for f, cut in frames:
+        held = None if cut else held
+        due = held is None or held["missing"] > 0 or cut or f % config.detection_interval == 0
+        own = [d for d in faces if d[1] == f and d[9] is not None]
+        chosen = None
+        if due:
+            def score(d):
+                if held is None:
+                    return 0.78 * d[9]
+                a, b = held["box"], d[3:7]
+                shared = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+                union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
+                return 0.78 * d[9] + 0.22 * (shared / union if union > 0 else 0)
+            best = max(own, key=lambda d: (score(d), -d[2]), default=None)
+            if best is not None and best[9] >= config.min_similarity:
+                s = config.smoothing
+                box = list(best[3:7]) if held is None else [s * o + (1 - s) * n for o, n in zip(held["box"], best[3:7])]
+                held = chosen = {"box": box, "missing": 0, "det": best[2]}
+        elif f in motion:
+            a, b, tx, c, d, ty = motion[f]
+            x1, y1, x2, y2 = held["box"]
+            xs, ys = zip(*((a * x + b * y + tx, c * x + d * y + ty) for x in (x1, x2) for y in (y1, y2)))
+            if max(xs) > 0 and max(ys) > 0 and min(xs) < config.width and min(ys) < config.height:
+                held = chosen = {"box": [min(xs), min(ys), max(xs), max(ys)], "missing": 0, "det": held["det"]}
+        if chosen is None and held is not None:
+            held["missing"] += 1
+            held = held if held["missing"] <= config.max_missing else None
+        out[f] = (due, chosen and chosen["det"], chosen and [round(v, 6) for v in chosen["box"]])
+    return out
+
+
+@pytest.mark.parametrize("interval", [1, 4])
+def test_follow_target_equals_the_plain_rule(spark, interval):
+    faces, motion, hists = random_video(5)
+    faces += [face(f, 1000 + f, 20 + f * 0.2, 0.05) for f in range(0, 120, 3)]  # weak, but where the box is
+    config = TrackConfig(min_similarity=0.45, smoothing=0.6, max_missing=2, detection_interval=interval, cut_threshold=0.2, width=240, height=80)
+    frames = frames_of(spark, 120, hists)
+    cuts = {r.frame_index: r.scene_cut for r in sequence.scene_cuts(frames, 0.2).collect()}
+    want = plain_target(sorted(cuts.items()), faces, {m[1]: m[2:] for m in motion}, config)
+    moves = spark.createDataFrame(motion, MOTION)
+    detections = spark.createDataFrame(faces + [(1, 3, 999, 0.0, 0.0, 9.0, 9.0, 0.9, [], None)], DET)
+    for options in ({}, {"chunk_frames": 6}, {"split": False}):
+        rows = tracking.follow_target(frames, detections, moves, config, **options).collect()
+        assert {r.frame_index: (r.detection_due, r.det_id, r.x1 if r.x1 is None else [round(v, 6) for v in (r.x1, r.y1, r.x2, r.y2)]) for r in rows} == want
+    assert any(v[1] is None for v in want.values()) and any(cuts.values()) and sum(v[1] is not None for v in want.values()) > 30
