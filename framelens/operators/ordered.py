@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 FRAMES_PER_BUCKET = 4096
-BUCKET = "_bucket"
+BUCKET, KEY = "_bucket", "_key_of_row"
 NO_ORDER = -(2**62)
 
 
@@ -35,26 +36,29 @@ def _order(order: str | Sequence[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
-def in_bucket(keys: Sequence[str], order: str | Sequence[str]):
-    return Window.partitionBy(*keys, BUCKET).orderBy(*_order(order))
+def in_bucket(order: str | Sequence[str]):
+    """Over rows of ``with_carry``, which lie by key and bucket already."""
+    return Window.partitionBy(KEY, BUCKET).orderBy(*_order(order))
 
 
 def with_carry(
     df: DataFrame, keys: Sequence[str], bucket: Column, summaries: dict[str, Column],
     carries: Callable[[object], dict[str, Column]],
 ) -> DataFrame:
-    """Add ``_bucket`` and one column per carry, computed from the summaries of earlier buckets.
+    """Add the key as one column, ``_bucket`` and one column per carry, computed from the summaries of earlier buckets.
 
     ``carries`` receives the window over a key's earlier buckets, in order, the current one excluded. Null keys
     are a key like others; rows without an order value have a bucket of their own, before all others.
+
+    The keys are packed into a struct, which is never null itself, so grouping, join and windows share one partitioning
+    and the join is a plain equality.
     """
-    cut = df.withColumn(BUCKET, F.coalesce(bucket, F.lit(NO_ORDER)))
-    per_bucket = cut.groupBy(*keys, BUCKET).agg(*(agg.alias(name) for name, agg in summaries.items()))
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        *(F.col(c).alias(f"_of_{c}") for c in (*keys, BUCKET)), *(value.alias(name) for name, value in carries(earlier).items())
-    )
-    return join_null_safe(cut, carried, [*keys, BUCKET])
+    packed = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    cut = df.withColumns({BUCKET: F.coalesce(bucket, F.lit(NO_ORDER)), KEY: packed})
+    per_bucket = cut.groupBy(KEY, BUCKET).agg(*(agg.alias(name) for name, agg in summaries.items()))
+    earlier = Window.partitionBy(KEY).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select(KEY, BUCKET, *(value.alias(name) for name, value in carries(earlier).items()))
+    return cut.join(carried, [KEY, BUCKET])
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -71,8 +75,8 @@ def ordered_index(
         df, keys, bucket, {"_bucket_rows": F.count(F.lit(1))},
         lambda w: {"_rows_before": F.coalesce(F.sum("_bucket_rows").over(w), F.lit(0))},
     )
-    position = F.row_number().over(in_bucket(keys, order)) - 1 + F.col("_rows_before")
-    return carried.withColumn(name, position.cast("long")).drop(BUCKET, "_rows_before")
+    position = F.row_number().over(in_bucket(order)) - 1 + F.col("_rows_before")
+    return carried.withColumn(name, position.cast("long")).drop(KEY, BUCKET, "_rows_before")
 
 
 def ordered_running_sums(
@@ -85,9 +89,9 @@ def ordered_running_sums(
         {total(n): F.sum(own(n)) for n in values},
         lambda w: {before(n): F.coalesce(F.sum(total(n)).over(w), F.lit(0)) for n in values},
     )
-    frame = in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    frame = in_bucket(order).rowsBetween(Window.unboundedPreceding, 0)
     running = {n: F.coalesce(F.sum(own(n)).over(frame), F.lit(0)) + F.col(before(n)) for n in values}
-    return carried.withColumns(running).drop(BUCKET, *(c(n) for n in values for c in (before, own)))
+    return carried.withColumns(running).drop(KEY, BUCKET, *(c(n) for n in values for c in (before, own)))
 
 
 def ordered_running_sum(
@@ -106,7 +110,7 @@ def ordered_lag(
         df.withColumn("_now", packed), keys, bucket, {"_last": F.max_by("_now", marker)},
         lambda w: {"_before": F.last("_last").over(w)},
     )
-    within = in_bucket(keys, order)
+    within = in_bucket(order)
     first = F.row_number().over(within) == 1
     previous = F.when(first, F.col("_before")).otherwise(F.lag("_now").over(within))
     out = carried.withColumn("_previous", previous)
@@ -125,9 +129,9 @@ def ordered_last_value(
         df.withColumn("_value", value), keys, bucket, {"_last": F.max_by("_value", marker)},
         lambda w: {"_before": F.last("_last", ignorenulls=True).over(w)},
     )
-    frame = in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    frame = in_bucket(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     latest = F.coalesce(F.last("_value", ignorenulls=True).over(frame), F.col("_before"))
-    return carried.withColumn(name, latest).drop(BUCKET, "_before", "_value")
+    return carried.withColumn(name, latest).drop(KEY, BUCKET, "_before", "_value")
 
 
 def ordered_recent(
@@ -149,10 +153,10 @@ def ordered_recent(
         df.withColumn("_value", value), keys, frame_bucket(index, size), {"_tail": tail},
         lambda w: {"_before": F.flatten(F.collect_list("_tail").over(w.rowsBetween(-count, -1)))},
     )
-    inside = F.collect_list("_value").over(in_bucket(keys, index).rowsBetween(-count, -1))
+    inside = F.collect_list("_value").over(in_bucket(index).rowsBetween(-count, -1))
     recent = F.concat(F.col("_before"), inside)
     recent = F.when(F.size(recent) > count, F.slice(recent, -count, count)).otherwise(recent)
-    return carried.withColumn(name, recent).drop(BUCKET, "_before", "_value")
+    return carried.withColumn(name, recent).drop(KEY, BUCKET, "_before", "_value")
 
 
 def fold_sorted(
@@ -162,21 +166,24 @@ def fold_sorted(
 ) -> DataFrame:
     """Fold each key's rows in order; ``step`` gets the values of ``columns`` and returns output rows.
 
-    Rows reach Python sorted, in Arrow batches, so a task holds one batch and one state however long a key is.
+    Rows reach Python sorted, in Arrow batches, so a task holds one batch and one state however long a key is. Whole
+    numbers keep their precision; a null among floats is NaN on the way in, and NaN is null on the way out.
     """
     width = len(keys)
-    fields = [field.name for field in _parse_schema(schema)]
     picked = [*keys, *columns]
+    made = to_arrow_schema(StructType.fromDDL(schema))
 
-    def values(column: pd.Series) -> list:
-        # a column of whole numbers with nulls comes as floats, so such columns are sent as text
-        return [None if v is None else int(v) for v in column.tolist()] if column.name in whole else column.tolist()
+    def values(column: pa.Array) -> list:
+        return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(column.type) else column.to_pylist()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*out), made)], schema=made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = state = None
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(values(batch[name]) for name in picked)):
+            for row in zip(*map(values, batch.columns)):
                 key = row[:width]
                 if key != current:
                     if current is not None and finish is not None:
@@ -184,32 +191,15 @@ def fold_sorted(
                     current, state = key, start(key)
                 out.extend(step(state, row[width:]))
                 if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=fields, dtype=object)
+                    yield packed(out)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=fields, dtype=object)
+                yield packed(out)
                 out = []
         if current is not None and finish is not None:
             out.extend(finish(state))
         if out:
-            yield pd.DataFrame(out, columns=fields, dtype=object)
+            yield packed(out)
 
-    whole = {f.name for f in df.schema.fields if f.name in picked and f.nullable and f.dataType.typeName() in ("long", "integer", "short", "byte")}
     arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    sent = arranged.select(*(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in picked))
-    made = [f.name for f in _parse_schema(schema) if f.dataType.typeName() in ("long", "integer", "short", "byte")]
-    kinds = {f.name: f.dataType.simpleString() for f in _parse_schema(schema)}
-    as_text = ", ".join(f"`{f.name}` {'string' if f.name in made else f.dataType.simpleString()}" for f in _parse_schema(schema))
-
-    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in run(batches):
-            for name in made:
-                frame[name] = [None if v is None or v != v else str(int(v)) for v in frame[name].astype(object)]
-            yield frame
-
-    back = sent.mapInPandas(spelled, as_text)
-    return back.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in made else F.col(f"`{c}`") for c in fields))
-
-
-def _parse_schema(schema: str) -> StructType:
-    return StructType.fromDDL(schema)
+    return arranged.select(*picked).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from framelens.functions import crossfade_weight, window_seed
 from framelens.operators import ordered
+from framelens.session import cut_lineage
+
+#: Frames of a video that one task plans; longer videos are planned in pieces.
+PIECE_FRAMES = 16_384
 
 
 @dataclass(frozen=True)
@@ -39,12 +43,16 @@ def clean_cuts(cuts: Column, n: Column) -> Column:
 
 
 def plan_windows(
-    videos: DataFrame, cuts: DataFrame | None = None, plan: WindowPlan = WindowPlan(), *, key: str = "video_id"
+    videos: DataFrame, cuts: DataFrame | None = None, plan: WindowPlan = WindowPlan(), *, key: str = "video_id",
+    piece_frames: int = PIECE_FRAMES,
 ) -> DataFrame:
     """Window rows (clip_index, start_frame, valid_frames, overlap_before, hard_cut_before, seed) per video.
 
-    Without cuts the starts are an arithmetic sequence. With cuts each start depends on the one before, so
-    header and cut rows stream through a fold in order; it holds the cuts within one window's reach.
+    Without cuts the starts are an arithmetic sequence. With cuts each start depends on the one before. Videos are cut into
+    pieces of ``piece_frames``, and a piece sees only the cuts its starts can reach. A step is shorter than a window, so a
+    plan enters a piece at one of its first few frames: every piece of a long video tabulates, for each of these, where
+    the plan leaves it and after how many windows. The tables, one short row a piece, are followed along the video; then all
+    pieces place their windows at once.
     """
     n = F.col("requested_frames")
     problem = F.when(n <= 0, F.lit("requested_frames must be positive"))
@@ -57,61 +65,35 @@ def plan_windows(
     if cuts is None or not plan.scene_aware or not plan.chunking:
         return _regular_windows(headers, plan, key)
     key_type = videos.schema[key].dataType.simpleString()
-    rows = headers.select(key, F.lit(-1).cast("long").alias("pos"), "n").unionByName(
-        cuts.select(key, F.col("cut").cast("long").alias("pos")).filter(F.col("pos") > 0)
-        .withColumn("n", F.lit(None).cast("long"))
-    )
-    frame_num, stride, snap = plan.frame_num, plan.stride, plan.snap
-
-    def begin(video):
-        return {"key": video[0], "n": None, "start": 0, "clip": 0, "end": 0, "near": deque()}
-
-    def window(state, hard):
-        start, n = state["start"], state["n"]
-        valid = min(frame_num, n - start)
-        overlap = max(0, state["end"] - start) if state["clip"] else 0
-        row = (state["key"], state["clip"], start, valid, overlap, hard)
-        state["clip"] += 1
-        state["end"] = start + valid
-        return row
-
-    def advance(state, known_to):
-        """Place windows as long as every cut that could matter to the next one is known."""
-        out = []
-        while state["start"] + frame_num < state["n"]:
-            here = state["start"]
-            wanted = here + stride
-            high = min(state["n"] - 1, here + frame_num - 1, wanted + snap)
-            if known_to is not None and high >= known_to:
-                break
-            low = max(here + 1, wanted - snap)
-            near = state["near"]
-            while near and near[0] < low:
-                near.popleft()
-            reachable = [c for c in near if c <= high]
-            if reachable:
-                state["start"] = min(reachable, key=lambda c: (abs(c - wanted), c))
-            else:
-                state["start"] = wanted
-            out.append(window(state, bool(reachable)))
-        return out
-
-    def step(state, row):
-        pos, n = row
-        if pos < 0:
-            state["n"] = int(n)
-            return [window(state, False)]
-        if state["n"] is None or pos >= state["n"] or (state["near"] and state["near"][-1] == pos):
-            return []
-        out = advance(state, pos)
-        state["near"].append(int(pos))
-        return out
+    size, none = max(piece_frames, plan.frame_num), F.lit(None).cast("long")
+    last = F.floor((F.greatest("n", F.lit(1)) - 1) / size).cast("long")
+    heads = headers.select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), F.lit(-1).cast("long").alias("pos"), "n")
+    pos = F.col("cut").cast("long")
+    seen_from = F.sequence(F.floor(F.greatest(F.lit(0), pos - plan.frame_num + 1) / size).cast("long"), F.floor((pos - 1) / size).cast("long"))
+    marks = cuts.filter(pos > 0).select(key, F.explode(seen_from).alias("piece"), pos.alias("pos"))
+    start = heads.withColumns({"entry": F.lit(0).cast("long"), "clip": F.lit(0).cast("long")})
+    if not videos.filter(n > size).limit(1).isEmpty():
+        in_pieces = headers.filter(F.col("n") > size).select(F.col(key).alias(f"_of_{key}"))
+        long = ordered.join_null_safe(heads.unionByName(marks.withColumn("n", none)), in_pieces, [key], "left_semi")
+        entries = _entries(_crossings(long, plan, size, key, key_type), key, key_type)
+        entries = entries.withColumnsRenamed({c: f"_of_{c}" for c in (key, "piece")})
+        start = start.filter(F.col("n") <= size).unionByName(ordered.join_null_safe(heads.filter(F.col("n") > size), entries, [key, "piece"]))
+    rows = start.unionByName(marks.withColumns({"n": none, "entry": none, "clip": none}))
 
     def finish(state):
-        return [] if state["n"] is None else advance(state, None)
+        if state.n is None:
+            return
+        here, clip = state.first + state.entry, state.clip
+        if not state.piece:
+            yield (state.key, 0, 0, min(plan.frame_num, state.n), 0, False)
+        while here < state.first + size and here + plan.frame_num < state.n:
+            following, hard = _next_start(here, state.cuts, state.n, plan)
+            clip += 1
+            yield (state.key, clip, following, min(plan.frame_num, state.n - following), max(0, here + plan.frame_num - following), hard)
+            here = following
 
     placed = ordered.fold_sorted(
-        rows, [key], ["pos"], ["pos", "n"], begin, step,
+        rows, [key, "piece"], ["pos"], ["pos", "n", "entry", "clip"], lambda k: _Piece(*k, size), _Piece.take,
         f"`{key}` {key_type}, clip_index long, start_frame long, valid_frames long, overlap_before long, "
         "hard_cut_before boolean",
         finish=finish,
@@ -119,6 +101,72 @@ def plan_windows(
     return placed.withColumn("seed", window_seed(F.col("start_frame"), plan.seed, plan.seed_mode))
 
 
+class _Piece:
+    """What a task knows of a piece: the video's length, where the plan enters, and the cuts in reach, ascending."""
+
+    def __init__(self, key, piece: int, size: int):
+        self.key, self.piece, self.first = key, piece, piece * size
+        self.n, self.entry, self.clip, self.cuts = None, 0, 0, []
+
+    def take(self, row: tuple) -> tuple:
+        pos, n, *entered = row
+        if pos < 0:
+            self.n, (self.entry, self.clip) = n, entered or (0, 0)
+        elif not self.cuts or self.cuts[-1] != pos:
+            self.cuts.append(pos)
+        return ()
+
+
+def _next_start(here: int, cuts: list[int], n: int, plan: WindowPlan) -> tuple[int, bool]:
+    """The start after ``here``: the cut nearest to a stride ahead, the earlier on ties, if one is near; else the stride."""
+    wanted = here + plan.stride
+    low, high = max(here + 1, wanted - plan.snap), min(n - 1, here + plan.frame_num - 1, wanted + plan.snap)
+    near = cuts[bisect_left(cuts, low) : bisect_right(cuts, high)]
+    return (min(near, key=lambda c: (abs(c - wanted), c)), True) if near else (wanted, False)
+
+
+def _crossings(rows: DataFrame, plan: WindowPlan, size: int, key: str, key_type: str) -> DataFrame:
+    """Per piece and entry frame: the frame of the next piece the plan enters (-1 if it ends here), and windows placed."""
+
+    def finish(state):
+        if state.n is None:
+            return ()
+        stop, known = state.first + size, {}
+        for entry in range(min(plan.frame_num, state.n - state.first)):
+            path, here = [], state.first + entry
+            while here < stop and here not in known and here + plan.frame_num < state.n:
+                path.append(here)
+                here = _next_start(here, state.cuts, state.n, plan)[0]
+            leave, placed = known[here] if here in known else (here - stop if here >= stop else -1, 0)
+            for start in reversed(path):
+                placed += 1
+                known[start] = leave, placed
+            known.setdefault(state.first + entry, (leave, placed))
+        found = [known[state.first + e] for e in range(min(plan.frame_num, state.n - state.first))]
+        return [(state.key, state.piece, [x for x, _ in found], [x for _, x in found])]
+
+    return ordered.fold_sorted(
+        rows, [key, "piece"], ["pos"], ["pos", "n"], lambda k: _Piece(*k, size), _Piece.take,
+        f"`{key}` {key_type}, piece long, leaves array<long>, placed array<long>", finish=finish,
+    )
+
+
+def _entries(crossings: DataFrame, key: str, key_type: str) -> DataFrame:
+    """Where the plan enters each piece it reaches, and the index of the window that does: (key, piece, entry, clip)."""
+
+    def step(state, row):
+        piece, leaves, placed = row
+        video, entry, clip = state
+        if entry < 0:
+            return ()
+        state[1:] = [leaves[entry], clip + placed[entry]]
+        return ((video, piece, entry, clip),)
+
+    return ordered.fold_sorted(
+        crossings, [key], ["piece"], ["piece", "leaves", "placed"], lambda k: [k[0], 0, 0], step, f"`{key}` {key_type}, piece long, entry long, clip long"
+    )
+
+
 def _regular_windows(headers: DataFrame, plan: WindowPlan, key: str) -> DataFrame:
     last = F.ceil(F.greatest(F.lit(0), F.col("n") - plan.frame_num) / F.lit(plan.stride))
     start = F.col("clip_index") * plan.stride
@@ -208,12 +256,19 @@ def _planned_reach(plan: WindowPlan) -> int:
 
 
 def _reach(clips: DataFrame, key: str) -> int:
-    """The same bound from the windows: most of them that start within the length of the longest one."""
+    """The same bound from the windows: most of them that start within the length of the longest one.
+
+    Counted stretch by stretch: a window also looks on from the stretches that its start is in reach of.
+    """
     longest = clips.agg(F.max("valid_frames").alias("n")).first()["n"]
     if not longest:
         return 0
-    ahead = Window.partitionBy(key).orderBy("start_frame").rangeBetween(0, int(longest) - 1)
-    near = clips.select((F.count(F.lit(1)).over(ahead) - 1).alias("n"))
+    size, start = max(int(longest), ordered.FRAMES_PER_BUCKET), F.col("start_frame")
+    own = F.floor(start / size).cast("long")
+    seen = F.sequence(F.floor((start - longest + 1) / size).cast("long"), own)
+    placed = clips.select(key, "start_frame", own.alias("_own"), F.explode(seen).alias("_seen"))
+    ahead = Window.partitionBy(key, "_seen").orderBy("start_frame").rangeBetween(0, int(longest) - 1)
+    near = placed.withColumn("n", F.count(F.lit(1)).over(ahead) - 1).filter(F.col("_own") == F.col("_seen"))
     return near.agg(F.max("n").alias("n")).first()["n"]
 
 
@@ -228,6 +283,8 @@ def stitch(
     frames. Laying windows over each other in order is linear in their values, so each value gets its final
     share from the windows that follow it and the frames are plain sums, combined before the shuffle.
     """
+    if plan is None:  # the windows are written once, then asked and used
+        clips = cut_lineage(clips)
     reach = _reach(clips, key) if plan is None else _planned_reach(plan)
     details = ("start_frame", "overlap_before", "hard_cut_before")
     turned = clips.select(

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framelens.operators import windows
-from framelens.operators.windows import WindowPlan
+from framelens.operators.windows import WindowPlan, plan_windows
 
 
 def planned(spark, n, cuts=(), plan=WindowPlan(), video=1):
@@ -137,3 +137,39 @@ def test_stitch_asks_the_clips_how_far_they_reach(spark):
     clips = windows.plan_windows(videos, None, plan)
     values = clips.selectExpr("video_id", "clip_index", "explode(sequence(0L, valid_frames - 1)) AS offset").selectExpr("*", "100D AS value")
     assert {round(r.value, 6) for r in windows.stitch(values, clips).collect()} == {100.0}
+
+
+@pytest.mark.parametrize("settings", [{}, {"frame_num": 9, "overlap": 0, "snap": 20}, {"frame_num": 17, "overlap": 16, "snap": 3}])
+def test_plan_in_pieces_equals_one_walk(spark, settings):
+    plan = WindowPlan(**settings)
+    rng = random.Random(4)
+    lengths = {None: 700, 1: 5, 2: 49, 3: 50, 4: 3000, 5: 64, 6: 65, 7: 1281}
+    cuts = [(v, rng.randint(-5, n + 20)) for v, n in lengths.items() for _ in range(n // rng.choice((9, 60)))] + [(4, 640), (4, 639), (4, 641), (9, 7)]
+
+    def walk(n, own):
+        starts, here, end = [(0, 0, False)], 0, plan.frame_num
+        while here + plan.frame_num < n:
+            wanted = here + plan.stride
+            near = [c for c in own if max(here + 1, wanted - plan.snap) <= c <= min(n - 1, here + plan.frame_num - 1, wanted + plan.snap)]
+            here = min(near, key=lambda c: (abs(c - wanted), c)) if near else wanted
+            starts.append((here, max(0, end - here), bool(near)))
+            end = here + plan.frame_num
+        return starts
+
+    want = {(v, k, s, min(plan.frame_num, n - s), o, h) for v, n in lengths.items() for k, (s, o, h) in enumerate(walk(n, [c for w, c in cuts if w == v and 0 < c < n]))}
+    videos = spark.createDataFrame(list(lengths.items()), "video_id long, requested_frames long")
+    marks = spark.createDataFrame(cuts, "video_id long, cut long")
+    for frames in (64, 16_384):
+        got = plan_windows(videos, marks, plan, piece_frames=frames).select("video_id", "clip_index", "start_frame", "valid_frames", "overlap_before", "hard_cut_before").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_one_endless_video_spreads(spark):
+    videos = spark.createDataFrame([(1, 1_000_000)], "video_id long, requested_frames long")
+    cuts = spark.range(1, 1_000_000, 271).selectExpr("1L AS video_id", "id AS cut")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = plan_windows(videos, cuts).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 2 and max(r["count"] for r in parts) < sum(r["count"] for r in parts) * 0.6
