@@ -17,6 +17,8 @@ from framelens.session import bounded, cut_lineage
 YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
 BANK_BROADCAST_ROWS = 4096
 BANK_BYTES = 128 << 20
+#: References of one code that are scored together; a code with more has several parts.
+BUCKET_ROWS = 2048
 
 
 def identity_centroid(
@@ -95,7 +97,7 @@ def pack_references(references: DataFrame, block: Column, *, vector: str = "embe
 def match_identity(
     detections: DataFrame, references: DataFrame, *, min_sim: float, k: int = 1, id_col: str = "det_id",
     keys: Sequence[str] | None = None, vector: str = "embedding", bank_rows: int = BANK_BROADCAST_ROWS,
-    bank_bytes: int = BANK_BYTES,
+    bank_bytes: int = BANK_BYTES, recall: float | None = None,
 ) -> DataFrame:
     """Top ``k`` references per detection with cosine at least ``min_sim``; adds ref_id, similarity, rank.
 
@@ -107,8 +109,18 @@ def match_identity(
 
     ``keys`` names a detection; by default those of video_id, frame_index and ``id_col`` that are there, since
     ids start over in each frame.
+
+    With ``recall`` (say 0.95) matches may be missed: detections only meet references that share one of several codes of
+    signs of random projections (``SignCodes``), so many that a pair just at ``min_sim`` is found with that
+    probability or a higher one. Similarities are exact. It pays for large banks and high thresholds; where the codes
+    would not leave out half of the bank, matching is exact after all. Vectors of other lengths than the longest
+    reference match nothing then.
     """
     keys = list(keys or [c for c in (*FRAME, id_col) if c in detections.columns])
+    if recall is not None:
+        near = _approximate_hits(detections, references, min_sim, k, keys, vector, recall)
+        if near is not None:
+            return near
     head = cut_lineage(references.select("ref_id", vector).limit(bank_rows + 1))
     if head.count() <= bank_rows:
         references = head
@@ -124,6 +136,16 @@ def match_identity(
         packed = pack_references(references, F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"), vector=vector)
         arranged = detections.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    scored = _scored(arranged, packed, vector, min_sim, k)
+    kept = [c for c in detections.columns if c != vector]
+    if blocks > 1:
+        scored = _merged(detections, scored, keys, k)
+    return _opened(scored, kept)
+
+
+def _scored(arranged: DataFrame, packed: DataFrame, vector: str, min_sim: float, k: int) -> DataFrame:
+    """Rows with the best ``k`` hits of the packed references of their ``_block``."""
+
     def score(entry: Column) -> Column:
         product = F.aggregate(
             F.zip_with(F.col("_v"), entry["v"], lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x
@@ -135,7 +157,7 @@ def match_identity(
     usable = arranged.filter(F.col(vector).isNotNull()).withColumns(
         {"_v": as_doubles(vector), "_norm": l2_norm(vector)}
     ).filter(F.col("_norm") >= 1e-12)
-    scored = usable.join(packed, "_block").withColumn(
+    return usable.join(packed, "_block").withColumn(
         "_hits",
         F.slice(
             F.array_sort(
@@ -143,14 +165,75 @@ def match_identity(
             ), 1, k,
         ),
     )
-    kept = [c for c in detections.columns if c != vector]
-    if blocks > 1:
-        # at most k hits a block and as many blocks as the bank has; keys may be null
-        best = scored.filter(F.size("_hits") > 0).groupBy(*(F.col(c).alias(f"_of_{c}") for c in keys)).agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("_hits"))), 1, k).alias("_hits")
-        )
-        scored = detections.join(best, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
-    return _opened(scored, kept)
+
+
+def _merged(detections: DataFrame, scored: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """Best hits over all blocks: at most k a block and as many blocks as a row was sent to; keys may be null."""
+    best = scored.filter(F.size("_hits") > 0).groupBy(*(F.col(c).alias(f"_of_{c}") for c in keys)).agg(
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))), 1, k).alias("_hits")
+    )
+    return detections.join(best, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+
+
+class SignCodes:
+    """Codes of vectors: in each of ``tables``, the signs of ``bits`` random projections.
+
+    Two vectors at an angle share a sign with probability 1 - angle / pi, so a code with that to the power of ``bits``, and
+    some code of several with a probability that ``plan`` brings to the recall asked for. Lookups also try the code with
+    its least certain sign turned, which finds more than planned.
+    """
+
+    def __init__(self, width: int, tables: int, bits: int, seed: int = 7):
+        self.tables, self.bits = tables, bits
+        self.planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
+
+    @staticmethod
+    def plan(min_sim: float, recall: float, references: int, most_tables: int = 32) -> tuple[int, int] | None:
+        """Tables and bits, or None where codes would not leave out half of the bank."""
+        same = 1 - np.arccos(min(1.0, max(-1.0, min_sim))) / np.pi
+        for bits in range(min(30, max(1, int(np.log2(max(references, 2) / 16)))), 0, -1):
+            one = same**bits
+            tables = 1 if one >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
+            if tables <= most_tables:
+                return (tables, bits) if 2 * tables / 2**bits <= 0.5 else None
+        return None
+
+    def of(self, vectors: pd.Series, probes: bool) -> pd.Series:
+        """Codes, one per table, and if asked those with one sign turned; none for null, zero or odd-length vectors."""
+        out = [[] for _ in range(len(vectors))]
+        fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == self.planes.shape[1]]
+        for s in range(0, len(fits), 1024):
+            rows = fits[s : s + 1024]
+            side = (np.stack([np.asarray(vectors.iloc[i], float) for i in rows]) @ self.planes.T).reshape(len(rows), self.tables, self.bits)
+            codes = ((side > 0) << np.arange(self.bits)).sum(2) + (np.arange(self.tables) << self.bits)
+            if probes:
+                codes = np.concatenate([codes, codes ^ (1 << np.abs(side).argmin(2))], axis=1)
+            for i, found in zip(rows, codes.tolist()):
+                out[i] = found
+        return pd.Series(out)
+
+
+def _approximate_hits(detections, references, min_sim, k, keys, vector, recall) -> DataFrame | None:
+    if not 0 < recall < 1:
+        raise ValueError("recall must lie between 0 and 1")
+    usable = references.filter(F.col(vector).isNotNull())
+    size = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("w")).first()
+    planned = SignCodes.plan(min_sim, recall, size["n"]) if size["n"] else None
+    if planned is None:
+        return None
+    codes = references.sparkSession.sparkContext.broadcast(SignCodes(size["w"], *planned))
+    own = F.pandas_udf(lambda v: codes.value.of(v, False), "array<long>")
+    tried = F.pandas_udf(lambda v: codes.value.of(v, True), "array<long>")
+    # of equal vectors only the first k can be among the best k
+    first = F.row_number().over(Window.partitionBy(vector).orderBy("ref_id"))
+    coded = usable.withColumn("_first", first).filter(F.col("_first") <= k).select("ref_id", vector, F.explode(own(as_doubles(vector))).alias("_code"))
+    held = cut_lineage(coded)
+    parts = held.groupBy("_code").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_parts"))
+    filed = held.join(parts, "_code").withColumn("_part", F.pmod(F.xxhash64("ref_id"), F.col("_parts")))
+    packed = pack_references(filed, F.struct("_code", "_part"), vector=vector).select(F.col("_block._code").alias("_block"), "_bank")
+    arranged = detections.select(*keys, vector, F.explode(tried(as_doubles(vector))).alias("_block"))
+    best = _merged(detections, _scored(arranged, packed, vector, min_sim, k), keys, k)
+    return _opened(best, [c for c in detections.columns if c != vector])
 
 
 def _opened(scored: DataFrame, kept: list[str]) -> DataFrame:

@@ -53,6 +53,21 @@ def jn1_large(spark, sf_dir):
     return matched.select("det_id", "ref_id", r6("similarity").alias("similarity"), "rank")
 
 
+# The codes miss none of these matches, so the exact statement checks them.
+@query("jn1_match_approximate", f"""
+SELECT det_id, ref_id, {q6("similarity")} AS similarity, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY det_id ORDER BY round(similarity, 12) DESC, ref_id) AS INT) AS rank FROM (
+    SELECT d.vec_id AS det_id, r.vec_id AS ref_id, list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS similarity
+    FROM embeddings d CROSS JOIN embeddings r) t WHERE similarity >= 0.9) s WHERE rank <= 3
+""")
+def jn1_approximate(spark, sf_dir):
+    """All vectors against all as references, met by codes of signs; similarities of 0.9 or more, recall planned at 0.999."""
+    vectors = table(spark, sf_dir, "embeddings")
+    bank = vectors.select(F.col("vec_id").alias("ref_id"), "embedding")
+    matched = identity.match_identity(vectors.select(F.col("vec_id").alias("det_id"), "embedding"), bank, min_sim=0.9, k=3, recall=0.999)
+    return matched.select("det_id", "ref_id", r6("similarity").alias("similarity"), "rank")
+
+
 @query("jn1_match_identity", f"""
 WITH c AS MATERIALIZED ({CENTROIDS}), s AS (
   SELECT det_id, identity_id AS ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) AS similarity FROM v_det, c)

@@ -154,3 +154,22 @@ def test_pixel_neighbours_are_adjacent_cells(spark):
     got = grid.pixel_stats(cells([(0, 10.0), (5, 90.0), (6, 20.0)])).first()
     # 0 stands alone; 5 and 6 mirror each other: 2 * (20 - 90) and 2 * (90 - 20)
     assert got.sharpness_var == pytest.approx(2 * 140.0**2 / 3)
+
+
+def test_approximate_matching_keeps_its_recall(spark):
+    rng = np.random.default_rng(6)
+    bank = rng.normal(size=(3000, 32))
+    unit = bank / np.linalg.norm(bank, axis=1, keepdims=True)
+    away = rng.normal(size=unit.shape)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    probes = 0.86 * unit + np.sqrt(1 - 0.86**2) * away  # just above the threshold
+    bank[2000:2600] = bank[7]  # a hot vector
+    references = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(bank)] + [(5000, None), (5001, [1.0])], "ref_id long, embedding array<double>")
+    detections = spark.createDataFrame([(i, (v * 3).tolist()) for i, v in enumerate(probes)] + [(6000, None), (6001, [0.0] * 32), (6002, [1.0])], "det_id long, embedding array<double>")
+    assert identity.SignCodes.plan(0.85, 0.9, 3000)[0] > 1 and identity.SignCodes.plan(0.1, 0.9, 3000) is None
+    exact = {(r.det_id, r.ref_id): (r.rank, r.similarity) for r in identity.match_identity(detections, references, min_sim=0.85, k=2).collect()}
+    near = {(r.det_id, r.ref_id): (r.rank, r.similarity) for r in identity.match_identity(detections, references, min_sim=0.85, k=2, recall=0.9).collect()}
+    assert len(exact) > 2300 and len(near.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(abs(exact[pair][1] - near[pair][1]) < 1e-9 for pair in near.keys() & exact.keys())
+    assert sorted(ref for det, ref in near if det == 7) == [7, 2000]
