@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelens.operators import ordered, sequence, telemetry
-from framelens.operators.quantiles import exact_percentile
+from framelens.operators.quantiles import exact_percentile, select_between
 
 
 def long_sequences(spark, seed=1):
@@ -91,6 +91,27 @@ def test_exact_percentile(spark, accuracy):
     )
 
 
+def test_percentile_with_a_false_bracket_and_wild_values(spark):
+    rng = np.random.default_rng(3)
+    values = {
+        1: rng.normal(size=3000), 2: 10.0 ** rng.uniform(-300, 300, 2000) * rng.choice([-1, 1], 2000), 3: np.full(50, 7.0),
+        4: np.array([5e-324, -5e-324, 0.0, -0.0, 1e-323]), None: np.array([1.0, 2.0, np.inf, -np.inf, 3.0]), 6: np.nextafter(1.0, 2.0) + np.arange(900) * 2.0**-52,
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "key long, v double")
+    for share in (0.3, 0.5, 0.95):
+        got = {r.key: r.q for r in exact_percentile(df, ["key"], "v", share, "q", accuracy=50).collect()}
+        for key, vs in values.items():
+            at = share * (len(vs) - 1)
+            a, b = np.sort(vs)[[int(np.floor(at)), int(np.ceil(at))]]
+            assert got[key] == (a if a == b else pytest.approx(a + (b - a) * (at - np.floor(at)), rel=1e-12, abs=0)), (key, share)
+    rows = df.where("key = 1").selectExpr("struct(key) AS _key_of_row", "v AS _v")
+    own = np.sort(values[1])
+    for lo, hi in ((-99.0, -98.0), (98.0, 99.0), (own[0], own[1]), (0.0, 0.0)):
+        guess = rows.groupBy("_key_of_row").agg(F.lit(1700).cast("long").alias("_r0"), F.lit(1701).cast("long").alias("_r1"), F.lit(0.5).alias("_fraction"), F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"))
+        assert [(r._a, r._b) for r in select_between(rows, guess).collect()] == [(own[1700], own[1701])]
+    assert exact_percentile(spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, float("nan"))], "key long, v double"), ["key"], "v", 1.0, "q").collect()[0].q != 0
+
+
 def test_metric_summary_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "m double")
     row = sequence.metric_summary(df, ["m"]).collect()[0]
