@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import IdFilter, SpanHashes, components, flat_text, lean, mix, one_row_per_id, outer_id, runs_of_documents, save, signed, sorted_groups, word_spans
+from framelens.llm.common import IdFilter, SpanHashes, components, flat_text, forget, lean, mix, one_row_per_id, outer_id, runs_of_documents, save, signed, sorted_groups, word_spans
 
 WORDS = 5
 #: Similarity of at least SIM[0] / SIM[1].
@@ -245,7 +245,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs that link, decided on the sets. Texts are read again; only documents in pairs ship their sets."""
+    """Pairs that link, decided on the sets, as a written table. Texts are read again; only documents in pairs ship their sets."""
     pairs = save(pairs, "ngram-pairs")
     ids = pairs.select("a").union(pairs.select("b")).distinct()
 
@@ -267,7 +267,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     bits, select = asked.bits, asked.select
     sets = asked.hashed(docs, "_id").mapInArrow(lean(hash_sets), "id long, shingles binary").join(ids, F.col("id") == F.col("a"), "left_semi")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(lean(compare), "a long, b long")
+    links = save(pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(lean(compare), "a long, b long"), "ngram-links")
+    forget(pairs)
+    return links
 
 
 class CountTree:
@@ -423,7 +425,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
         return b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     first = shared.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = save(_verified(_bounded(between_classes(first), points), docs), "ngram-links")
+    links = _verified(_bounded(between_classes(first), points), docs)
     joined = components(links)
 
     # what is left: subtrees with several components
@@ -431,10 +433,14 @@ def near_copies(documents: DataFrame) -> DataFrame:
     placed = shared.select("key", "id", "n").join(named, "id").select("key", F.col("rep").alias("id"), "n", "component").distinct()
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = save(placed.join(mixed, "key"), "ngram-open")
-    more = save(_verified(_bounded(_tree_pairs(open_, points), points), docs), "ngram-links")
+    forget(shared)
+    more = _verified(_bounded(_tree_pairs(open_, points), points), docs)
+    forget(open_)
     joined = components(links.union(more)) if not more.isEmpty() else joined
     out = sets.select("id", "n").join(named.select("id", "rep"), "id", "left").join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    return out.select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id"))
+    out = save(out.select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id")), "ngram-components")
+    forget(profiles, members, links, more)
+    return out
 
 
 def report(documents: DataFrame) -> DataFrame:
