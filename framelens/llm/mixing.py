@@ -13,6 +13,7 @@ table of sources is the only one ordered as a whole. A source with a third of al
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -25,6 +26,7 @@ from framelens.llm.common import forget, save
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BUCKET_ROWS = 128
+#: Rounds of Newton steps; later ones halve the bracket, which ends at the last bit.
 ROUNDS, TOLERANCE = 60, 1e-7
 
 
@@ -71,7 +73,7 @@ def solve_tilts(sized: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         F.when(F.col("source_size") == 0, 0.0).when(full, math.inf).when(F.col("target") <= 0, -math.inf).otherwise(0.0).alias("tilt"),
         F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), ((F.col("source_size") == 0) | full | (F.col("target") <= 0)).alias("done"),
     ), "mix-state")
-    for _ in range(ROUNDS):
+    for step in itertools.count():
         open_ = state.where("not done")
         if open_.isEmpty():
             break
@@ -88,14 +90,16 @@ def solve_tilts(sized: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         low, high = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low")), F.when(gap >= 0, F.col("tilt")).otherwise(F.col("high"))
         moved = open_.join(sums, F.col("of").eqNullSafe(F.col("source"))).withColumns({"low": low, "high": high, "gap": gap})
         newton = F.col("tilt") - F.col("gap") / F.col("slope")
-        inside = F.coalesce((F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high")) & (F.abs(newton - F.col("tilt")) <= 8), F.lit(False))
+        inside = F.coalesce((F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high")) & (F.abs(newton - F.col("tilt")) <= 8) & F.lit(step < ROUNDS), F.lit(False))
         middle = (
             F.when(F.col("low") == -math.inf, F.least(F.col("high") * 2, F.col("high") - 1))
             .when(F.col("high") == math.inf, F.greatest(F.col("low") * 2, F.col("low") + 1))
             .otherwise((F.col("low") + F.col("high")) / 2)
         )
         near = F.abs(F.col("gap")) <= TOLERANCE * F.col("target")
-        moved = moved.select("source", "target", "mean", F.when(near, F.col("tilt")).when(inside, newton).otherwise(middle).alias("tilt"), "low", "high", near.alias("done"))
+        to = F.when(near, F.col("tilt")).when(inside, newton).otherwise(middle)
+        narrow = (step >= ROUNDS) & ((to == F.col("low")) | (to == F.col("high")))
+        moved = moved.select("source", "target", "mean", to.alias("tilt"), "low", "high", (near | F.coalesce(narrow, F.lit(False))).alias("done"))
         following = save(state.where("done").unionByName(moved), "mix-state")
         forget(state)
         state = following
@@ -146,7 +150,8 @@ def repeat(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS) -> Dat
     sized = documents.withColumn("_words", word_count(F.col("text")))
     named = copies.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k if k != "size" else "_words").eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = sized.join(named, same).drop(*(f"_{k}" for k in keys))
+    # hashing the short side leaves the texts unsorted
+    joined = sized.join(named.hint("shuffle_hash"), same).drop(*(f"_{k}" for k in keys))
     share = F.col("_copies")
     if not copies.where("_rows > 1").limit(1).isEmpty():
         rank = F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text")) - 1
