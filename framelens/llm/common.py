@@ -214,19 +214,19 @@ class IdFilter:
         return df.withColumn("_filter", F.pmod(F.xxhash64(column), F.lit(1 << self.BITS)))
 
     @staticmethod
-    def select(bits, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """In a task: the rows whose id may be in, without the last column. ``bits`` is the broadcast."""
+    def select(bits, batch: pa.RecordBatch, may: bool = True) -> pa.RecordBatch:
+        """In a task: the rows whose id may be in (or cannot be), without the last column. ``bits`` is the broadcast."""
         at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-        yes = pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+        yes = pa.array(((bits.value[at >> 6] >> (at & 63)) & 1 == 1) == may)
         return pa.RecordBatch.from_arrays([c.filter(yes) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-    def keep(self, df: DataFrame, column: str) -> DataFrame:
-        """Rows whose id may be in; the rest cannot be."""
+    def keep(self, df: DataFrame, column: str, may: bool = True) -> DataFrame:
+        """Rows whose id may be in, or else those whose id cannot be."""
         bits, select = self.bits, self.select
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                some = select(bits, batch)
+                some = select(bits, batch, may)
                 if some.num_rows:
                     yield some
 
