@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.llm import language_id, line_dedup, mixing, ngram_join, packing
-from framelens.llm.common import one_row_per_id, outer_id, read, save
+from framelens.llm.common import IdFilter, one_row_per_id, outer_id, read, save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,10 +30,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
-    stay = ngram_join.near_copies(docs).where("_id = component_id").select("_id")
+    """Of each group of near copies the smallest id stays. Only texts that may go are shuffled, to be looked up exactly."""
+    go = ngram_join.near_copies(docs).where("_id <> component_id").select("_id")
     rows = one_row_per_id(docs, "doc_id", "text", ("lang", "source", "n_chars"))
-    return rows.join(stay.hint("shuffle_hash"), "_id", "left_semi").select(outer_id().alias("doc_id"), F.col("value").alias("text"), "lang", "source", "n_chars")
+    asked = IdFilter(go, "_id")
+    unsure = asked.keep(rows, "_id").join(go.hint("shuffle_hash"), "_id", "left_anti")
+    stay = asked.keep(rows, "_id", may=False).unionByName(unsure)
+    return stay.select(outer_id().alias("doc_id"), F.col("value").alias("text"), "lang", "source", "n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
