@@ -26,7 +26,7 @@ TABLE_BITS = 16
 ORDERS = (1, 2, 3, 4)
 SWITCH = 12.0
 FOREIGN = -1e4
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: First code points of script ranges, and the script from there on.
 SCRIPTS = (
