@@ -209,11 +209,43 @@ def scale_instances(instances: Column, scale_x, scale_y) -> Column:
     return F.transform(instances, rescale)
 
 
-def ellipse_contains(
-    px: Column, py: Column, box: Box, *, expand: float = 1.08, variant: str = "plain",
+class Ellipse(NamedTuple):
+    """Centre, radii, and cosine and sine of the turn."""
+
+    x: Column
+    y: Column
+    radius_x: Column
+    radius_y: Column
+    cos: Column
+    sin: Column
+
+    def contains(self, px: Column, py: Column) -> Column:
+        dx, dy = px - self.x, py - self.y
+        dx, dy = dx * self.cos + dy * self.sin, dy * self.cos - dx * self.sin
+        return F.pow(dx / self.radius_x, F.lit(2.0)) + F.pow(dy / self.radius_y, F.lit(2.0)) <= 1.0
+
+    def span(self, py: Column) -> tuple[Column, Column]:
+        """First and last whole x inside on the line ``py``; null where there is none.
+
+        The line cuts the ellipse at the roots of a quadratic. Rounding may move a root across a whole number, so the
+        neighbours of both are tried.
+        """
+        dy = py - self.y
+        ax, ay = F.lit(1.0) / (self.radius_x * self.radius_x), F.lit(1.0) / (self.radius_y * self.radius_y)
+        square = self.cos * self.cos * ax + self.sin * self.sin * ay
+        half = dy * self.cos * self.sin * (ax - ay)
+        rest = dy * dy * (self.sin * self.sin * ax + self.cos * self.cos * ay) - 1.0
+        root = F.sqrt(F.greatest(F.lit(0.0), half * half - square * rest))
+        low, high = F.ceil(self.x + (-half - root) / square), F.floor(self.x + (-half + root) / square)
+        inside = lambda x: F.when(self.contains(x.cast("double"), py), x)
+        return F.coalesce(*(inside(low + i) for i in (-1, 0, 1))), F.coalesce(*(inside(high + i) for i in (1, 0, -1)))
+
+
+def face_ellipse(
+    box: Box, *, expand: float = 1.08, variant: str = "plain",
     left_eye: tuple[Column, Column] | None = None, right_eye: tuple[Column, Column] | None = None,
-) -> Column:
-    """Whether a point lies in the face ellipse of a box (analytic, hard edge).
+) -> Ellipse:
+    """The face ellipse of a box.
 
     ``plain`` is upright; ``oriented`` is turned by the line through the eyes and never shrinks below 0.75.
     """
@@ -224,16 +256,20 @@ def ellipse_contains(
         axis_x, axis_y, drop, grow = 0.51, 0.58, 0.52, max(0.75, expand)
     else:
         raise ValueError("variant must be 'plain' or 'oriented'")
-    dx = px - F.bround(box.center[0])
-    dy = py - F.bround(box.y1 + drop * h)
-    radius_x = _at_least(F.bround(axis_x * w * grow), 2.0)
-    radius_y = _at_least(F.bround(axis_y * h * grow), 2.0)
+    cos_a, sin_a = F.lit(1.0), F.lit(0.0)
     if variant == "oriented" and left_eye is not None and right_eye is not None:
         ex, ey = right_eye[0] - left_eye[0], right_eye[1] - left_eye[1]
         angle = F.when(F.hypot(ex, ey) > 1e-3, F.atan2(ey, ex)).otherwise(F.lit(0.0))
         cos_a, sin_a = F.cos(angle), F.sin(angle)
-        dx, dy = dx * cos_a + dy * sin_a, dy * cos_a - dx * sin_a
-    return F.pow(dx / radius_x, F.lit(2.0)) + F.pow(dy / radius_y, F.lit(2.0)) <= 1.0
+    return Ellipse(
+        F.bround(box.center[0]), F.bround(box.y1 + drop * h), _at_least(F.bround(axis_x * w * grow), 2.0),
+        _at_least(F.bround(axis_y * h * grow), 2.0), cos_a, sin_a,
+    )
+
+
+def ellipse_contains(px: Column, py: Column, box: Box, **shape) -> Column:
+    """Whether a point lies in the face ellipse of a box (analytic, hard edge); ``shape`` as for ``face_ellipse``."""
+    return face_ellipse(box, **shape).contains(px, py)
 
 
 def _num(value) -> Column:

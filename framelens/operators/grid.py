@@ -13,12 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.functions import Box, ellipse_contains
 from framelens.session import bounded, cut_lineage
 
 FOREGROUND = 24
 MIN_COMPONENT_OVERLAP, MIN_INSTANCE_OVERLAP = 0.05, 0.08
-_ROW_STRIDE = 2**31
+ROW_STRIDE = 2**31
 # Cells of one frame that one task may hold; an 8K frame has twice as many.
 TASK_CELLS = 16_000_000
 
@@ -118,7 +117,13 @@ def _label_frames(front: DataFrame, key: str) -> DataFrame:
 
 
 def _components(frames: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Smallest cell number of each cell's part: join horizontal runs that touch the row above."""
+    """Smallest cell number of each cell's part."""
+    first, last, parts = run_parts(frames, ys, xs)
+    return np.repeat(parts, last - first + 1)
+
+
+def run_parts(frames: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last cell of every horizontal run, and the smallest cell number of its part: runs join those they touch above."""
     breaks = np.flatnonzero((frames[1:] != frames[:-1]) | (np.diff(ys) != 0) | (np.diff(xs) != 1)) + 1
     first = np.concatenate(([0], breaks))
     last = np.concatenate((breaks, [len(xs)])) - 1
@@ -146,8 +151,8 @@ def _components(frames: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarra
             j += 1
     # Runs are in cell order, so the smallest run of a part starts with its smallest cell.
     roots = np.array([root(i) for i in range(len(first))])
-    names = ys[first].astype(np.int64) * _ROW_STRIDE + xs[first]
-    return np.repeat(names[roots], last - first + 1)
+    names = ys[first].astype(np.int64) * ROW_STRIDE + xs[first]
+    return first, last, names[roots]
 
 
 def spread_labels(front: DataFrame, *, key: str = "frame_id") -> DataFrame:
@@ -159,7 +164,7 @@ def spread_labels(front: DataFrame, *, key: str = "frame_id") -> DataFrame:
     line = Window.partitionBy(key, "cy").orderBy("cx")
     grouped = front.withColumn("_g", F.col("cx") - F.row_number().over(line))
     start = F.min("cx").over(Window.partitionBy(key, "cy", "_g"))
-    marked = grouped.withColumn("_run", (F.col("cy") * _ROW_STRIDE + start).cast("long")).drop("_g")
+    marked = grouped.withColumn("_run", (F.col("cy") * ROW_STRIDE + start).cast("long")).drop("_g")
     marked = cut_lineage(marked)
     runs = marked.groupBy(key, "cy", "_run").agg(F.min("cx").alias("a"), F.max("cx").alias("b"))
     below = runs.select(
@@ -235,25 +240,10 @@ def uncovered_instances(
 
 
 def instance_cells(instances: DataFrame, width: int, height: int, *, key: str = "frame_id", expand: float = 1.08):
-    """Cells inside each instance's oriented ellipse, within the frame. Only its bounding square is opened."""
-    reach = 0.6 * F.greatest(F.lit(2.0), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * max(0.75, expand) + 3
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    bound = lambda at, last: F.least(F.greatest(at, F.lit(0).cast("long")), F.lit(last).cast("long"))
-    span = lambda c, last: F.sequence(bound(F.floor(c - reach), last), bound(F.ceil(c + reach), last))
-    point = lambda i: (F.get("kps", F.lit(i))["x"], F.get("kps", F.lit(i))["y"])
-    eyes = F.coalesce(F.size("kps") >= 2, F.lit(False))
-    left, right = point(0), point(1)
-    zero = F.lit(0.0)
-    left = tuple(F.when(eyes, v).otherwise(zero) for v in left)
-    right = tuple(F.when(eyes, v).otherwise(zero) for v in right)
-    opened = instances.withColumn("cx", F.explode(span(cx, width - 1))).withColumn(
-        "cy", F.explode(span(cy, height - 1))
-    )
-    inside = ellipse_contains(
-        F.col("cx").cast("double"), F.col("cy").cast("double"), Box.of(), expand=expand, variant="oriented",
-        left_eye=left, right_eye=right,
-    )
-    return opened.filter(inside).select(key, "instance", "cx", "cy")
+    """Cells inside each instance's oriented ellipse, within the frame."""
+    from framelens.operators.runs import instance_spans, open_runs
+
+    return open_runs(instance_spans(instances, width, height, key=key, expand=expand)).select(key, "instance", "cx", "cy")
 
 
 def refine_regions(
@@ -263,29 +253,16 @@ def refine_regions(
     """Keep mask components that match a target instance, add ellipses for uncovered instances.
 
     Returns (cells, counters per frame). Frames that are ambiguous or empty carry no instance rows and
-    produce no cells.
+    produce no cells. All decisions are made on runs (``runs.refine``); only the result is opened into cells.
     """
-    least = max(12, int(width * height * 0.00002)) if min_area is None else min_area
-    wanted = cells.join(instances.select(key).distinct(), key, "left_semi")
-    components = cut_lineage(component_label(wanted, least, key=key, max_cells=width * height))
-    ellipses = cut_lineage(instance_cells(instances, width, height, key=key, expand=expand))
-    matches = cut_lineage(box_instance_overlap(components, ellipses, key=key))
-    kept_ids = matches.select(key, "component").distinct()
-    kept = components.join(kept_ids, [key, "component"], "left_semi").select(key, "cx", "cy", F.col("v").cast("int").alias("v"))
-    synthetic = uncovered_instances(instances, instance_coverage(matches, key=key), threshold, key=key)
-    added = ellipses.join(synthetic.select(key, "instance"), [key, "instance"], "left_semi").select(
-        key, "cx", "cy", F.lit(255).alias("v")
-    )
-    refined = union_masks(kept.unionByName(added), keys=[key])
-    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    counters = (
-        count(instances, "target_instances")
-        .join(count(components.select(key, "component").distinct(), "raw_components"), key, "left")
-        .join(count(kept_ids, "kept_raw_components"), key, "left")
-        .join(count(synthetic, "synthetic_instances_added"), key, "left")
-        .na.fill(0)
+    from framelens.operators.runs import open_runs, refine
+
+    kept, added, counters = refine(
+        cells, instances, width=width, height=height, expand=expand, threshold=threshold, min_area=min_area, key=key
     )
-    return refined, counters
+    kept = cells.select(key, "cx", "cy", F.col("v").cast("int").alias("v")).join(open_runs(kept).select(key, "cx", "cy"), [key, "cx", "cy"])
+    added = open_runs(added).select(key, "cx", "cy", F.lit(255).alias("v"))
+    return union_masks(kept.unionByName(added), keys=[key]), counters
 
 
 def mask_stats(counters: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelens.functions import masked_mae, mean_abs_difference
-from framelens.operators import filters, grid, sequence, tracking, windows
+from framelens.operators import filters, grid, runs, sequence, tracking, windows
 from framelens.plans.catalog import q6, query, r6
 from framelens.plans.identity_queries import nms_sql
 from framelens.plans.scalar_queries import DISTANCE, HIST_PAIRS, LAPLACE, VALID_MOTION, diagonal_sql, ellipse_sql, gap_sql, iou_sql, moved_box_sql
@@ -357,7 +357,17 @@ def agg16(spark, sf_dir):
 
 @query("agg17_component_label", f"WITH {COMPONENTS} SELECT frame_id, cx, cy, component, area FROM parts")
 def agg17(spark, sf_dir):
-    return grid.component_label(view(spark, sf_dir, "v_cells"), 4, threshold=REGION, max_cells=64).select("frame_id", "cx", "cy", "component", "area")
+    found = runs.component_runs(view(spark, sf_dir, "v_cells"), 4, threshold=REGION, height=8)
+    return runs.open_runs(found).select("frame_id", "cx", "cy", "component", "area")
+
+
+@query("agg17_component_runs", f"""
+WITH {COMPONENTS}, islands AS (SELECT *, cx - row_number() OVER (PARTITION BY frame_id, cy ORDER BY cx) AS run FROM parts)
+SELECT frame_id, cy, min(cx) AS x0, max(cx) AS x1, component, area FROM islands GROUP BY frame_id, cy, run, component, area
+""")
+def agg17_runs(spark, sf_dir):
+    """Strips of two lines, so components go on from strip to strip."""
+    return runs.component_runs(view(spark, sf_dir, "v_cells"), 4, threshold=REGION, strip=2)
 
 
 MATCHES = f"""
@@ -442,8 +452,9 @@ def set7(spark, sf_dir):
     instances = frames.select("frame_id", F.explode(F.array(box(0, 0.0), box(1, 4.0))).alias("_i")).select(
         "frame_id", "_i.*", F.lit(None).cast("array<struct<x:double,y:double>>").alias("kps")
     )
-    refined, counters = grid.refine_regions(cells, instances, width=8, height=8, min_area=4)
-    return counters.join(grid.mask_area(refined), "frame_id", "left")
+    kept, added, counters = runs.refine(cells, instances, width=8, height=8, min_area=4)
+    area = runs.union(kept.unionByName(added)).groupBy("frame_id").agg(F.sum(runs.run_length()).alias("area"))
+    return counters.join(area, "frame_id", "left")
 
 
 TARGET_MOMENTS = """

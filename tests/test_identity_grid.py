@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelens.operators import grid, identity
+from framelens.operators import grid, identity, runs
 
 REF = "ref_id long, identity_id long, path string, embedding array<double>, yaw double, pitch double, quality double, weight double"
 
@@ -173,3 +173,38 @@ def test_approximate_matching_keeps_its_recall(spark):
     assert len(exact) > 2300 and len(near.keys() & exact.keys()) >= 0.9 * len(exact)
     assert all(abs(exact[pair][1] - near[pair][1]) < 1e-9 for pair in near.keys() & exact.keys())
     assert sorted(ref for det, ref in near if det == 7) == [7, 2000]
+
+
+@pytest.mark.parametrize("strip", [1, 3, 256])
+def test_component_runs_join_across_strips(spark, strip):
+    rng = random.Random(9)
+    sets = {f: {(rng.randrange(24), rng.randrange(17)) for _ in range(n)} for f, n in (("a", 170), ("b", 90), ("c", 1))}
+    sets["d"] = {(x, y) for y in range(0, 16) for x in range(20) if y % 4 == 0 or x == (19 if y % 8 < 4 else 0)}  # one winding line
+    df = spark.createDataFrame([(f, x, y, 255) for f, cells in sets.items() for x, y in cells] + [("e", 0, 0, 3), (None, 1, 1, 255)], "frame_id string, cx long, cy int, v int").repartition(5)
+    got = runs.open_runs(runs.component_runs(df, 2, strip=strip)).collect()
+    want = {(f, x, y): v for f, cells in sets.items() for (x, y), v in flood(cells).items() if v[1] >= 2}
+    assert {(r.frame_id, r.cx, r.cy): (r.component, r.area) for r in got} == want and len(got) == len(want)
+
+
+def test_spans_are_the_cells_of_the_ellipse(spark):
+    from framelens.functions import Box, ellipse_contains
+
+    rng = random.Random(4)
+    boxes = [instance(1, i, (x, y, x + rng.uniform(1, 40), y + rng.uniform(1, 50))) for i in range(60) for x, y in [(rng.uniform(-10, 60), rng.uniform(-10, 50))]]
+    boxes = [(*b[:6], None if i % 5 == 0 else [(p[0], p[1] + (k == 1) * rng.uniform(-9, 9)) for k, p in enumerate(b[6])]) for i, b in enumerate(boxes)]
+    boxes += [(1, 90, 10.0, 10.0, 20.0, 20.0, None)]  # borders on whole numbers
+    df = spark.createDataFrame(boxes, "frame_id long, instance long, x1 double, y1 double, x2 double, y2 double, kps array<struct<x:double,y:double>>")
+    eye = lambda i, c: F.coalesce(F.get("kps", F.lit(i))[c], F.lit(0.0))
+    opened = df.withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    inside = ellipse_contains(F.col("cx").cast("double"), F.col("cy").cast("double"), Box.of(), variant="oriented", left_eye=(eye(0, "x"), eye(0, "y")), right_eye=(eye(1, "x"), eye(1, "y")))
+    want = {(r.instance, r.cx, r.cy) for r in opened.filter(inside).collect()}
+    assert {(r.instance, r.cx, r.cy) for r in grid.instance_cells(df, 64, 48).collect()} == want and len(want) > 1000
+
+
+def test_union_of_runs(spark):
+    rng = random.Random(2)
+    rows = [(1, rng.randrange(3), a, a + rng.randrange(6)) for a in (rng.randrange(60) for _ in range(40))]
+    merged = runs.union(spark.createDataFrame(rows, "frame_id long, cy long, x0 long, x1 long")).collect()
+    cells = {(y, x) for _, y, a, b in rows for x in range(a, b + 1)}
+    assert {(r.cy, x) for r in merged for x in range(r.x0, r.x1 + 1)} == cells and sum(r.x1 - r.x0 + 1 for r in merged) == len(cells)
+    assert all((r.cy, r.x0 - 1) not in cells and (r.cy, r.x1 + 1) not in cells for r in merged)
