@@ -384,3 +384,29 @@ def str4(spark, sf_dir):
     return tracked.select("video_id", "frame_index", "scene_id", "ambiguous", r6("similarity").alias("similarity"), item).select(
         "video_id", "frame_index", "scene_id", "ambiguous", "similarity", "place", F.col("i.det_id").alias("det_id"), *(r6(f"i.{c}").alias(c) for c in ("x1", "y1", "x2", "y2"))
     )
+
+
+LOST = "(video_id * 7 + frame_index) % 11 = 4 AND frame_index BETWEEN 1 AND 12"
+
+
+@query("str4_stream_track_lost", f"""
+SELECT video_id, frame_index, scene_id, ambiguous, similarity, place, det_id, x1, y1, x2, y2,
+       (SELECT count(*) FROM v_hist h WHERE h.video_id = t.video_id AND h.frame_index = t.frame_index - 1 AND {LOST.replace("video_id", "h.video_id").replace("frame_index", "h.frame_index")}) AS lost_before
+FROM ({flat_sql(lost=LOST)}) t WHERE NOT ({LOST})
+""")
+def str4_lost(spark, sf_dir):
+    """Some frames never arrive; those behind them wait two seconds of event time and go on without."""
+    from framelens.operators import tracking
+
+    frames, detections, motion = track_inputs(spark, sf_dir)
+    frames, config = frames.filter(f"NOT ({LOST})"), track_config()
+    rows = tracking.tracking_input(frames, tracking.frame_candidates(detections, config), motion, config).join(frames, ["video_id", "frame_index"])
+    staged = scratch_path(spark, "frames")
+    timed = rows.withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1000))
+    for part in (0, 1):  # the first ten frames of every video, then the rest
+        timed.filter(F.least(F.lit(1), F.floor(F.col("frame_index") / 10)) == part).coalesce(1).write.mode("append").parquet(staged)
+    tracked = jobs.run_available(processors.stream_track(jobs.stream_files(spark, staged, max_files=1), config, ts="ts"), "track")
+    item = F.posexplode_outer("instances").alias("place", "i")
+    return tracked.select("video_id", "frame_index", "scene_id", "ambiguous", r6("similarity").alias("similarity"), "lost_before", item).select(
+        "video_id", "frame_index", "scene_id", "ambiguous", "similarity", "place", F.col("i.det_id").alias("det_id"), *(r6(f"i.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")), "lost_before"
+    )

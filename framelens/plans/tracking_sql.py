@@ -30,8 +30,11 @@ def _moved(t: str = "t", head: str = "'id': t.id, ") -> str:
 _MOTION = "CASE WHEN {0} THEN {{'m00': m00, 'm01': m01, 'm02': m02, 'm10': m10, 'm11': m11, 'm12': m12}} END AS mo".format(VALID_MOTION)
 
 
-def track_steps(cut: float, *, max_faces: int = 2, profile: str = "temporal") -> str:
-    """CTEs ending in ``step``: one row per frame with flags, similarity and ``chosen``, smallest box first."""
+def track_steps(cut: float, *, max_faces: int = 2, profile: str = "temporal", lost: str = "false") -> str:
+    """CTEs ending in ``step``: one row per frame with flags, similarity and ``chosen``, smallest box first.
+
+    Of frames that are ``lost`` nothing is known: no histogram, candidate or motion.
+    """
     ambiguous = "coalesce(a.ambiguous, false)" if max_faces == 1 else "false"
     forced = "len(t0) = 0" if profile == "temporal" else "needs"
     flagged = "due AND amb" if profile == "temporal" else "false"
@@ -41,10 +44,11 @@ def track_steps(cut: float, *, max_faces: int = 2, profile: str = "temporal") ->
 cands AS (SELECT v.*, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY similarity DESC, coalesce(det_score, 0) DESC, w * h DESC, det_id) AS i FROM v_sim v JOIN survivors USING (video_id, frame_index, det_id)),
 listed AS (SELECT video_id, frame_index, list({{'i': i, 'det': det_id, 'sim': similarity, {_BOX.format('cands')}}} ORDER BY i) AS cands FROM cands GROUP BY video_id, frame_index),
 tops AS (SELECT video_id, frame_index, max(similarity) AS top FROM v_sim WHERE similarity IS NOT NULL GROUP BY video_id, frame_index),
-cuts AS (SELECT video_id, frame_index, coalesce({DISTANCE} >= {cut}, false) AS cut FROM ({HIST_PAIRS}) h),
+cuts AS (SELECT video_id, frame_index, coalesce({DISTANCE} >= {cut}, false) AS cut, false AS gone FROM ({HIST_PAIRS.replace("v_hist", f"(SELECT * FROM v_hist WHERE NOT ({lost})) x")}) h
+  UNION ALL SELECT video_id, frame_index, false, true FROM v_hist WHERE {lost}),
 inp AS MATERIALIZED (
-  SELECT c.video_id, c.frame_index, c.cut, row_number() OVER (PARTITION BY c.video_id ORDER BY c.frame_index) AS k, {ambiguous} AS amb, tops.top,
-         coalesce(l.cands, []) AS cands, {_MOTION}
+  SELECT c.video_id, c.frame_index, c.cut, c.gone, row_number() OVER (PARTITION BY c.video_id ORDER BY c.frame_index) AS k, NOT c.gone AND {ambiguous} AS amb,
+         CASE WHEN NOT c.gone THEN tops.top END AS top, CASE WHEN c.gone THEN [] ELSE coalesce(l.cands, []) END AS cands, {_MOTION.replace("CASE WHEN ", "CASE WHEN NOT c.gone AND ", 1)}
   FROM cuts c LEFT JOIN tops USING (video_id, frame_index) LEFT JOIN listed l USING (video_id, frame_index)
   LEFT JOIN v_motion m USING (video_id, frame_index) LEFT JOIN v_ambiguous a USING (video_id, frame_index)),
 step AS (

@@ -180,6 +180,10 @@ class LiveTrack(_InOrder):
     """The batch tracker with its state kept between batches: tracks, next id and last histogram per video."""
 
     index = "frame_index"
+    columns = (
+        "video_id", "frame_index", "scene_id", "scene_cut", "detection_due", "full_scan", "redetected",
+        "used_motion", "ambiguous", "similarity", "instances",
+    )
 
     def __init__(self, config: TrackConfig):
         self.config = config
@@ -189,10 +193,20 @@ class LiveTrack(_InOrder):
         self._tracker = handle.getValueState("tracker", "snapshot string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = self._tracked(key, self.ready(rows))
+        if out:
+            yield pd.DataFrame(out, columns=list(self.columns))
+
+    def _tracked(self, key, records: Iterator[dict]) -> list[tuple]:
         saved = json.loads(self._tracker.get()[0]) if self._tracker.exists() else {}
         fold, last, scene = TrackFold(self.config, saved.get("fold")), saved.get("hist"), saved.get("scene", 0)
         out = []
-        for record in self.ready(rows):
+        for record in records:
+            lost = record.get("lost", 0)
+            for frame in range(int(record["frame_index"]) - lost, int(record["frame_index"])):
+                if not fold.tracks:
+                    break
+                fold.step(frame, False, False, None, [], None)  # nothing is known of it, so every track has missed it
             hist = json.loads(record["hist"])
             cut = last is not None and histogram_distance(last, hist) >= self.config.cut_threshold
             scene, last = scene + int(cut), hist
@@ -201,29 +215,104 @@ class LiveTrack(_InOrder):
             candidates = json.loads(record["candidates"] or "[]")
             motion = json.loads(record["motion"] or "null")
             step = fold.step(int(record["frame_index"]), cut, bool(record["ambiguous"]), top, candidates, motion)
-            out.append((key[0], int(record["frame_index"]), scene, *step))
+            out.append((key[0], int(record["frame_index"]), scene, *step, *([lost] if "lost_before" in self.columns else [])))
         self._tracker.update(
             (json.dumps({"fold": fold.snapshot(), "hist": last, "scene": scene}, default=_plain),)
         )
-        if out:
-            yield pd.DataFrame(out, columns=[
-                "video_id", "frame_index", "scene_id", "scene_cut", "detection_due", "full_scan", "redetected",
-                "used_motion", "ambiguous", "similarity", "instances",
-            ])
+        return out
+
+
+class PatientTrack(LiveTrack):
+    """Live tracking that gives up frames which do not come.
+
+    A frame that waits behind a gap sets a timer at its own time and ``patience_ms``. When the watermark has passed that,
+    the missing frames before it are lost: tracks miss them, the count goes with the next frame, and what
+    waits moves on. A video without a frame for ``keep_ms`` is forgotten, so state is bounded by what is awaited.
+    """
+
+    columns = (*LiveTrack.columns, "lost_before")
 
+    def __init__(self, config: TrackConfig, patience_ms: int, keep_ms: int):
+        super().__init__(config)
+        self.patience_ms, self.keep_ms = patience_ms, keep_ms
 
-def stream_track(stream: DataFrame, config: TrackConfig) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._handle = handle
+        self._latest = handle.getValueState("latest", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batches = list(rows)
+        newest = max((int(batch["at_ms"].max()) for batch in batches if len(batch)), default=0)
+        out = self._tracked(key, self.ready(iter(batches)))
+        if not self._latest.exists() or newest > self._latest.get()[0]:
+            self._latest.update((newest,))
+            self._handle.registerTimer(newest + self.keep_ms)
+        self._wait()
+        yield pd.DataFrame(out, columns=list(self.columns))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        out = self._tracked(key, self._given_up(now))
+        if self._held.exists() and self._held.get()[0]:
+            self._wait()
+        elif self._latest.exists() and now >= self._latest.get()[0] + self.keep_ms:
+            for state in (self._next, self._held, self._tracker, self._latest):
+                state.clear()
+        yield pd.DataFrame(out, columns=list(self.columns))
+
+    def _waiting(self) -> list[int]:
+        return sorted(k[0] for k in self._early.keys())
+
+    def _wait(self) -> None:
+        """A timer for the first frame that waits behind the gap."""
+        if self._held.exists() and self._held.get()[0]:
+            first = json.loads(self._early.getValue((self._waiting()[0],))[0])
+            self._handle.registerTimer(int(first["at_ms"]) + self.patience_ms)
+
+    def _given_up(self, now: int) -> Iterator[dict]:
+        """Waiting frames in order: the first has waited long enough, those behind follow or have waited as well."""
+        expected, held = self._next.get()[0] if self._next.exists() else 0, 0
+        left = self._waiting()
+        for place, at in enumerate(left):
+            record = json.loads(self._early.getValue((at,))[0])
+            if at > expected and int(record["at_ms"]) + self.patience_ms > now:
+                held = len(left) - place
+                break
+            self._early.removeKey((at,))
+            yield record | {"lost": at - expected}
+            expected = at + 1
+        if left:
+            self._next.update((expected,))
+            self._held.update((held,))
+
+
+def stream_track(
+    stream: DataFrame, config: TrackConfig, *, ts: str | None = None, patience: float = 2.0, keep: float = 3600.0,
+    delay: str = "0 seconds",
+) -> DataFrame:
     """Track as frames arrive. Rows as ``tracking.tracking_input`` makes them, with ``hist``.
 
+    A missing frame holds back what follows it. With a time column ``ts`` it does so for ``patience`` seconds of event
+    time; then it is given up and counted in ``lost_before`` of the next frame (see ``PatientTrack``); a frame that comes
+    after that is dropped. State of a video ends ``keep`` seconds after its last frame.
+
     Nested columns go to Python as JSON, the form in which early rows are kept as well.
     """
+    from framelens.streaming.jobs import timed
+
     kind = stream.schema["video_id"].dataType.simpleString()
-    rows = stream.select(
+    schema = (
+        f"video_id {kind}, frame_index long, scene_id long, scene_cut boolean, detection_due boolean, full_scan boolean, "
+        f"redetected boolean, used_motion boolean, ambiguous boolean, similarity double, instances array<{INSTANCE}>"
+    )
+    columns = [
         "video_id", "frame_index", "ambiguous", "top_similarity",
         *(F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in ("hist", "candidates", "motion")),
-    )
+    ]
+    if ts is None:
+        return stateful(stream.select(*columns), ["video_id"], LiveTrack(config), schema)
+    rows = timed(stream, delay, ts).select(*columns, ts, F.unix_millis(ts).alias("at_ms"))
     return stateful(
-        rows, ["video_id"], LiveTrack(config),
-        f"video_id {kind}, frame_index long, scene_id long, scene_cut boolean, detection_due boolean, full_scan boolean, "
-        f"redetected boolean, used_motion boolean, ambiguous boolean, similarity double, instances array<{INSTANCE}>",
+        rows, ["video_id"], PatientTrack(config, int(patience * 1000), int(keep * 1000)), f"{schema}, lost_before long", time_mode="EventTime"
     )

@@ -31,7 +31,7 @@ def test_live_tracking_equals_batch(spark, tmp_path, max_faces):
     config = TrackConfig(min_similarity=0.3, max_missing=2, max_faces=max_faces, detection_interval=4, cut_threshold=0.2, width=240, height=80)
     frames, detections = frames_of(spark, 60, hists), spark.createDataFrame(faces, DET)
     moves = spark.createDataFrame(motion, "video_id long, frame_index long, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double")
-    rows = tracking.tracking_input(frames, detections, moves, config).join(frames, ["video_id", "frame_index"])
+    rows = tracking.tracking_input(frames, tracking.frame_candidates(detections, config), moves, config).join(frames, ["video_id", "frame_index"])
     path = staged(rows, tmp_path / "frames", [F.col("frame_index") % 2 == r for r in (1, 0)])
     live = jobs.run_available(processors.stream_track(jobs.stream_files(spark, path, max_files=1), config), "t")
     show = lambda df: sorted(
@@ -74,3 +74,22 @@ def test_late_rows_are_counted(spark, tmp_path):
     path = staged(df, tmp_path / "in", [F.col("i") == i for i in range(5)])
     rows, late = jobs.run_counted(jobs.stream_sliding(jobs.stream_files(spark, path, max_files=1), "1 hour", "1 hour"), "t")
     assert late == 1 and sum(r["count"] for r in rows.collect()) == 3
+
+
+def test_a_lost_frame_delays_and_is_given_up(spark, tmp_path):
+    faces, motion, hists = random_video(3, n=60)
+    config = TrackConfig(min_similarity=0.3, max_missing=3, max_faces=2, detection_interval=2, cut_threshold=0.2, width=240, height=80)
+    gone = {7, 8, 20}
+    known = [i for i in range(60) if i not in gone]
+    frames = frames_of(spark, 60, hists)
+    detections = spark.createDataFrame([f for f in faces if f[1] not in gone], DET)
+    moves = spark.createDataFrame([m for m in motion if m[1] not in gone], "video_id long, frame_index long, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double")
+    batch = {r.frame_index: (r.ambiguous, round(r.similarity, 9), [(i.det_id, i.track_id, round(i.x1, 6)) for i in r.instances]) for r in tracking.track(frames, detections, moves, config).collect()}
+    shown = frames.filter(F.col("frame_index").isin(known))
+    rows = tracking.tracking_input(shown, tracking.frame_candidates(detections, config), moves, config).join(shown, ["video_id", "frame_index"]).withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1000))
+    path = staged(rows, tmp_path / "frames", [(F.col("frame_index") >= a) & (F.col("frame_index") < b) for a, b in ((0, 10), (10, 25), (25, 60))])
+    live = jobs.run_available(processors.stream_track(jobs.stream_files(spark, path, max_files=1), config, ts="ts", patience=3, keep=5), "t").collect()
+    assert {r.frame_index: (r.ambiguous, round(r.similarity, 9), [(i.det_id, i.track_id, round(i.x1, 6)) for i in r.instances]) for r in live} == {f: batch[f] for f in known}
+    assert {r.frame_index: r.lost_before for r in live if r.lost_before} == {9: 2, 21: 1} and len(live) == len(known)
+    waits = jobs.run_available(processors.stream_track(jobs.stream_files(spark, path, max_files=1), config), "t").collect()
+    assert max(r.frame_index for r in waits) == 6  # without a time column a gap holds
