@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from framelens.session import bounded
+
 FRAMES_PER_BUCKET = 4096
 BUCKET, KEY = "_bucket", "_key_of_row"
 NO_ORDER = -(2**62)
+#: Rows of a key that stay in one bucket, and buckets a heavier key is cut into.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 256
 
 
 def frame_bucket(index: Column | str, size: int = FRAMES_PER_BUCKET) -> Column:
@@ -32,6 +36,24 @@ def time_bucket(ts: Column | str, seconds: int = 86400) -> Column:
     return F.floor(F.unix_micros(column.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def even_buckets(df: DataFrame, keys: Sequence[str], value: Column, name: str, *, depth: int = BUCKET_ROWS) -> DataFrame:
+    """Add a bucket of about equal depth that never decreases along ``value``, a number; for use as ``bucket`` below.
+
+    Keys of at most ``depth`` rows are one bucket, so they cost nothing but a count. Heavier ones are cut at quantiles of a
+    mergeable sketch, however their rows crowd together; only equal values stay together.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.withColumns({KEY: key, "_value": value})
+    heavy = bounded(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > depth).drop("_n"))
+    if heavy.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    shares = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    borders = rows.join(heavy, KEY).groupBy(KEY).agg(F.array_distinct(F.percentile_approx("_value", shares, 20 * MOST_BUCKETS)).alias("_borders"))
+    cut = rows.join(bounded(borders), KEY, "left")
+    passed = F.size(F.filter("_borders", lambda b: b < F.col("_value")))
+    return cut.withColumn(name, F.when(F.col("_borders").isNotNull(), passed).otherwise(F.lit(0)).cast("long")).select(*df.columns, name)
+
+
 def _order(order: str | Sequence[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 

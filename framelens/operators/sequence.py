@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framelens.functions import bhattacharyya, mean_abs_difference
 from framelens.operators import ordered
 from framelens.operators.ordered import frame_bucket
 from framelens.operators.quantiles import exact_percentile
+from framelens.operators.windows import in_bins
 from framelens.session import cut_lineage
 
 MAX_SMOOTHING = 0.98
@@ -109,22 +113,39 @@ def ema(
     )
     entering = entering.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, ordered.BUCKET)})
     joined = ordered.join_null_safe(cut, entering, [*keys, ordered.BUCKET]).withColumns({f"_key_{k}": F.col(k) for k in keys})
-    names = df.columns
-    at_value, at_restart = names.index(value), names.index(restart)
-
-    def smooth(state, row):
-        *values, start = row
-        before = state[0] if state else start
-        x = float(values[at_value])
-        now = x if values[at_restart] else alpha * before + (1.0 - alpha) * x
-        state[:] = [now]
-        return [(*values, now)]
-
-    out_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields) + f"`{name}` double"
-    return ordered.fold_sorted(
-        joined, [*(f"_key_{k}" for k in keys), ordered.BUCKET], [index], [*names, "_entering"], lambda key: [], smooth,
-        out_schema,
-    )
+    names, marks = df.columns, [*(f"_key_{k}" for k in keys), ordered.BUCKET]
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, entered, group = (batch.column(batch.schema.get_field_index(c)) for c in (value, "_entering", "_group"))
+            x, entered, group = (c.to_numpy(zero_copy_only=False) for c in (x.cast(pa.float64()), entered, group))
+            begins = np.append(group[0] != before, group[1:] != group[:-1])
+            restarts = batch.column(names.index(restart)).to_numpy(zero_copy_only=False).astype(bool)
+            offset = np.where(restarts, x, (1.0 - alpha) * x + np.where(begins, alpha * entered, 0.0))
+            gain = np.where(restarts | begins, 0.0, alpha)
+            offset[0] += gain[0] * last
+            now = affine_scan(gain, offset)
+            before, last = group[-1], now[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(now, from_pandas=True)], names=[*names, name])
+
+    # groups of a sorted partition are told apart by a hash of key and bucket and by their order
+    grouped = joined.withColumn("_group", F.xxhash64(*(F.coalesce(F.col(m).cast("string"), F.lit("")) for m in marks), *(F.col(m).isNull() for m in marks)))
+    arranged = grouped.repartition(*marks).sortWithinPartitions(*marks, index).select(*names, "_entering", "_group")
+    return arranged.mapInArrow(smooth, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+
+
+def affine_scan(gain: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """s[i] = gain[i] * s[i - 1] + offset[i] from s[-1] = 0, by composing steps over distances 1, 2, 4 and so on."""
+    gain, offset, reach = gain.copy(), offset.copy(), 1
+    while reach < len(gain) and gain[reach:].any():
+        goes_on = gain[reach:] != 0  # what is not a number ends where a sequence starts over
+        offset[reach:] += np.where(goes_on, gain[reach:] * np.where(goes_on, offset[:-reach], 0.0), 0.0)
+        gain[reach:] *= gain[:-reach].copy()
+        reach *= 2
+    return offset
 
 
 def frame_pair_join(
@@ -227,12 +248,11 @@ def pose_for_range(
 ) -> DataFrame:
     """Median yaw and pitch of each clip over its located, unambiguous frames; 0, 0 when there is none.
 
-    Clips are expanded to their frames, so this is an equality join; a clip is at most one window long.
+    Clips and frames meet in bins (``windows.in_bins``); a clip is at most one window long.
     """
-    span = F.sequence(F.col("start_frame"), F.col("start_frame") + F.col("valid_frames") - 1)
-    per_frame = clips.select(key, *clip_keys, F.explode(span).alias("frame_index"))
     usable = track.filter(F.col("located") & ~F.col("ambiguous")).select(key, "frame_index", "yaw", "pitch")
-    medians = per_frame.hint("merge").join(usable, [key, "frame_index"]).groupBy(key, *clip_keys).agg(
+    spans = clips.select(key, *clip_keys, "start_frame", "valid_frames")
+    medians = in_bins(spans, usable, key=key).groupBy(key, *clip_keys).agg(
         F.percentile("yaw", F.lit(0.5)).alias("yaw"), F.percentile("pitch", F.lit(0.5)).alias("pitch")
     )
     zero = F.lit(0.0)

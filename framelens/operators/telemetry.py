@@ -196,11 +196,15 @@ def dedupe_exceptions(logs: DataFrame, *, keys: Sequence[str], order: Sequence[s
 
 def stalled_runs(
     heartbeats: DataFrame, interval: float, *, tolerance: float = 2.0, key: str = "run_id", ts: str = "ts",
-    tie: str = "event_id",
+    tie: str = "event_id", depth: int = ordered.BUCKET_ROWS,
 ) -> DataFrame:
-    """Heartbeats that came more than ``tolerance`` intervals after the one before."""
-    lagged = ordered.ordered_lag(heartbeats, [key], [ts, tie], time_bucket(ts), {"_before": F.col(ts)})
+    """Heartbeats that came more than ``tolerance`` intervals after the one before.
+
+    A run of more than ``depth`` heartbeats is cut at quantiles of time, so it spreads even if all of them fall on a day.
+    """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    placed = ordered.even_buckets(heartbeats, [key], micros(ts), "_part", depth=depth)
+    lagged = ordered.ordered_lag(placed, [key], [ts, tie], F.col("_part"), {"_before": F.col(ts)}).drop("_part")
     gap = (micros(ts) - micros("_before")) / 1e6
     return lagged.withColumn("gap_seconds", gap).filter(gap > interval * tolerance).drop("_before")
 

@@ -14,6 +14,8 @@ from framelens.session import cut_lineage
 
 #: Frames of a video that one task plans; longer videos are planned in pieces.
 PIECE_FRAMES = 16_384
+#: Frames of a bin in which windows and frames meet; a usual window reaches two.
+BIN_FRAMES = 64
 
 
 @dataclass(frozen=True)
@@ -214,8 +216,19 @@ def clip_frame_index(clips: DataFrame) -> DataFrame:
     )
 
 
+def in_bins(clips: DataFrame, frames: DataFrame, *, key: str = "video_id") -> DataFrame:
+    """Pairs of a window and a frame in it. Windows are filed in the bins of ``BIN_FRAMES`` frames they reach, frames in their
+    own, so what is shuffled are windows and frames, not a row per window and frame; each pair meets in one bin."""
+    own = lambda at: F.floor(at / BIN_FRAMES).cast("long")
+    last = F.col("start_frame") + F.col("valid_frames") - 1
+    filed = clips.filter(F.col("valid_frames") > 0).withColumn("_bin", F.explode(F.sequence(own(F.col("start_frame")), own(last))))
+    placed = frames.withColumn("_bin", own(F.col("frame_index")))
+    met = filed.hint("merge").join(placed, [key, "_bin"])
+    return met.filter((F.col("frame_index") >= F.col("start_frame")) & (F.col("frame_index") <= last)).drop("_bin")
+
+
 def clip_frames(clips: DataFrame, frames: DataFrame, *, key: str = "video_id") -> DataFrame:
-    return clip_frame_index(clips).hint("merge").join(frames, [key, "frame_index"])
+    return in_bins(clips, frames, key=key).withColumn("offset", F.col("frame_index") - F.col("start_frame"))
 
 
 def pad_to_length(clip_values: DataFrame, n: int, *, keys=("video_id", "clip_index"), value: str = "value"):

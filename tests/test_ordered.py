@@ -167,3 +167,29 @@ def test_span_tree_keeps_orphans_and_circles(spark):
     assert all(got["r", str(i)].depth == i and got["r", str(i)].root == "0" for i in range(40)) and got["r", "3"].path == "0/1/2/3"
     assert [got["r", s].complete for s in ("39", "lost", "under", "x", "y", "hang")] == [True, False, False, False, False, False]
     assert got["r", "x"].root is None and got[None, "m"].root == "n"
+
+
+def test_one_day_of_one_run_spreads(spark):
+    rng = random.Random(6)
+    rows = [(k, (k or 0) * 10**6 + i, t) for k, n in ((1, 6000), (2, 40), (None, 700)) for i, t in enumerate(sorted(int(10**9 * rng.random() ** 4) for _ in range(n)))]
+    rows += [(1, 9 * 10**6 + i, 12345) for i in range(300)]  # many at one time
+    df = spark.createDataFrame(rows, "run_id long, event_id long, us long").withColumn("ts", F.timestamp_micros("us"))
+    placed = ordered.even_buckets(df, ["run_id"], F.col("us"), "part", depth=500)
+    sizes = {(r.run_id, r.part): (r["n"], r.low, r.high) for r in placed.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.min("us").alias("low"), F.max("us").alias("high")).collect()}
+    own = sorted((p, *v) for (k, p), v in sizes.items() if k == 1)
+    assert len(own) > 50 and max(n for _, n, _, _ in own) < 500 and all(a[3] < b[2] for a, b in zip(own, own[1:]))
+    assert len([1 for k, _ in sizes if k == 2]) == 1 and len([1 for k, _ in sizes if k is None]) > 50
+    show = lambda depth: sorted((str(r.run_id), r.event_id, r.gap_seconds) for r in telemetry.stalled_runs(df, 0.5, depth=depth).collect())
+    assert show(300) == show(10**6) and len(show(300)) > 20
+
+
+def test_affine_scan():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 1000):
+        gain, offset = np.where(rng.random(n) < 0.1, 0.0, 0.8), rng.normal(size=n)
+        offset[n // 2] = np.nan
+        now, want = 0.0, []
+        for g, o in zip(gain, offset):
+            now = (g * now if g else 0.0) + o
+            want.append(now)
+        assert np.allclose(sequence.affine_scan(gain, offset), want, equal_nan=True)
