@@ -282,7 +282,8 @@ class CountTree:
         if len(sizes) <= FAN:
             self.order = np.arange(len(sizes))
         else:
-            widest = np.argsort(-points.var(0))[:2]
+            squares = np.einsum("ij,ij->j", points, points, dtype=np.float64, casting="unsafe")  # without a copy as floats
+            widest = np.argsort(points.mean(0) ** 2 - squares / len(points))[:2]
             tile = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (FAN * FAN)
             self.order = np.lexsort((points[:, widest[1]], points[:, widest[0]], tile))
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]

@@ -29,6 +29,8 @@ from framelens.llm.common import SpanHashes, flat_text, lean, runs_of_documents,
 TOKENS = 2048
 END_ID = 0
 CACHE_CHUNKS = 1 << 20
+#: Bytes of text that a task takes at once.
+BLOCK = 1 << 19
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
@@ -112,7 +114,7 @@ def pieces(documents: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_i
         chunk, seen = TaskContext.get().partitionId(), np.zeros(tokens + 1, np.int64)
         for batch in batches:
             data, offsets = flat_text(batch.column(batch.num_columns - 1))
-            for a, b in runs_of_documents(offsets):
+            for a, b in runs_of_documents(offsets, BLOCK):
                 ids, begin = held.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sizes = np.diff(begin) + 1
                 each = -(-sizes // tokens)
