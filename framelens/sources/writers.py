@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,31 +27,93 @@ def stream_jsonl(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-SHARDS = 64
+#: Bytes of documents a shard should hold, and the pointer to the version that counts.
+SHARD_BYTES, CURRENT = 64 << 20, "_current"
+
 
+def write_documents(
+    df: DataFrame, directory: str, *, name: str, document: str = "document", shard_bytes: int = SHARD_BYTES
+) -> None:
+    """JSON lines (name, document) in shards by hash of the name, in a committed version of the folder.
 
-def write_documents(df: DataFrame, directory: str, *, name: str, document: str = "document", shards: int = SHARDS) -> None:
-    """JSON lines (name, document) in ``shards`` folders by hash of the name, so a folder has few files at any size.
+    A name is written once: its row replaces the one already there, a second write of the same rows changes nothing. Of
+    rows that share a name the greatest document stays. Shards that ``df`` touches are written beside the old ones;
+    then one file, ``_current``, which lists the shards, is replaced in one step. Readers see the old documents or the new
+    ones, and a write that fails or is killed leaves the old ones. The version read is checked again before the
+    step, so of two writers at once the later fails instead of losing the other's documents.
 
-    A name is written once: shards touched by ``df`` are written anew with its rows over those already there, the
-    others stay as they are; a second write of the same rows changes nothing. Of rows that share a name the greatest
-    document stays.
+    There are as many shards as the documents fill; when they outgrow them fourfold, all are written anew.
     """
     spark = df.sparkSession
     new = df.select(F.col(name).alias("name"), F.col(document).alias("document")).groupBy("name").agg(F.max("document").alias("document"))
-    new = new.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    where = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        new = cut_lineage(new)
-        touched = F.broadcast(new.select("shard").distinct())  # at most one row a shard
-        old = read_documents(spark, directory).join(touched, "shard", "left_semi")
-        new = cut_lineage(new.unionByName(old.join(new.select("name"), "name", "left_anti").select(new.columns)))
-    new.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(directory)
+    new = cut_lineage(new)
+    size = new.agg(F.sum(F.octet_length("name") + F.octet_length("document"))).first()[0] or 0
+    seen = _version(spark, directory)
+    held = seen["bytes"] if seen else 0
+    count = len(seen["shards"]) if seen else 0
+    wanted = max(1, -(-(size + held) // shard_bytes))
+    anew = not count or wanted > 4 * count
+    count = wanted if anew else count
+    new = new.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(count)).cast("int"))
+    if seen:
+        old = read_documents(spark, directory).withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(count)).cast("int"))
+        if not anew:
+            touched = {row["shard"] for row in new.select("shard").distinct().collect()}  # at most one row a shard
+            old = old.filter(F.col("shard").isin(sorted(touched)))
+        new = new.unionByName(old.join(new.select("name"), "name", "left_anti").select("name", "document", "shard"))
+    version = f"version-{uuid.uuid4().hex}"
+    new.repartition(count, "shard").write.partitionBy("shard").json(f"{directory}/{version}")
+    written = spark.read.schema("name string, document string, shard int").json(f"{directory}/{version}").groupBy("shard").agg(
+        F.sum(F.octet_length("name") + F.octet_length("document")).alias("bytes")
+    ).collect() if _exists(spark, f"{directory}/{version}") else []
+    before = {} if anew or not seen else {int(k): v for k, v in seen["shards"].items()}
+    shards = {k: before.get(k) for k in range(count)} | {row["shard"]: [f"{version}/shard={row['shard']}", row["bytes"]] for row in written}
+    _commit(spark, directory, {"shards": shards, "bytes": sum(v[1] or 0 for v in shards.values() if v), "version": version}, seen)
 
 
 def read_documents(spark: SparkSession, directory: str) -> DataFrame:
-    """``name, document, shard`` of what ``write_documents`` wrote."""
-    return spark.read.schema("name string, document string, shard int").json(directory)
+    """``name, document`` of the committed version of what ``write_documents`` wrote."""
+    version = _version(spark, directory)
+    paths = [f"{directory}/{v[0]}" for v in version["shards"].values() if v] if version else []
+    schema = "name string, document string"
+    return spark.read.schema(schema).json(paths) if paths else spark.createDataFrame([], schema)
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, where: str) -> bool:
+    path, system = _path(spark, where)
+    return system.exists(path)
+
+
+def _version(spark: SparkSession, directory: str) -> dict | None:
+    """The committed list of shards; small, one entry a shard."""
+    path, system = _path(spark, f"{directory}/{CURRENT}")
+    if not system.exists(path):
+        return None
+    source = system.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def _commit(spark: SparkSession, directory: str, version: dict, seen: dict | None) -> None:
+    now = _version(spark, directory)
+    if (now or {}).get("version") != (seen or {}).get("version"):
+        raise RuntimeError(f"{directory} was written by another job meanwhile; its documents stay as that job left them")
+    beside, system = _path(spark, f"{directory}/_{version['version']}")
+    out = system.create(beside, True)
+    out.write(bytearray(json.dumps(version).encode()))
+    out.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, fs.Path(f"{directory}/{CURRENT}"), overwrite)
 
 
 def write_manifests(manifests: DataFrame, directory: str) -> None:

@@ -141,3 +141,32 @@ def test_detector_table_function(spark):
     spark.createDataFrame([(1, bytearray(b"abc"))], "id long, content binary").createOrReplaceTempView("images_test")
     row = spark.sql("SELECT id, d.x1, d.det_score, d.y1 FROM images_test, LATERAL detect_test(content) d").collect()[0]
     assert tuple(row) == (1, 3.0, 0.9, None)
+
+
+def test_a_failed_write_leaves_the_old_documents(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "docs")
+    show = lambda: {(r.name, r.document) for r in writers.read_documents(spark, target).collect()}
+    frame = lambda rows: spark.createDataFrame(rows, "name string, document string")
+    assert show() == set()
+    writers.write_documents(frame([(f"n{i}", "x" * 50) for i in range(40)]), target, name="name", shard_bytes=500)
+    first = show()
+    assert len(first) == 40 and len(writers._version(spark, target)["shards"]) == 5
+    broken = frame([("n1", "new"), ("n2", "new")]).withColumn("document", F.expr("CASE WHEN name = 'n2' THEN raise_error('killed') ELSE document END"))
+    with pytest.raises(Exception, match="killed"):
+        writers.write_documents(broken, target, name="name", shard_bytes=500)
+    assert show() == first
+    # killed after the files are written, before the step
+    with monkeypatch.context() as patch:
+        patch.setattr(writers, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError, match="stopped"):
+            writers.write_documents(frame([("n1", "new")]), target, name="name", shard_bytes=500)
+    assert show() == first
+    seen = writers._version(spark, target)
+    writers.write_documents(frame([("n1", "new"), ("m", "{}")]), target, name="name", shard_bytes=500)
+    assert show() == (first - {("n1", "x" * 50)}) | {("n1", "new"), ("m", "{}")}
+    with pytest.raises(RuntimeError, match="meanwhile"):  # a writer that read the version before
+        writers._commit(spark, target, seen, seen)
+    writers.write_documents(frame([(f"k{i}", "y" * 50) for i in range(400)]), target, name="name", shard_bytes=500)
+    assert len(show()) == 441 and len(writers._version(spark, target)["shards"]) > 20
+    writers.write_documents(frame([]), target, name="name", shard_bytes=500)
+    assert len(show()) == 441
