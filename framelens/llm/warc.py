@@ -28,6 +28,8 @@ from framelens.session import scratch_path
 
 #: Neighbouring ranges at most so far apart are read at once, up to about so many bytes.
 GAP, READ = 1 << 16, 8 << 20
+#: Bytes of archives that one task reads.
+TASK_BYTES = 8 << 20
 _INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
 
 
@@ -143,7 +145,10 @@ def read_records(index: DataFrame) -> DataFrame:
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # the rows of an index are small whatever the records behind them are, so tasks are dealt out by the bytes to read
+    size = index.agg(F.sum("length")).first()[0] or 0
+    chosen = index.select("file", "offset", "length").repartitionByRange(max(1, -(-size // TASK_BYTES)), "file", "offset")
+    placed = chosen.sortWithinPartitions("file", "offset")
     return placed.mapInArrow(task, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
