@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from framelens.functions import crossfade_weight, window_seed
 from framelens.operators import ordered
@@ -67,56 +71,56 @@ def plan_windows(
     if cuts is None or not plan.scene_aware or not plan.chunking:
         return _regular_windows(headers, plan, key)
     key_type = videos.schema[key].dataType.simpleString()
-    size, none = max(piece_frames, plan.frame_num), F.lit(None).cast("long")
+    size = max(piece_frames, plan.frame_num)
     last = F.floor((F.greatest("n", F.lit(1)) - 1) / size).cast("long")
-    heads = headers.select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), F.lit(-1).cast("long").alias("pos"), "n")
+    heads = headers.select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), "n")
     pos = F.col("cut").cast("long")
     seen_from = F.sequence(F.floor(F.greatest(F.lit(0), pos - plan.frame_num + 1) / size).cast("long"), F.floor((pos - 1) / size).cast("long"))
     marks = cuts.filter(pos > 0).select(key, F.explode(seen_from).alias("piece"), pos.alias("pos"))
     start = heads.withColumns({"entry": F.lit(0).cast("long"), "clip": F.lit(0).cast("long")})
     if not videos.filter(n > size).limit(1).isEmpty():
         in_pieces = headers.filter(F.col("n") > size).select(F.col(key).alias(f"_of_{key}"))
-        long = ordered.join_null_safe(heads.unionByName(marks.withColumn("n", none)), in_pieces, [key], "left_semi")
-        entries = _entries(_crossings(long, plan, size, key, key_type), key, key_type)
+        long = start.filter(F.col("n") > size)
+        entries = _entries(_crossings(long, ordered.join_null_safe(marks, in_pieces, [key], "left_semi"), plan, size, key, key_type), key, key_type)
         entries = entries.withColumnsRenamed({c: f"_of_{c}" for c in (key, "piece")})
         start = start.filter(F.col("n") <= size).unionByName(ordered.join_null_safe(heads.filter(F.col("n") > size), entries, [key, "piece"]))
-    rows = start.unionByName(marks.withColumns({"n": none, "entry": none, "clip": none}))
-
-    def finish(state):
-        if state.n is None:
-            return
-        here, clip = state.first + state.entry, state.clip
-        if not state.piece:
-            yield (state.key, 0, 0, min(plan.frame_num, state.n), 0, False)
-        while here < state.first + size and here + plan.frame_num < state.n:
-            following, hard = _next_start(here, state.cuts, state.n, plan)
+
+    def windows(video, piece, n, entry, clip, near):
+        here, stop = piece * size + entry, (piece + 1) * size
+        if not piece:
+            yield video, 0, 0, min(plan.frame_num, n), 0, False
+        while here < stop and here + plan.frame_num < n:
+            following, hard = _next_start(here, near, n, plan)
             clip += 1
-            yield (state.key, clip, following, min(plan.frame_num, state.n - following), max(0, here + plan.frame_num - following), hard)
+            yield video, clip, following, min(plan.frame_num, n - following), max(0, here + plan.frame_num - following), hard
             here = following
 
-    placed = ordered.fold_sorted(
-        rows, [key, "piece"], ["pos"], ["pos", "n", "entry", "clip"], lambda k: _Piece(*k, size), _Piece.take,
-        f"`{key}` {key_type}, clip_index long, start_frame long, valid_frames long, overlap_before long, "
-        "hard_cut_before boolean",
-        finish=finish,
+    placed = _by_piece(
+        start, marks, key, windows,
+        f"`{key}` {key_type}, clip_index long, start_frame long, valid_frames long, overlap_before long, hard_cut_before boolean",
     )
     return placed.withColumn("seed", window_seed(F.col("start_frame"), plan.seed, plan.seed_mode))
 
 
-class _Piece:
-    """What a task knows of a piece: the video's length, where the plan enters, and the cuts in reach, ascending."""
+def _by_piece(heads: DataFrame, marks: DataFrame, key: str, made, schema: str) -> DataFrame:
+    """Rows that ``made`` yields from each piece: video, piece, length, entry, clip and the cuts in reach, ascending.
+
+    Heads and cuts meet in one aggregate; a piece has no more distinct cuts than frames.
+    """
+    none = F.lit(None).cast("long")
+    rows = heads.withColumn("pos", none).unionByName(marks.withColumns({"n": none, "entry": none, "clip": none}))
+    pieces = rows.groupBy(key, "piece").agg(
+        *(F.max(c).alias(c) for c in ("n", "entry", "clip")), F.sort_array(F.collect_set("pos")).alias("near")
+    ).filter(F.col("n").isNotNull())
+    made_schema = to_arrow_schema(StructType.fromDDL(schema))
 
-    def __init__(self, key, piece: int, size: int):
-        self.key, self.piece, self.first = key, piece, piece * size
-        self.n, self.entry, self.clip, self.cuts = None, 0, 0, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [row for piece in zip(*(c.to_pylist() for c in batch.columns)) for row in made(*piece)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made_schema)], schema=made_schema)
 
-    def take(self, row: tuple) -> tuple:
-        pos, n, *entered = row
-        if pos < 0:
-            self.n, (self.entry, self.clip) = n, entered or (0, 0)
-        elif not self.cuts or self.cuts[-1] != pos:
-            self.cuts.append(pos)
-        return ()
+    return pieces.mapInArrow(run, schema)
 
 
 def _next_start(here: int, cuts: list[int], n: int, plan: WindowPlan) -> tuple[int, bool]:
@@ -127,30 +131,25 @@ def _next_start(here: int, cuts: list[int], n: int, plan: WindowPlan) -> tuple[i
     return (min(near, key=lambda c: (abs(c - wanted), c)), True) if near else (wanted, False)
 
 
-def _crossings(rows: DataFrame, plan: WindowPlan, size: int, key: str, key_type: str) -> DataFrame:
+def _crossings(heads: DataFrame, marks: DataFrame, plan: WindowPlan, size: int, key: str, key_type: str) -> DataFrame:
     """Per piece and entry frame: the frame of the next piece the plan enters (-1 if it ends here), and windows placed."""
 
-    def finish(state):
-        if state.n is None:
-            return ()
-        stop, known = state.first + size, {}
-        for entry in range(min(plan.frame_num, state.n - state.first)):
-            path, here = [], state.first + entry
-            while here < stop and here not in known and here + plan.frame_num < state.n:
+    def table(video, piece, n, entry, clip, near):
+        first, stop, known = piece * size, (piece + 1) * size, {}
+        entries = range(first, first + min(plan.frame_num, n - first))
+        for start in entries:
+            path, here = [], start
+            while here < stop and here not in known and here + plan.frame_num < n:
                 path.append(here)
-                here = _next_start(here, state.cuts, state.n, plan)[0]
+                here = _next_start(here, near, n, plan)[0]
             leave, placed = known[here] if here in known else (here - stop if here >= stop else -1, 0)
-            for start in reversed(path):
+            for step in reversed(path):
                 placed += 1
-                known[start] = leave, placed
-            known.setdefault(state.first + entry, (leave, placed))
-        found = [known[state.first + e] for e in range(min(plan.frame_num, state.n - state.first))]
-        return [(state.key, state.piece, [x for x, _ in found], [x for _, x in found])]
+                known[step] = leave, placed
+            known.setdefault(start, (leave, placed))
+        yield video, piece, [known[e][0] for e in entries], [known[e][1] for e in entries]
 
-    return ordered.fold_sorted(
-        rows, [key, "piece"], ["pos"], ["pos", "n"], lambda k: _Piece(*k, size), _Piece.take,
-        f"`{key}` {key_type}, piece long, leaves array<long>, placed array<long>", finish=finish,
-    )
+    return _by_piece(heads, marks, key, table, f"`{key}` {key_type}, piece long, leaves array<long>, placed array<long>")
 
 
 def _entries(crossings: DataFrame, key: str, key_type: str) -> DataFrame:
