@@ -20,10 +20,20 @@ def _artifacts(spark, sf_dir):
     return view(spark, sf_dir, "v_artifacts").withColumn("size", F.octet_length("content").cast("long"))
 
 
-@query("src7_scan_artifacts")
+@query("src7_scan_artifacts", """
+SELECT 'lang=' || lang || '/source=' || source AS folder, CAST(1 AS BIGINT) AS files, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size,
+       CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS content_size
+FROM documents GROUP BY lang, source
+""")
 def src7(spark, sf_dir):
-    """The table files themselves, listed with size and time; contents are not read."""
-    return readers.scan_artifacts(spark, sf_dir, with_content=False).select("path", "size", "mtime_ns")
+    """All documents are written as text files, one folder per language and source, and the folders scanned."""
+    root = scratch_path(spark, "artifacts")
+    texts = table(spark, sf_dir, "documents").select("lang", "source", F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("lang", "source").write.partitionBy("lang", "source").text(root)
+    found = readers.scan_artifacts(spark, root)
+    return found.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.sum(F.octet_length("content").cast("long")).alias("content_size")
+    )
 
 
 @query("prv1_content_hash", "SELECT root, path, sha256(content) AS sha256 FROM v_artifacts")
