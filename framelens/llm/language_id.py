@@ -26,7 +26,9 @@ TABLE_BITS = 16
 ORDERS = (1, 2, 3, 4)
 SWITCH = 12.0
 FOREIGN = -1e4
-BLOCK = 1 << 18
+BLOCK = 1 << 20
+#: Distinct words whose n-grams are scored at once.
+SCORED = 1 << 13
 
 #: First code points of script ranges, and the script from there on.
 SCRIPTS = (
@@ -67,8 +69,8 @@ def held_out(doc_id: Column) -> Column:
 def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and code points of the characters of UTF-8 bytes."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
-    a, b, c, d = (padded[at + i] for i in range(4))
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    a, b, c, d = (padded[at + i].astype(np.int32) for i in range(4))
     two, three = (a & 0x1F) << 6 | b & 0x3F, (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F
     four = (a & 0x07) << 18 | (b & 0x3F) << 12 | (c & 0x3F) << 6 | d & 0x3F
     return at, np.select([a < 0x80, a < 0xE0, a < 0xF0], [a, two, three], four)
@@ -171,8 +173,12 @@ def word_scores(model: Model, data: np.ndarray, words: Words) -> np.ndarray:
     """Score of each distinct word for each language; languages that do not use its script are out, unless none does."""
     sizes = np.zeros(len(words.first), np.int64)
     sizes[words.which] = words.ends - words.starts
-    rows, owners = _grams(data, words.first, words.first + sizes)
-    scores = np.stack([np.bincount(owners, model.table[rows, k], minlength=len(sizes)) for k in range(len(model.languages))], 1)
+    scores = np.zeros((len(sizes), len(model.languages)))
+    for s in range(0, len(sizes), SCORED):
+        part = slice(s, s + SCORED)
+        rows, owners = _grams(data, words.first[part], words.first[part] + sizes[part])
+        for k in range(len(model.languages)):
+            scores[part, k] = np.bincount(owners, model.table[rows, k], minlength=len(sizes[part]))
     uses = model.uses[words.scripts]
     return np.where(uses | ~uses.any(1, keepdims=True), scores, FOREIGN).astype(np.float32)
 
