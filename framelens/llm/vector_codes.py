@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import forget, join_by_size, lean, save
+from framelens.llm.common import join_by_size, lean, save
 from framelens.llm.vectors import matrix, usable
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096

@@ -14,7 +14,6 @@ from framelens.llm import common, decontamination, divergence, vector_codes
 from framelens.llm.common import join_by_size
 from framelens.llm.terms import LETTERS, eights, packed, radix_order, spans
 from tests.llm import cases
-from tests.llm.test_vectors_pages import frame as vector_frame
 from tests.llm.test_vectors_pages import sound, vectors
 
 # --- vector codes ---------------------------------------------------------------------------------------------------
