@@ -130,13 +130,12 @@ def stream_dedupe(
 
     A key is remembered for ``keep_days`` after its row and may come again after that, which bounds the state.
     """
-    from framelens.streaming.processors import FirstOnce
+    from framelens.streaming.processors import STAMPS, FirstOnce, sharded
 
-    stamps = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     rows = timed(stream, delay, ts)
-    packed = rows.select(*keys, ts, F.to_json(F.struct(*rows.columns), stamps | {"ignoreNullFields": "false"}).alias("row"))
-    first = stateful(packed, list(keys), FirstOnce(ts, keep_days * 86_400_000), "row string", time_mode="EventTime")
-    return first.select(F.from_json("row", stream.schema, stamps).alias("row")).select("row.*")
+    packed = rows.select(*sharded(list(keys)), ts, F.unix_micros(ts).alias("at_us"), F.to_json(F.struct(*rows.columns), STAMPS).alias("row"))
+    first = stateful(packed, ["shard"], FirstOnce(keep_days * 86_400_000), "row string", time_mode="EventTime")
+    return first.select(F.from_json("row", stream.schema, STAMPS).alias("row")).select("row.*")
 
 
 def stream_upsert_cache(

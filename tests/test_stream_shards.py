@@ -54,6 +54,22 @@ def test_stalls_of_a_shard_take_a_few_state_calls_a_batch():
     assert expired(processor, handle, 10**6) == [] and not handle.timers
 
 
+def test_keys_of_a_shard_are_emitted_once_with_a_few_state_calls():
+    processor, handle = processors.FirstOnce(1000), Handle()
+    processor.init(handle)
+
+    def come(*rows):
+        list(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key_json", "at_us", "row"])]), None))
+
+    come(*((f"k{i}", 1000 * (i + d), f"{i}-{d}") for d in (1, 0, 2) for i in range(200)))
+    assert sorted(expired(processor, handle, 500)) == sorted((f"{i}-0",) for i in range(200))
+    assert handle.calls < 10
+    come(("k3", 900_000, "again too early"), ("k3", 1_003_000, "again"), ("k5", 600_000, "too early"))
+    assert expired(processor, handle, 1_500) == [("again",)]
+    expired(processor, handle, 10_000)
+    assert handle.held is None and not handle.timers  # all keys are forgotten in the end
+
+
 def test_streams_with_null_and_text_keys_and_a_row_at_the_watermark(spark, tmp_path):
     start = datetime(2024, 1, 1)
     hours = [(k, h) for k in ("a", None, "b\"c") for h in (0, 30, 31)] + [("z", 30 + 1 / 6), ("z", 29)]
@@ -62,3 +78,5 @@ def test_streams_with_null_and_text_keys_and_a_row_at_the_watermark(spark, tmp_p
     gaps = jobs.run_available(processors.stream_stalled_runs(jobs.stream_files(spark, path, max_files=1), 43200, key="who"), "t").collect()
     zero = int((start - datetime(1970, 1, 1)).total_seconds() * 1000)
     assert {tuple(r) for r in gaps} == {(k, zero, zero + 30 * 3_600_000) for k in ("a", None, "b\"c")}
+    once = jobs.run_available(jobs.stream_dedupe(jobs.stream_files(spark, path, max_files=1), ["who"]), "t").collect()
+    assert {(r.who, r.ts) for r in once} == {(k, start) for k in ("a", None, "b\"c")} | {("z", start + timedelta(hours=29))}
