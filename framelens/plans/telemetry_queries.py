@@ -246,19 +246,30 @@ def str6(spark, sf_dir):
 
 # Streams over the same tables, run to the end of what is there.
 
+#: Events of a staged file; a batch takes as many files as its events need.
+FILE_ROWS = 1 << 17
+
+
 def _staged_events(spark, sf_dir):
-    """The events in five files by time, one a batch; within a file they are out of order."""
+    """The events in five batches by time, and the number of files a batch takes; within a batch they are out of order."""
     events, staged = table(spark, sf_dir, "events"), scratch_path(spark, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(at), F.max(at)).first()
+    events = events.withColumn("_part", F.least(F.floor((at - low) * 5 / max(1, high - low)), F.lit(4)))
+    sizes = {r["_part"]: r["count"] for r in events.groupBy("_part").count().collect()}
+    files = max([1, *(-(-n // FILE_ROWS) for part, n in sizes.items() if part is not None)])
     for part in range(5):
-        share = F.least(F.floor((at - low) * 5 / max(1, high - low)), F.lit(4))
-        events.where(share == part).repartition(1, F.xxhash64("event_id")).write.mode("append").parquet(staged)
-    return staged
+        rows = events.where(F.col("_part") == part).drop("_part")
+        rows.repartition(files, F.xxhash64("event_id")).write.mode("append").parquet(staged)
+        # Tasks without rows write no file; empty ones take their place, so that no batch reaches into the next.
+        for _ in range(len(spark.read.parquet(staged).inputFiles()), files * (part + 1)):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(staged)
+    return staged, files
 
 
 def _stream(spark, sf_dir, view_name=None):
-    source = jobs.stream_files(spark, _staged_events(spark, sf_dir), max_files=1)
+    staged, files = _staged_events(spark, sf_dir)
+    source = jobs.stream_files(spark, staged, max_files=files)
     if view_name is None:
         return source
     source.createOrReplaceTempView("events")

@@ -6,9 +6,12 @@ from types import SimpleNamespace
 import pandas as pd
 from pyspark.sql import functions as F
 
+from framelens.plans import registered, telemetry_queries
 from framelens.streaming import jobs, processors
 from tests.test_streaming import staged
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 class Handle:
     """Stands for Spark's handle and counts what is asked of it."""
@@ -80,3 +83,18 @@ def test_streams_with_null_and_text_keys_and_a_row_at_the_watermark(spark, tmp_p
     assert {tuple(r) for r in gaps} == {(k, zero, zero + 30 * 3_600_000) for k in ("a", None, "b\"c")}
     once = jobs.run_available(jobs.stream_dedupe(jobs.stream_files(spark, path, max_files=1), ["who"]), "t").collect()
     assert {(r.who, r.ts) for r in once} == {(k, start) for k in ("a", None, "b\"c")} | {("z", start + timedelta(hours=29))}
+
+
+def test_batches_of_many_files(spark, monkeypatch):
+    def shown(name):
+        return sorted(map(repr, registered()[name](spark, SF_DIR).collect()))
+
+    names = ("str3_stream_sessions", "str9_stream_dedupe", "str6_stream_stalled_runs")
+    whole = [shown(name) for name in names]
+    monkeypatch.setattr(telemetry_queries, "FILE_ROWS", 20)
+    path, files = telemetry_queries._staged_events(spark, SF_DIR)
+    read = spark.read.parquet(path)
+    assert files > 4 and len(read.inputFiles()) == 5 * files
+    assert read.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 60
+    monkeypatch.setattr(telemetry_queries, "FILE_ROWS", 50)
+    assert [shown(name) for name in names] == whole and all(whole)
