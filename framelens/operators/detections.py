@@ -214,7 +214,8 @@ def recognition_candidates(
             F.collect_list(F.struct(F.col("_rank"), F.col("det_id"), "x1", "y1", "x2", "y2"))
         ).alias("_faces")
     ).join(active, keys, "left")
-    tracks = F.coalesce(F.col("tracks"), F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    tracks = F.coalesce(F.filter("tracks", lambda track: track.isNotNull()), none)  # a null is no track and reserves nothing
     plain = F.coalesce(F.col("full_scan"), F.lit(False)) | (F.size(tracks) == 0)
     limit = F.least(F.lit(max_faces), F.greatest(F.lit(max_candidates), F.size(tracks)))
 

@@ -180,7 +180,10 @@ def set4_similar(spark, sf_dir):
 
 
 def _active_tracks(spark, sf_dir):
-    """Running tracks of a frame: its two detections of smallest id moved by a few pixels; no track in full scans."""
+    """Running tracks of a frame: its two detections of smallest id moved by a few pixels; no track in full scans.
+
+    A frame without one of those detections has one track less.
+    """
     boxes = view(spark, sf_dir, "v_det")
     firsts = boxes.groupBy("video_id", "frame_index").agg(
         *(
@@ -200,12 +203,13 @@ t AS (SELECT video_id, frame_index, det_id % 5 AS slot, x1 + 2 AS x1, y1 + 1 AS
 c AS (SELECT f.video_id, f.frame_index, f.det_id, f.q, t.slot, 0.78 * {iou_sql("f", "t")} + 0.22 * (1 - least(1.0, {gap_sql("f", "t")} / sqrt(240.0 ** 2 + 180.0 ** 2))) AS score
       FROM f JOIN t USING (video_id, frame_index)),
 a AS (SELECT video_id, frame_index, arg_max(q, {{'s': score, 'q': -q}}) AS q FROM c WHERE slot = 3 GROUP BY video_id, frame_index),
-b AS (SELECT c.video_id, c.frame_index, arg_max(c.q, {{'s': c.score, 'q': -c.q}}) AS q FROM c JOIN a USING (video_id, frame_index)
-      WHERE c.slot = 1 AND c.q <> a.q GROUP BY c.video_id, c.frame_index),
-p AS (SELECT f.*, CASE WHEN frame_index % 9 = 0 THEN f.q WHEN f.q = a.q THEN -2 WHEN f.q = b.q THEN -1 ELSE f.q END AS o
-      FROM f JOIN a USING (video_id, frame_index) JOIN b USING (video_id, frame_index))
-SELECT det_id, pick FROM (SELECT det_id, frame_index, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY o) AS pick FROM p) z
-WHERE pick <= CASE WHEN frame_index % 9 = 0 THEN 4 ELSE 3 END
+b AS (SELECT c.video_id, c.frame_index, arg_max(c.q, {{'s': c.score, 'q': -c.q}}) AS q FROM c LEFT JOIN a USING (video_id, frame_index)
+      WHERE c.slot = 1 AND c.q IS DISTINCT FROM a.q GROUP BY c.video_id, c.frame_index),
+p AS (SELECT f.*, frame_index % 9 = 0 OR (a.q IS NULL AND b.q IS NULL) AS plain,
+             CASE WHEN frame_index % 9 = 0 THEN f.q WHEN f.q = a.q THEN -2 WHEN f.q = b.q THEN -1 ELSE f.q END AS o
+      FROM f LEFT JOIN a USING (video_id, frame_index) LEFT JOIN b USING (video_id, frame_index))
+SELECT det_id, pick FROM (SELECT det_id, plain, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY o) AS pick FROM p) z
+WHERE pick <= CASE WHEN plain THEN 4 ELSE 3 END
 """
 
 

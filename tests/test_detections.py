@@ -84,3 +84,22 @@ def test_thresholds_are_held_in_range_on_both_routes(spark, iou):
     df = spark.createDataFrame(rows, "video_id long, frame_index long, det_id long, x1 double, y1 double, x2 double, y2 double, det_score double, similarity double")
     ids = lambda crowded: sorted(r.det_id for r in det.nms(df, iou=iou, crowded=crowded).collect())
     assert ids(None) == ids(3) and 0 < len(ids(None)) < 14
+
+
+def test_a_missing_track_reserves_nothing(spark):
+    assert picks(spark, [None, (69.0, 4.0, 91.0, 26.0)], max_candidates=2) == [2, 0]  # once [0, 2]
+    assert picks(spark, [None]) == [0, 1, 2]  # no track at all: all by quality
+
+
+def test_recognition_candidates_match_their_check_where_frames_lack_detections(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    whole = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    whole.where("pmod(xxhash64(vec_id), 3) <> 0").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(duck.sql(f"SELECT det_id, pick FROM ({oracle_sql()['win8_recognition_candidates']}) q").fetchall())
+    got = queries()["win8_recognition_candidates"](spark, str(tmp_path)).select("det_id", "pick").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 100
