@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ from framelens.session import bounded, cut_lineage
 # Yaw ranges (degrees) a bank tries to cover: left, frontal, right.
 YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
 BANK_BROADCAST_ROWS = 4096
-BANK_BYTES = 128 << 20
+BANK_BYTES = 32 << 20
 #: References of one code that are scored together; a code with more has several parts.
 BUCKET_ROWS = 2048
+#: Detections or references that one matrix product takes from a code or block; larger ones have several parts.
+BLOCK_ROWS = 1 << 15
 
 
 def identity_centroid(
@@ -103,9 +106,10 @@ def match_identity(
 
     A bank of at most ``bank_rows`` rows is packed into one array and scored inside each detection row, so
     the detections are never shuffled and no pair is ever emitted. A larger bank of at most ``BANK_BYTES`` goes to
-    the tasks as a matrix, and each Arrow batch of detections is multiplied with it block by block. Only a bank
-    beyond that is cut into blocks that detections are sent to; each keeps ``k`` matches per block before the
-    blocks are merged. All three give the same matches; the matrix compares similarities to twelve digits.
+    the tasks as a matrix, and each Arrow batch of detections is multiplied with it block by block. A bank
+    beyond that is cut into blocks, as are the detections, and each pair of blocks is one matrix product in a task of
+    its own; each keeps ``k`` matches per detection before the blocks are merged. All three give the same matches; the
+    matrices compare similarities to twelve digits.
 
     ``keys`` names a detection; by default those of video_id, frame_index and ``id_col`` that are there, since
     ids start over in each frame.
@@ -126,21 +130,15 @@ def match_identity(
         references = head
         packed = F.broadcast(pack_references(references, F.lit(0), vector=vector))
         arranged = detections.withColumn("_block", F.lit(0))
-        blocks = 1
     elif (bank := _bank_matrix(references, vector, bank_bytes)) is not None:
         kept = [c for c in detections.columns if c != vector]
         scored = detections.withColumn("_hits", _batch_hits(bank, references, min_sim, k)(as_doubles(vector)))
         return _opened(scored, kept)
     else:
-        blocks = -(-references.count() // (bank_rows // 2))
-        packed = pack_references(references, F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"), vector=vector)
-        arranged = detections.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return _block_hits(detections, references, min_sim, k, keys, vector)
 
     scored = _scored(arranged, packed, vector, min_sim, k)
-    kept = [c for c in detections.columns if c != vector]
-    if blocks > 1:
-        scored = _merged(detections, scored, keys, k)
-    return _opened(scored, kept)
+    return _opened(scored, [c for c in detections.columns if c != vector])
 
 
 def _scored(arranged: DataFrame, packed: DataFrame, vector: str, min_sim: float, k: int) -> DataFrame:
@@ -151,7 +149,7 @@ def _scored(arranged: DataFrame, packed: DataFrame, vector: str, min_sim: float,
             F.zip_with(F.col("_v"), entry["v"], lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x
         )
         return F.struct(
-            (-(product / (F.col("_norm") * entry["norm"]))).alias("_distance"), entry["ref_id"].alias("ref_id")
+            (-(product / F.nullif(F.col("_norm") * entry["norm"], F.lit(0.0)))).alias("_distance"), entry["ref_id"].alias("ref_id")
         )
 
     usable = arranged.filter(F.col(vector).isNotNull()).withColumns(
@@ -236,6 +234,106 @@ def _approximate_hits(detections, references, min_sim, k, keys, vector, recall)
     return _opened(best, [c for c in detections.columns if c != vector])
 
 
+def _distinct(references: DataFrame, vector: str, k: int) -> DataFrame:
+    """Of equal vectors only the first ``k`` can be among the best ``k``."""
+    first = F.row_number().over(Window.partitionBy(vector).orderBy("ref_id"))
+    return references.withColumn("_first", first).filter(F.col("_first") <= k).drop("_first")
+
+
+def _block_hits(detections, references, min_sim, k, keys, vector) -> DataFrame:
+    """Exact: every block of detections meets every block of references of its width, in a task of its own."""
+    usable = cut_lineage(_distinct(references.filter(F.col(vector).isNotNull()).select("ref_id", vector), vector, k))
+    wide, tall = (-(-rows.count() // BLOCK_ROWS) for rows in (usable, detections))
+    block = F.xxhash64(F.size(vector), "_wide", "_tall").alias("_cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+    own = lambda n, *ids: F.pmod(F.xxhash64(*ids, F.lit(1)), F.lit(max(n, 1)).cast("long"))
+    sent = detections.filter(F.col(vector).isNotNull()).select(*keys, vector, own(tall, *keys).alias("_tall"), every(wide).alias("_wide"))
+    filed = usable.select("ref_id", vector, own(wide, "ref_id").alias("_wide"), every(tall).alias("_tall"))
+    sides = sent.select(*keys, vector, block), filed.select("ref_id", vector, block)
+    return _merged_hits(detections, *sides, None, min_sim, k, keys, vector)
+
+
+def _merged_hits(detections, sent, filed, groups, min_sim, k, keys, vector) -> DataFrame:
+    """Best hits of detections over the cells they were sent to; cells go to tasks in ``groups``, or each by itself."""
+    group = lambda cell: (F.col(cell) if groups is None else F.pmod(cell, F.lit(groups))).alias("_group")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.select(*keys).schema.fields]
+    kind = filed.schema["ref_id"].dataType.simpleString()
+    # Both sides may come from one table: names of their own keep them apart.
+    sent = sent.select(*keys, F.col(vector).alias("_asked"), F.col("_cell").alias("_cell_of"))
+    filed = filed.select(F.col("ref_id").alias("_ref"), F.col(vector).alias("_filed"), "_cell")
+    score = _cell_hits(keys, min_sim, k)
+    met = sent.groupBy(group("_cell_of")).cogroup(filed.groupBy(group("_cell")))
+    scored = met.applyInArrow(score, ", ".join([*kinds, f"_hits array<struct<_distance:double,ref_id:{kind}>>"]))
+    return _opened(_merged(detections, scored, keys, k), [c for c in detections.columns if c != vector])
+
+
+def _units(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of equal length, and which are usable."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((x * x).sum(1))
+        good = np.isfinite(norms) & (norms >= 1e-12)
+        return x / norms[:, None], good
+
+
+def _best(q: np.ndarray, r: np.ndarray, min_sim: float, k: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and similarity of the ``k`` best of ``r`` for each of ``q``, all unit vectors; ties to the first of ``r``.
+
+    Products only propose; the similarity of a pair is summed by itself and thus does not depend on the block.
+    """
+    found = []
+    for s in range(0, len(q), 1024):
+        x = q[s : s + 1024]
+        least, row, col, sim = np.full(len(x), float(min_sim)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in range(0, len(r), block):
+            y = r[b : b + block]
+            scores = x @ y.T
+            limit = least
+            if not b and len(y) > k:  # later blocks are held against what was found so far
+                limit = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+            i, c = np.nonzero(scores >= (limit - 1e-11)[:, None])
+            if not len(i):
+                continue
+            exact = np.concatenate([(x[i[p : p + 65536]] * y[c[p : p + 65536]]).sum(1) for p in range(0, len(i), 65536)])
+            near = exact >= min_sim
+            row, col, sim = np.append(row, i[near]), np.append(col, c[near] + b), np.append(sim, exact[near])
+            order = np.lexsort((col, -np.round(sim, 12), row))
+            row, col, sim = row[order], col[order], sim[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            last = place == k - 1
+            least[row[last]] = sim[last]
+            row, col, sim = row[place < k], col[place < k], sim[place < k]
+        found.append((row + s, col, sim))
+    return tuple(np.concatenate([f[n] for f in found]) for n in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _cell_hits(keys: list[str], min_sim: float, k: int):
+    """Hits of a group's detections among the references of the same cell."""
+
+    def score(sent: pa.Table, filed: pa.Table) -> pa.Table:
+        sent, filed = sent.sort_by("_cell_of"), filed.sort_by([("_cell", "ascending"), ("_ref", "ascending")])
+        cells = [sent.column("_cell_of").to_numpy(), filed.column("_cell").to_numpy()]
+        rows, cols, sims = [], [], []
+        for cell in np.intersect1d(*cells).tolist():
+            (a, b), (c, d) = ([int(np.searchsorted(x, cell, side)) for side in ("left", "right")] for x in cells)
+            (q, good), (r, fine) = _units(sent.column("_asked").slice(a, b - a)), _units(filed.column("_filed").slice(c, d - c))
+            if q.shape[1] != r.shape[1]:
+                continue
+            row, col, sim = _best(q[good], r[fine], min_sim, k)
+            rows.append(np.flatnonzero(good)[row] + a)
+            cols.append(np.flatnonzero(fine)[col] + c)
+            sims.append(sim)
+        row, col, sim = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, sims))
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+        hit = pa.StructArray.from_arrays([pa.array(-np.round(sim.astype(np.float64), 12)), filed.column("_ref").combine_chunks().take(pa.array(col))], names=["_distance", "ref_id"])
+        hits = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), hit)
+        return pa.table([*(sent.column(x).take(pa.array(row[first])) for x in keys), hits], names=[*keys, "_hits"])
+
+    return score
+
+
 def _opened(scored: DataFrame, kept: list[str]) -> DataFrame:
     return scored.select(*kept, F.posexplode("_hits").alias("_pos", "_hit")).select(
         *kept, F.col("_hit.ref_id").alias("ref_id"), (-F.col("_hit._distance")).alias("similarity"),
@@ -250,14 +348,12 @@ def _bank_matrix(references: DataFrame, vector: str, most: int):
     if not size["n"] or size["w"] != size["least"] or size["n"] * (size["w"] + 4) * 8 > most:
         return None
     rows = usable.select("ref_id", as_doubles(vector).alias("v")).toArrow().sort_by("ref_id")
-    ids, x = rows.column("ref_id").to_pylist(), np.stack(rows.column("v").to_numpy())
-    norms = np.sqrt((x * x).sum(1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        unit = x / norms[:, None]
-    return references.sparkSession.sparkContext.broadcast((ids, np.where(norms[:, None] > 0, unit, np.nan)))
+    unit, good = _units(rows.column("v"))
+    ids = rows.column("ref_id").filter(pa.array(good)).to_pylist()
+    return references.sparkSession.sparkContext.broadcast((ids, unit[good]))
 
 
-def _batch_hits(bank, references: DataFrame, min_sim: float, k: int, block: int = 2048):
+def _batch_hits(bank, references: DataFrame, min_sim: float, k: int):
     kind = references.schema["ref_id"].dataType.simpleString()
 
     @F.pandas_udf(f"array<struct<_distance:double,ref_id:{kind}>>")
@@ -268,16 +364,14 @@ def _batch_hits(bank, references: DataFrame, min_sim: float, k: int, block: int
         for s in range(0, len(fits), 1024):
             rows = fits[s : s + 1024]
             x = np.stack([np.asarray(vectors.iloc[i], float) for i in rows])
-            norms = np.sqrt((x * x).sum(1))
-            rows, x = [i for i, n in zip(rows, norms) if n >= 1e-12], x[norms >= 1e-12] / norms[norms >= 1e-12][:, None]
-            for b in range(0, len(ids), block):
-                scores = np.nan_to_num(x @ unit[b : b + block].T, nan=-2.0)
-                least = np.full(len(x), min_sim)
-                if scores.shape[1] > k:  # the k-th best of the block and what ties with it
-                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k] - 1e-11)
-                for r, c in zip(*np.nonzero(scores >= least[:, None])):
-                    out[rows[r]].append((-round(float(scores[r, c]), 12), b + int(c)))
-        return pd.Series([[{"_distance": d, "ref_id": ids[c]} for d, c in sorted(found)[:k]] for found in out])
+            with np.errstate(all="ignore"):
+                norms = np.sqrt((x * x).sum(1))
+            good = np.isfinite(norms) & (norms >= 1e-12)
+            rows = np.flatnonzero(good)
+            row, col, sim = _best(x[good] / norms[good][:, None], unit, min_sim, k)
+            for r, c, d in zip(rows[row].tolist(), col.tolist(), np.round(sim, 12).tolist()):
+                out[fits[s + r]].append({"_distance": -d, "ref_id": ids[c]})
+        return pd.Series(out)
 
     return hits
 

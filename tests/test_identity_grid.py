@@ -208,3 +208,31 @@ def test_union_of_runs(spark):
     cells = {(y, x) for _, y, a, b in rows for x in range(a, b + 1)}
     assert {(r.cy, x) for r in merged for x in range(r.x0, r.x1 + 1)} == cells and sum(r.x1 - r.x0 + 1 for r in merged) == len(cells)
     assert all((r.cy, r.x0 - 1) not in cells and (r.cy, r.x1 + 1) not in cells for r in merged)
+
+
+def test_blocks_and_codes_meet_as_matrices(spark, monkeypatch):
+    """Blocks, heavy codes in parts, equal vectors, and vectors that match nothing, against plain sums."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base[rng.integers(0, 60, 500)] + 0.05 * rng.normal(size=(500, 16)), np.repeat(base[:2], 40, axis=0)])
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 16), (901, None), (902, [float("nan")] * 16), (904, [None] + [1.0] * 15)]
+    df = spark.createDataFrame(vectors, "det_id long, embedding array<double>")
+    refs = df.withColumnRenamed("det_id", "ref_id")
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    want = set()
+    for d in range(len(x)):
+        sims = np.round((unit[d] * unit).sum(1), 12)
+        want |= {(d, int(r), n + 1) for n, r in enumerate(np.lexsort((np.arange(len(x)), -sims))[:3]) if sims[r] >= 0.8}
+    show = lambda **o: {(r.det_id, r.ref_id, r.rank) for r in identity.match_identity(df, refs, min_sim=0.8, k=3, **o).collect()}
+    monkeypatch.setattr(identity, "BLOCK_ROWS", 100)
+    odd = spark.createDataFrame([(2000, [1.0, 2.0])], "ref_id long, embedding array<double>")
+    assert show(bank_rows=16, bank_bytes=0) == want == show(bank_rows=16)
+    assert {(r.det_id, r.ref_id, r.rank) for r in identity.match_identity(df, refs.union(odd), min_sim=0.8, k=3, bank_rows=16).collect()} == want
+
+
+def test_hits_of_a_batch_are_bounded_by_k():
+    rng = np.random.default_rng(5)
+    q, r = (v / np.sqrt((v * v).sum(1))[:, None] for v in (rng.normal(size=(300, 8)), rng.normal(size=(9000, 8))))
+    row, col, sim = identity._best(q, r, -1.0, 3, block=64)
+    full = np.round(q @ r.T, 12)
+    assert len(row) == 900 and col.tolist() == [c for d in full for c in np.lexsort((np.arange(9000), -d))[:3]]
