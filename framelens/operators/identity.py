@@ -18,8 +18,6 @@ from framelens.session import bounded, cut_lineage
 YAW_BINS = ((-90.0, -18.0), (-18.0, 18.0), (18.0, 90.0))
 BANK_BROADCAST_ROWS = 4096
 BANK_BYTES = 32 << 20
-#: References of one code that are scored together; a code with more has several parts.
-BUCKET_ROWS = 2048
 #: Detections or references that one matrix product takes from a code or block; larger ones have several parts.
 BLOCK_ROWS = 1 << 15
 
@@ -222,16 +220,21 @@ def _approximate_hits(detections, references, min_sim, k, keys, vector, recall)
     codes = references.sparkSession.sparkContext.broadcast(SignCodes(size["w"], *planned))
     own = F.pandas_udf(lambda v: codes.value.of(v, False), "array<long>")
     tried = F.pandas_udf(lambda v: codes.value.of(v, True), "array<long>")
-    # of equal vectors only the first k can be among the best k
-    first = F.row_number().over(Window.partitionBy(vector).orderBy("ref_id"))
-    coded = usable.withColumn("_first", first).filter(F.col("_first") <= k).select("ref_id", vector, F.explode(own(as_doubles(vector))).alias("_code"))
-    held = cut_lineage(coded)
-    parts = held.groupBy("_code").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_parts"))
-    filed = held.join(parts, "_code").withColumn("_part", F.pmod(F.xxhash64("ref_id"), F.col("_parts")))
-    packed = pack_references(filed, F.struct("_code", "_part"), vector=vector).select(F.col("_block._code").alias("_block"), "_bank")
-    arranged = detections.select(*keys, vector, F.explode(tried(as_doubles(vector))).alias("_block"))
-    best = _merged(detections, _scored(arranged, packed, vector, min_sim, k), keys, k)
-    return _opened(best, [c for c in detections.columns if c != vector])
+    filed = _distinct(usable, vector, k).select("ref_id", vector, F.explode(own(as_doubles(vector))).alias("_code"))
+    sent = detections.select(*keys, vector, F.explode(tried(as_doubles(vector))).alias("_code"))
+    # Codes are few next to their rows; those with more rows than a product takes are cut into parts on both sides.
+    parts = lambda rows, name: rows.groupBy("_code").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(name)).filter(F.col(name) > 1)
+    wide, tall = F.broadcast(cut_lineage(parts(filed, "_wide"))), F.broadcast(cut_lineage(parts(sent, "_tall")))
+    whole = lambda name: F.coalesce(F.col(name), F.lit(1))
+
+    def placed(rows, id_hash, own_part, other_part):
+        split = rows.join(wide, "_code", "left").join(tall, "_code", "left")
+        part, other = F.pmod(id_hash, whole(own_part)), F.explode(F.sequence(F.lit(0).cast("long"), whole(other_part) - 1))
+        return split.withColumn(own_part, part).withColumn(other_part, other).withColumn("_cell", F.xxhash64("_code", "_wide", "_tall")).drop("_code", "_wide", "_tall")
+
+    sides = placed(sent, F.xxhash64(*keys, F.lit(1)), "_tall", "_wide"), placed(filed, F.xxhash64("ref_id", F.lit(1)), "_wide", "_tall")
+    groups = max(1, size["n"] * planned[0] // BLOCK_ROWS)
+    return _merged_hits(detections, *sides, groups, min_sim, k, keys, vector)
 
 
 def _distinct(references: DataFrame, vector: str, k: int) -> DataFrame:

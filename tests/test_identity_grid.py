@@ -228,6 +228,10 @@ def test_blocks_and_codes_meet_as_matrices(spark, monkeypatch):
     odd = spark.createDataFrame([(2000, [1.0, 2.0])], "ref_id long, embedding array<double>")
     assert show(bank_rows=16, bank_bytes=0) == want == show(bank_rows=16)
     assert {(r.det_id, r.ref_id, r.rank) for r in identity.match_identity(df, refs.union(odd), min_sim=0.8, k=3, bank_rows=16).collect()} == want
+    monkeypatch.setattr(identity, "BLOCK_ROWS", 10)
+    assert identity.SignCodes.plan(0.8, 0.9, len(vectors))
+    near = show(recall=0.9)
+    assert len(near & want) >= 0.9 * len(want) and len({(d, r) for d, r, _ in near}) == len(near)
 
 
 def test_hits_of_a_batch_are_bounded_by_k():
