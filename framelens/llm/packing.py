@@ -37,6 +37,9 @@ BLOCK = 1 << 19
 _SPACE, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLAIN[0x21:0x7F] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOPS = b".,;:!?*#$%&)"
 
 
 class Tokens:
@@ -45,6 +48,8 @@ class Tokens:
     A byte-level vocabulary of this kind never joins a byte that is no white space with white space after it. Texts
     are cut there, so a chunk is white space and what follows it, and each distinct chunk is encoded once. Cuts are
     made only after plain ASCII and after letters of two bytes starting with C3; elsewhere chunks just stay longer.
+    Nor does it join a letter or digit with a stop after it, so a word is the same chunk before any of ``_STOPS`` that no
+    added token of the vocabulary contains.
     A worker keeps up to ``CACHE_CHUNKS`` chunks.
     """
 
@@ -53,6 +58,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
+        added = "".join(t.content for t in self.encode.get_added_tokens_decoder().values())
+        self.stops = np.zeros(256, bool)
+        self.stops[[c for c in _STOPS if chr(c) not in added]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -67,9 +75,8 @@ class Tokens:
         slots = len(self.begin) - 1 + np.arange(len(ids))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], np.concatenate([self.slot, slots])[order]
+        at = np.searchsorted(self.known, hashes)  # both are sorted
+        self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slots)
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each document's begin."""
@@ -80,6 +87,9 @@ class Tokens:
         before = _PLAIN[data[:-1]]
         before[1:] |= (data[1:-1] >= 0x80) & (data[:-2] == 0xC3)
         cut[1:] = _SPACE[data[1:]] & before
+        word = _WORD[data[:-1]]
+        word[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # all letters but two
+        cut[1:] |= self.stops[data[1:]] & word
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
