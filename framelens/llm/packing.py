@@ -34,11 +34,12 @@ BLOCK = 1 << 19
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
-_SPACE, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PLAIN[0x21:0x7F] = True
-_WORD = np.zeros(256, bool)
-_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: What a byte is, as bits.
+_SPACE, _PLAIN, _WORD, _STOP = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[0x21:0x7F] = _PLAIN
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _WORD
 _STOPS = b".,;:!?*#$%&)"
 
 
@@ -59,15 +60,16 @@ class Tokens:
 
         self.encode = Tokenizer.from_file(path)
         added = "".join(t.content for t in self.encode.get_added_tokens_decoder().values())
-        self.stops = np.zeros(256, bool)
-        self.stops[[c for c in _STOPS if chr(c) not in added]] = True
+        self.kind = _KIND.copy()
+        self.kind[[c for c in _STOPS if chr(c) not in added]] |= _STOP
         self.clear()
 
     def clear(self) -> None:
         self.known, self.begin, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
         self.slot = np.zeros(0, np.int64)
 
-    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Slots of new chunks, whose hashes belong at ``at`` among the known."""
         raw = memoryview(data)
         found = self.encode.encode_batch_fast([bytes(raw[a:b]).decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
         ids = [x.ids for x in found]
@@ -75,32 +77,36 @@ class Tokens:
         slots = len(self.begin) - 1 + np.arange(len(ids))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-        at = np.searchsorted(self.known, hashes)  # both are sorted
         self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slots)
+        return slots
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each document's begin."""
         count = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(count + 1, np.int64)
-        cut = np.zeros(len(data), bool)
-        before = _PLAIN[data[:-1]]
-        before[1:] |= (data[1:-1] >= 0x80) & (data[:-2] == 0xC3)
-        cut[1:] = _SPACE[data[1:]] & before
-        word = _WORD[data[:-1]]
-        word[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # all letters but two
-        cut[1:] |= self.stops[data[1:]] & word
+        cut, kind = np.zeros(len(data), bool), self.kind[data]
+        before, after = kind[:-1], kind[1:]
+        two = data[:-2] == 0xC3
+        spaced, stopped = (before & _PLAIN) != 0, (before & _WORD) != 0
+        spaced[1:] |= two & (data[1:-1] >= 0x80)
+        stopped[1:] |= two & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # all letters but two
+        cut[1:] = ((after & _SPACE) != 0) & spaced | ((after & _STOP) != 0) & stopped
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         distinct, first, which = np.unique(SpanHashes(data).of(starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_CHUNKS:
             self.clear()
-        at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        slot = np.empty(len(distinct), np.int64)
+        slot[~new] = self.slot[at[~new]]
         if new.any():
-            self._learn(data, distinct[new], starts[first[new]], ends[first[new]])
-        slot = self.slot[np.searchsorted(self.known, distinct)][which]
+            slot[new] = self._learn(data, distinct[new], starts[first[new]], ends[first[new]], at[new])
+        slot = slot[which]
         sizes = self.begin[slot + 1] - self.begin[slot]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.arange(upto[-1]) + np.repeat(self.begin[slot] - upto[:-1], sizes)]
