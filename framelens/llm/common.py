@@ -236,8 +236,11 @@ class IdFilter:
 # --- sorted rows ----------------------------------------------------------------------------------------------------
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with equal keys (numbers, not null), one batch each, from a sorted partition."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], at_least: int = 1) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with equal keys (numbers, not null), one batch each, from a sorted partition.
+
+    Groups of fewer than ``at_least`` rows come together with those that follow them.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -248,9 +251,12 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> I
             values = whole.column(whole.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
             changed |= values[1:] != values[:-1]
         cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            yield whole.slice(a, b - a)
-        held = [whole.slice(cuts[-1])]
+        a = 0
+        for b in cuts[1:]:
+            if b - a >= at_least:
+                yield whole.slice(a, b - a)
+                a = b
+        held = [whole.slice(a)]
     yield from held
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import NO_ID
+from framelens.llm.common import NO_ID, save
 
 
 def usable(column: str) -> Column:
@@ -16,12 +16,16 @@ def usable(column: str) -> Column:
     return F.coalesce(F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def one_vector_per_id(df: DataFrame) -> DataFrame:
-    """``_id, v`` (array of double), one row per id: a null id counts as one more, of repeated ids the largest vector stays."""
-    rows = df.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("embedding").cast("array<double>").alias("v"))
+def one_vector_per_id(df: DataFrame, kind: str = "array<double>", written: bool = False) -> DataFrame:
+    """``_id, v``, one row per id: a null id counts as one more, of repeated ids the largest vector stays.
+
+    ``written``: rows that had to be grouped for it are a written table, for those who read them again and again.
+    """
+    rows = df.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("embedding").cast(kind).alias("v"))
     if rows.groupBy("_id").count().where("count > 1").limit(1).isEmpty():
         return rows
-    return rows.groupBy("_id").agg(F.max("v").alias("v"))
+    grouped = rows.groupBy("_id").agg(F.max("v").alias("v"))
+    return save(grouped, "vectors") if written else grouped
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
